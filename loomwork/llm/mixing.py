@@ -42,10 +42,10 @@ def _cdf(rate: Column) -> Column:
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
     def step(a: Column, k: Column) -> Column:
-        p = a["p"] * rate / k
+        p = a["p"] * rate / k.cast("double")
         return F.struct(p.alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + p)).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1.0), F.lit(float(TABLE)), F.lit(1.0)), start, step, lambda a: a["c"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TABLE)), start, step, lambda a: a["c"])
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
