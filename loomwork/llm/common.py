@@ -69,6 +69,15 @@ def sample_by(df: DataFrame, label: str, key: str, cap: int, seed: int = 7) -> D
     return df.filter(hash_share(F.col(key), seed) < F.try_element_at(share, F.col(label))).limit(cap)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``cap`` rows of ``labels`` at most name, with their label
+    as ``_label`` (double). Only the sampled ids are sent to the scan of ``docs``, so no
+    text is shuffled. Null labels and ids are left out."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label")).dropna()
+    picked = F.broadcast(sample_by(known, "_label", "_id", cap))
+    return docs.join(picked, F.col(id_col) == F.col("_id")).drop("_id")
+
+
 # ---------------------------------------------------------------- linear models
 
 

@@ -129,9 +129,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, length_col: str | None = None) -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in brackets; overlapping
-    spans become one, named by the first. Null texts stay null; all columns stay."""
+    spans become one, named by the first. Null texts stay null; all columns stay. In rows
+    with a span, ``length_col`` (if named) becomes the new text's length."""
     spans = "_pii_spans"
     found = find(docs, text_col, spans, kinds)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -143,7 +144,10 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KI
         return F.when(s["start"] < a["at"], longer).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(piece)).alias("out")))
 
     new = F.aggregate(F.col(spans), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text)).drop(spans).select(docs.columns)
+    out = found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text))
+    if length_col:
+        out = out.withColumn(length_col, F.when(F.size(spans) > 0, F.length(text_col).cast(dict(docs.dtypes)[length_col])).otherwise(F.col(length_col)))
+    return out.select(docs.columns)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

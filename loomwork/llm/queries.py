@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii
+from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, toxicity
 from .common import crc_mod
 
 #: A public byte-level tokenizer; another file may be named in the environment.
@@ -42,6 +42,12 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(_read(spark, sf_dir, "pages"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from the labelled ones."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -63,16 +69,26 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_read(spark, sf_dir, "documents"))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; those with crc32(doc_id) mod 5 = 0 are held out."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, labels.filter(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id,
         "op2_decontaminate": decontaminate,
         "op3_mix_sources": mix_sources,
         "op4_html_extract": html_extract,
+        "op5_quality": quality_scores,
         "op6_near_duplicates": near_duplicates,
         "op7_media_columns": media_columns,
         "op8_chat_format": chat_format,
         "op9_personal_data": personal_data,
+        "op10_toxicity": toxicity_scores,
     }
 
 
