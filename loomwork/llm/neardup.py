@@ -11,34 +11,34 @@ with the exact probability Jaccard similarity; linked texts form classes."""
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_side
+from .common import checkpoint, code_points, small_side
 
 WORDS = 5
 THRESHOLD = 0.8
 #: 25 bands of 5 registers: a pair at 0.8 shares no band with probability 5e-5.
 BANDS, BAND_ROWS = 25, 5
 REGISTERS = BANDS * BAND_ROWS
-#: Texts that are worked on at once, in characters.
-BATCH_CHARS = 2_000_000
+#: Texts that are worked on at once, in characters; a longer text is read in pieces.
+BATCH_CHARS = 1_000_000
 #: Ids up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: A bucket that holds several classes is compared in blocks of this many texts.
 BLOCK = 256
-#: Below this share of equal registers a pair is not verified: five standard deviations
+#: Below this share of equal registers a pair is not verified: four standard deviations
 #: of the estimate under the threshold.
-MIN_ESTIMATE = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+MIN_ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 
-_WORD = re.compile(r"\w+")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Base of the words' polynomial hash, and its inverse modulo 2 ** 64.
+_BASE, _SEED = 0xD6E8FEB86659FD93, np.uint64(0xA0761D6478BD642F)
+_tables: dict[str, np.ndarray] = {}
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -47,36 +47,90 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; forgets all when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_HASHES = WordHashes()
-
-
-def shingles(words: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and their counts. Fewer words than ``size`` make
-    one shingle, no words none."""
-    h = np.fromiter((_HASHES[w] for w in words), np.uint64, len(words))
-    if not len(h):
-        return h, np.zeros(0)
-    size = min(size, len(h))
-    n = len(h) - size + 1
-    s = np.full(n, np.uint64(size))
-    for k in range(size):
-        s = _mix(s * _GOLD + h[k : k + n])
-    out, count = np.unique(s, return_counts=True)
-    return out, count.astype(np.float64)
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 1 to n, and those of its inverse."""
+    if len(_tables.get("up", ())) < n:
+        size = max(n, BATCH_CHARS + 65536)
+        _tables["up"] = np.cumprod(np.full(size, _BASE, np.uint64))
+        _tables["down"] = np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))
+    return _tables["up"], _tables["down"]
+
+
+def _is_word() -> np.ndarray:
+    if "word" not in _tables:
+        _tables["word"] = np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
+    return _tables["word"]
+
+
+def word_hashes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (run of letters, digits, underscores) among the code
+    points, and where it starts. All words at once: differences of a running polynomial."""
+    if not len(c):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    w = _is_word()[c]
+    edge = np.flatnonzero(np.diff(w, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _powers(len(c))
+    total = np.cumsum((c + np.uint64(1)) * up[: len(c)], dtype=np.uint64)
+    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+    return _mix((total[ends - 1] - before) * down[starts] ^ (ends - starts).astype(np.uint64) * _GOLD), starts
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the lower-case words of all texts in a row, and where each text's
+    words end. A text longer than a batch is read piece by piece, cut between words."""
+    lower = [(t or "").lower() for t in texts]
+    if len(lower) == 1 and len(lower[0]) > BATCH_CHARS:
+        t, parts, at = lower[0], [], 0
+        while at < len(t):
+            c = code_points(t[at : at + BATCH_CHARS])
+            if at + len(c) < len(t) and len(gaps := np.flatnonzero(~_is_word()[c])):
+                c = c[: gaps[-1] + 1]
+            parts.append(word_hashes(c)[0])
+            at += len(c)
+        h = np.concatenate(parts)
+        return h, np.array([len(h)])
+    h, starts = word_hashes(code_points("\n".join(lower)))
+    return h, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in lower]))
+
+
+class Sets:
+    """The weighted shingle sets of some texts: shingle hashes (sorted within a text) and
+    weights, one text after the other; ``bound[i]`` to ``bound[i + 1]`` is text i."""
+
+    def __init__(self, texts: list[str | None], size: int = WORDS):
+        h, ends = hashed_words(texts)
+        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        self.words = ends - begins
+        self.prints = [hashlib.md5(h[a:b].tobytes()).digest() if b > a else None for a, b in zip(begins, ends, strict=True)]
+        n = max(0, len(h) - size + 1)
+        s = np.full(n, np.uint64(size))
+        for k in range(size):
+            s = s * _GOLD + h[k : k + n]
+        s = _mix(s)
+        parts = []
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            if b - a >= size:
+                x = s[a : b - size + 1]
+                x.sort()
+            else:  # fewer words make one shingle, no words none
+                x = np.full(min(1, b - a), np.uint64(b - a))
+                for w in h[a:b]:
+                    x = _mix(x * _GOLD + w)
+            parts.append(x)
+        s = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), (s[1:] != s[:-1]) | (of[1:] != of[:-1])]))
+        self.key, self.of = s[first], of[first]
+        self.weight = np.diff(first, append=len(s)).astype(np.float64)
+        self.bound = np.searchsorted(self.of, np.arange(len(parts) + 1))
+
+    def __len__(self) -> int:
+        return len(self.prints)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.bound[i], self.bound[i + 1]
+        return self.key[a:b], self.weight[a:b]
 
 
 def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -84,42 +138,46 @@ def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     (ha, wa), (hb, wb) = a, b
     if not len(ha) or not len(hb):
         return 0.0
-    common, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if not len(common):
+    at = np.searchsorted(hb, ha)
+    ia = np.flatnonzero(hb[np.minimum(at, len(hb) - 1)] == ha)
+    if not len(ia):
         return 0.0
-    x, y = wa[ia], wb[ib]
+    x, y = wa[ia], wb[at[ia]]
     only = wa.sum() - x.sum(), wb.sum() - y.sum()
-    total, ratio = 0.0, np.stack([x, y], 1)
-    for (xd, yd), n in zip(*np.unique(ratio, axis=0, return_counts=True), strict=True):
-        total += n / (np.maximum(x / xd, y / yd).sum() + only[0] / xd + only[1] / yd)
-    return float(total)
+    # equal ratios x_d / y_d share their sum over e, up to the factor x_d
+    ratio = x / y
+    if (ratio == ratio[0]).all():
+        return float(x.sum() / (np.maximum(x, ratio[0] * y).sum() + only[0] + ratio[0] * only[1]))
+    ratios, which = np.unique(ratio, return_inverse=True)
+    sums = np.bincount(which, weights=x)
+    return float(sum(t / (np.maximum(x, r * y).sum() + only[0] + r * only[1]) for r, t in zip(ratios, sums, strict=True)))
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
+def signatures(sets: Sets, m: int = REGISTERS) -> np.ndarray:
     """ProbMinHash registers (64-bit) of each set, all sets at once round by round: in
-    each round every process that may still matter makes its next arrival."""
+    each round every process that may still matter makes its next arrivals (one at first,
+    later, when few are left, several)."""
     n = len(sets)
-    best = np.full(n * m, np.inf)
-    owner = np.zeros(n * m, np.uint64)
-    of = np.repeat(np.arange(n), [len(s[0]) for s in sets])
-    key = np.concatenate([s[0] for s in sets]) if n else np.zeros(0, np.uint64)
-    weight = np.concatenate([s[1] for s in sets]) if n else np.zeros(0)
+    best = np.full((n, m), np.inf)
+    flat, owner = best.reshape(-1), np.zeros(n * m, np.uint64)
+    of, key, weight = sets.of, sets.key, sets.weight
     time = np.zeros(len(key))
-    round_no = 0
+    done = 0
     while len(key):
-        round_no += 1
-        r = _mix(key + np.uint64(round_no * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log((r >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / weight
-        slot = of * m + (_mix(r + _GOLD) % np.uint64(m)).astype(np.int64)
-        early = np.flatnonzero(time < best[slot])
-        if len(early):
-            # last one wins below, so latest first
-            early = early[np.lexsort((key[early], -time[early]))]
-            best[slot[early]] = time[early]
-            owner[slot[early]] = key[early]
-        alive = time < best.reshape(n, m).max(axis=1)[of]
-        if not alive.all():
-            of, key, weight, time = of[alive], key[alive], weight[alive], time[alive]
+        k = 1 if done < 4 else 12
+        r = _mix(key + (np.arange(done + 1, done + k + 1, dtype=np.uint64) * _GOLD)[:, None])
+        times = time + np.cumsum(-np.log((r >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / weight, axis=0)
+        slot = of * m + ((_mix(r + _GOLD) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        early = np.flatnonzero(times < flat[slot])
+        at, t = slot.reshape(-1)[early], times.reshape(-1)[early]
+        np.minimum.at(flat, at, t)
+        won = t == flat[at]
+        owner[at[won]] = np.broadcast_to(key, r.shape).reshape(-1)[early[won]]
+        done, time = done + k, times[-1]
+        new = np.diff(of, prepend=-1) != 0
+        latest = best[of[new]].max(axis=1)
+        alive = np.flatnonzero(time < latest[np.cumsum(new) - 1])
+        of, key, weight, time = of[alive], key[alive], weight[alive], time[alive]
     return owner.reshape(n, m)
 
 
@@ -132,38 +190,56 @@ def bucket_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Consecutive rows of BATCH_CHARS characters at most, a longer row alone."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > BATCH_CHARS:
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def _lengths(texts: pd.Series) -> np.ndarray:
+    return np.array([len(t) + 1 if t else 1 for t in texts])
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for whole in batches:
-        sizes = whole["text"].str.len().fillna(0).to_numpy()
-        part = (np.cumsum(sizes) // BATCH_CHARS).astype(int)
-        for p in np.unique(part):
-            b = whole[part == p]
-            words = [words_of(t) for t in b["text"]]
-            sets = [shingles(w) for w in words]
+        for part in _portions(_lengths(whole["text"])):
+            b = whole.iloc[part]
+            sets = Sets(b["text"].tolist())
             sig = signatures(sets)
-            keys = bucket_keys(sig)
             yield pd.DataFrame({
                 "id": b["id"].to_numpy(),
-                "print": [hashlib.md5(" ".join(w).encode("utf-8", "surrogatepass")).digest() if w else None for w in words],
-                "bands": [k if w else None for k, w in zip(keys, words, strict=True)],
-                "registers": [(s & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if w else None for s, w in zip(sig, words, strict=True)],
+                "print": sets.prints,
+                "bands": [k if p else None for k, p in zip(bucket_keys(sig), sets.prints, strict=True)],
+                "registers": [s.tobytes() if p else None for s, p in zip((sig & np.uint64(0xFFFF)).astype(np.uint16), sets.prints, strict=True)],
             })
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    kept: dict[int, tuple[int, tuple[np.ndarray, np.ndarray]]] = {}
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs whose registers agree often enough."""
     for b in batches:
-        out = []
-        for a, c, ta, tc in zip(b["a"], b["b"], b["text_a"], b["text_b"], strict=True):
-            two = []
-            for i, t in ((a, ta), (c, tc)):
-                if i not in kept or kept[i][0] != hash(t):
-                    if len(kept) > 2000:
-                        kept.clear()
-                    kept[i] = hash(t), shingles(words_of(t))
-                two.append(kept[i][1])
-            out.append(prob_jaccard(*two))
-        yield pd.DataFrame({"a": b["a"], "b": b["b"], "similarity": out})
+        if len(b):
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), REGISTERS) for c in ("ra", "rb"))
+            yield b.loc[(x == y).mean(axis=1) >= MIN_ESTIMATE, ["a", "b"]]
+
+
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for whole in batches:
+        for part in _portions(_lengths(whole["text_a"]) + _lengths(whole["text_b"])):
+            b = whole.iloc[part]
+            texts: dict[str, int] = {}
+            at = [(texts.setdefault(x, len(texts)), texts.setdefault(y, len(texts))) for x, y in zip(b["text_a"], b["text_b"], strict=True)]
+            sets: list[tuple[np.ndarray, np.ndarray]] = []
+            distinct = list(texts)
+            for some in _portions(np.array([len(t) for t in distinct])):
+                s = Sets(distinct[some])
+                sets += [s[i] for i in range(len(s))]
+            yield pd.DataFrame({"a": b["a"].to_numpy(), "b": b["b"].to_numpy(), "similarity": [prob_jaccard(sets[x], sets[y]) for x, y in at]})
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,17 +272,70 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _compare_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of texts of different classes in two blocks of a bucket (or in one) whose
-    registers agree often enough."""
-    low, high = rows[rows["mine"] == key[1]], rows[rows["mine"] == key[2]]
-    a = np.frombuffer(b"".join(low["registers"]), np.uint16).reshape(len(low), REGISTERS)
-    c = np.frombuffer(b"".join(high["registers"]), np.uint16).reshape(len(high), REGISTERS)
-    ids_a, ids_c, in_a, in_c = (x.to_numpy() for x in (low["id"], high["id"], low["label"], high["label"]))
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between texts of different classes in two blocks of a bucket (or in one).
+    The rows of a bucket's two blocks come one after the other; what a batch ends with is
+    kept for the next."""
+    rest: pd.DataFrame | None = None
+    for b in batches:
+        rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if not len(rows):
+            continue
+        g = rows[["bucket", "low", "high"]].to_numpy()
+        cuts = np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        rest = rows.iloc[last:]
+        if last:
+            yield _links_of(rows.iloc[:last], np.concatenate([[0], cuts]))
+    if rest is not None and len(rest):
+        yield _links_of(rest, np.array([0, len(rest)]))
+
+
+def _candidates(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
+    """Places of pairs, the most alike first: of different classes, registers that agree
+    often enough, and no earlier band in common (there the pair is met as well)."""
+    registers = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), REGISTERS)
+    bands = np.stack(rows["bands"].to_list())
+    label, mine, low, high, band = (rows[c].to_numpy() for c in ("label", "mine", "low", "high", "band"))
+    out = [np.zeros((0, 3), np.int64)]
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        at = np.arange(start, end)
+        same = low[start] == high[start]
+        first, second = at[mine[at] == low[start]], at[mine[at] == high[start]]
+        for i in first:
+            others = second[(label[second] != label[i]) & (~same | (second > i))]
+            if len(others):
+                equal = (registers[others] == registers[i]).sum(axis=1)
+                k = band[i]
+                good = (equal >= MIN_ESTIMATE * REGISTERS) & ~(bands[others, :k] == bands[i, :k]).any(axis=1)
+                out.append(np.stack([np.full(good.sum(), i), others[good], equal[good]], axis=1))
+    pairs = np.concatenate(out)
+    return pairs[np.argsort(-pairs[:, 2], kind="stable"), :2]
+
+
+def _links_of(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+    """Verified links. Two classes that a link has joined need no other between them."""
+    pairs = _candidates(rows, cuts)
+    ids, label, texts = rows["id"].to_numpy(), rows["label"].to_numpy(), rows["text"].to_numpy(object)
+    needed = {int(ids[k]): int(k) for k in np.unique(pairs)}
+    places = list(needed.values())
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for part in _portions(np.array([len(texts[k]) for k in places])):
+        s = Sets([texts[k] for k in places[part]])
+        sets |= {int(ids[k]): s[i] for i, k in enumerate(places[part])}
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
     out = []
-    for i in range(len(low)):
-        hits = np.flatnonzero(((c == a[i]).mean(axis=1) >= MIN_ESTIMATE) & (in_c != in_a[i]))
-        out += [(min(ids_a[i], ids_c[j]), max(ids_a[i], ids_c[j])) for j in hits if ids_a[i] != ids_c[j]]
+    for i, j in pairs.tolist():
+        x, y = root(int(label[i])), root(int(label[j]))
+        if x != y and prob_jaccard(sets[int(ids[i])], sets[int(ids[j])]) >= THRESHOLD:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -217,9 +346,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with the same words (lower case, punctuation aside) are one distinct text.
     Distinct texts whose five-word shingles have a probability Jaccard similarity of 0.8
     or more are linked, and links chain into classes. In each bucket all texts are
-    compared with the bucket's least; texts of a bucket that are then still in different
-    classes are compared in blocks, so that a class misses no link a bucket holds, while
-    a large group of copies costs one comparison for each text.
+    compared with one of them; texts of a bucket that are then still in different classes
+    are compared in blocks, inside a task, so that a class misses no link a bucket holds,
+    while only links leave the task.
 
     A text without words (null, empty, punctuation) is a class of its own; several rows
     with one id are one document. A null id gets a null class. Other columns are
@@ -229,38 +358,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = checkpoint(texts.mapInPandas(_sketch, "id long, print binary, bands array<long>, registers binary"))
     named = sketch.filter("print is not null and id is not null")
     reps = checkpoint(named.groupBy("print").agg(F.min("id").alias("rep")))
-
-    buckets = checkpoint(
-        named.select("id", "print", "bands").join(reps.select(F.col("rep").alias("id"), "print"), ["id", "print"], "left_semi").select("id", F.explode("bands").alias("bucket"))
-    )
-    hubs = checkpoint(buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("n")).filter("hub < last"))
-    full = checkpoint(buckets.join(hubs.select("bucket", "hub", "n"), "bucket"))
-    pairs = checkpoint(full.filter("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    links = checkpoint(verified(pairs, texts))
+    distinct = named.join(reps.select(F.col("rep").alias("id"), "print"), ["id", "print"], "left_semi").select("id", "bands", "registers").dropDuplicates(["id"])
+    distinct = checkpoint(distinct)
+    registers = distinct.select("id", "registers")
+
+    buckets = distinct.select("id", F.posexplode("bands").alias("band", "bucket"))
+    hubs = buckets.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    full = checkpoint(buckets.join(hubs, "bucket"))
+    pairs = full.filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    pairs = pairs.join(registers.toDF("b", "rb"), "b").join(registers.toDF("a", "ra"), "a").select("a", "b", "ra", "rb")
+    links = checkpoint(verified(checkpoint(pairs.mapInPandas(_alike, "a long, b long")), texts))
     labels = components(links)
 
     # buckets of two are done; in larger ones, texts in different classes are left
-    larger = full.filter("n > 2").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-    larger = checkpoint(larger)
-    mixed = checkpoint(larger.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).filter("l < h and n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    left = checkpoint(larger.select("bucket", "id", "label").join(mixed, "bucket"))
-    left = left.join(named.select("id", "registers").dropDuplicates(["id"]), "id")
-    left = left.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bucket", "id", "label", "registers", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    more = left.groupBy("bucket", "low", "high").applyInPandas(_compare_blocks, "a long, b long").distinct()
-    more = checkpoint(more.join(pairs, ["a", "b"], "left_anti"))
-    again = verified(more, texts)
+    larger = full.filter("n > 2").join(labels, "id", "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
+    mixed = larger.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).filter("l < h").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    left = checkpoint(larger.select("bucket", "band", "id", "label").join(mixed, "bucket"))
+    ids = left.select("id").distinct()
+    content = distinct.join(ids, "id", "left_semi").join(texts, "id").dropDuplicates(["id"])
+    left = left.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(content, "id")
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("bucket", "band", "id", "label", "registers", "bands", "text", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    left = left.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    again = checkpoint(left.mapInPandas(_compare, "a long, b long"))
     # the classes of both rounds: links of the second join whole classes of the first
     labels = components(links.select("a", "b").union(again.select("a", "b")))
 
-    of_print = checkpoint(reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("label", "rep").alias("class")))
+    of_print = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("label", "rep").alias("class"))
     rows = sketch.select("id", "print").join(of_print, "print", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
     return rows.select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), (F.col("id") == F.col("class_id")).alias("is_first"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which the id is the least of its class; of
-    rows with one id, one stays. Rows with a null id all stay."""
-    first = near_duplicates(docs, id_col, text_col).filter("is_first").select(id_col).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    rows with one id, one stays. Rows with a null id all stay. No text is shuffled unless
+    an id is repeated or the ids to drop are too many to broadcast."""
+    classes = checkpoint(near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull()))
+    first = classes.filter("is_first").select(id_col).distinct()
+    dropped = checkpoint(classes.join(first, id_col, "left_anti").select(id_col).distinct())
+    kept = docs.join(small_side(dropped, dropped.count(), MAX_BROADCAST_IDS), id_col, "left_anti").select(docs.columns)
+    if classes.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).select(docs.columns).union(kept.filter(F.col(id_col).isNull()))
