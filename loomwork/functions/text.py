@@ -70,7 +70,7 @@ def hex_words(values: Column, row: int) -> Column:
 def split_list(text: Column, trimmed: bool = True) -> Column:
     """The parts of a comma-separated list; trimmed, empty ones are dropped."""
     parts = F.split(text, ",")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "") if trimmed else parts
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "") if trimmed else parts
 
 
 def day_phase(seconds: Column) -> Column:
