@@ -381,8 +381,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.select("bucket", "band", "id", "label", "registers", "bands", "text", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     left = left.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     again = checkpoint(left.mapInPandas(_compare, "a long, b long"))
-    # the classes of both rounds: links of the second join whole classes of the first
-    labels = components(links.select("a", "b").union(again.select("a", "b")))
+    # links of the second kind join whole classes of the first
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"class_{c}"))
+    joined = again.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("x"), F.coalesce("class_b", "b").alias("y"))
+    merged = components(joined.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("label", "merged")
+    singles = merged.join(labels.select("label"), "label", "left_anti").select(F.col("label").alias("id"), F.col("merged").alias("label"))
+    labels = labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")).unionByName(singles)
 
     of_print = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("label", "rep").alias("class"))
     rows = sketch.select("id", "print").join(of_print, "print", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
