@@ -136,3 +136,16 @@ def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def oracle(source: str = "conversations") -> str:
+    """The digests in DuckDB SQL: what the escapes add is counted, not written out."""
+    added = lambda c: f"(len({c}) - len(replace({c}, '\\', '')) + coalesce(list_sum(list_transform(regexp_extract_all({c}, '#{{3,}}'), lambda x : len(x) - 2)), 0) + " + " + ".join(f"(len({c}) - len(replace({c}, '{x}', ''))) // {len(x)}" for x in ("<turn>", "</turn>", OWN)) + ")"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {source}
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(OPEN) + len(MIDDLE) + len(CLOSE)} + len(role) + len(text) + {added("role")} + len(role) - len(replace(role, chr(10), '')) + {added("text")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
