@@ -84,7 +84,7 @@ def tar_manifests(files: DataFrame, key: str = "path", content: str = "content",
 
 
 #: A partition table: where it lies, its records, and the mark each begins with.
-TABLE_AT, RECORD, MARK, MOST = 0x8000, struct.Struct("<HBBII16sI"), 0x50AA, 128
+TABLE_AT, RECORD, RECORD_BYTES, MARK, MOST = 0x8000, "<HBBII16sI", 32, 0x50AA, 128
 
 
 def partitions(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -96,14 +96,14 @@ def partitions(files: DataFrame, key: str = "path", content: str = "content") ->
             out = []
             for k, c in zip(b["key"], b["part"], strict=True):
                 c = c or b""
-                for i, r in enumerate(RECORD.iter_unpack(c[: len(c) // RECORD.size * RECORD.size])):
+                for i, r in enumerate(struct.iter_unpack(RECORD, c[: len(c) // RECORD_BYTES * RECORD_BYTES])):
                     if r[0] != MARK:
                         break
                     out.append((k, i, r[1], r[2], r[3], r[4], r[5].split(b"\0")[0].decode("ascii", "replace"), r[6]))
             yield pd.DataFrame(out, columns=["key", "idx", "type", "subtype", "offset", "size", "name", "flags"])
 
     # only the table's bytes leave the JVM
-    rows = files.select(F.col(key).cast("string").alias("key"), F.substring(F.col(content), TABLE_AT + 1, RECORD.size * MOST).alias("part"))
+    rows = files.select(F.col(key).cast("string").alias("key"), F.substring(F.col(content), TABLE_AT + 1, RECORD_BYTES * MOST).alias("part"))
     out = rows.mapInPandas(read, "key string, idx int, type int, subtype int, offset long, size long, name string, flags long")
     return out.withColumnRenamed("key", key)
 
