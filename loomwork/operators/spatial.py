@@ -79,3 +79,15 @@ def arc_cells(x: Column, y: Column, inner: Column, outer: Column, start: Column,
         return (d >= inner * inner) & (d <= outer * outer) & (angle >= start) & (angle <= end)
 
     return F.transform(F.filter(cells, inside), lambda c: F.struct((x + c["dx"]).cast("int").alias("x"), (y + c["dy"]).cast("int").alias("y")))
+
+
+def triangle_cells(x0: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Column, width: int, height: int) -> Column:
+    """The cells of a raster on or inside a triangle, whichever way its corners go round."""
+    grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.struct(x.alias("x"), y.alias("y")))))
+    side = lambda c, ax, ay, bx, by: (bx - ax) * (c["y"] - ay) - (by - ay) * (c["x"] - ax)
+
+    def inside(c: Column) -> Column:
+        s = [side(c, x0, y0, x1, y1), side(c, x1, y1, x2, y2), side(c, x2, y2, x0, y0)]
+        return ((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))
+
+    return F.filter(grid, inside)

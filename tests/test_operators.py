@@ -145,3 +145,11 @@ def test_frames_and_cooldown():
     assert run(press, rows) == [(1, 500, 7, True), (1, 600, 8, False), (1, 2000, 5, True), (1, 2100, 6, True)]
     taps = [{"key": 1, "at": t} for t in (0, 2999, 3000, 5000, 6000)]
     assert run(machines.cooldown(3000), taps) == [(1, 0), (1, 3000), (1, 6000)]
+
+
+def test_calculator(spark):
+    from loomwork.functions import arithmetic
+
+    cases = {"2+3*4": 14, "(1+2)*3": 9, "7-2-1": 4, "8/0": 0, "1+8/0": 0, "-5": 0, "(2": 2, "3)": None, "": 0, None: None, ".5+1": 6, "2*(3+4)*5-6/3": 68, "1.5*2": 3}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.v for r in df.select("t", arithmetic.value(F.col("t")).alias("v")).collect()} == cases
