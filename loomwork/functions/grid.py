@@ -83,3 +83,24 @@ def step(cells: Column, dx: Column, dy: Column, width: int, height: int, grows:
     """The body after one step on a board whose edges join; its tail stays if it grows."""
     head = F.struct(F.pmod(cells[0]["x"] + dx, F.lit(width)).cast("int").alias("x"), F.pmod(cells[0]["y"] + dy, F.lit(height)).cast("int").alias("y"))
     return F.concat(F.array(head), F.slice(cells, 1, F.size(cells) - F.when(grows, 0).otherwise(1)))
+
+
+def level_pattern(level: Column, r: Column, c: Column, rows: int, cols: int) -> Column:
+    """Whether a cell of the levels 1 to 12 is set; the thirteenth starts over."""
+    mid = F.abs(r - rows // 2)
+    left, right = F.abs(c - cols // 4), F.abs(c - cols * 3 // 4)
+    shapes = [
+        F.lit(True),
+        (r + c) % 2 == 0,
+        mid + F.abs(c - cols // 2) <= rows // 2 + cols // 4,
+        r % 2 == 0,
+        (c >= r) & (c < cols - r),
+        (c >= rows - 1 - r) & (c < cols - (rows - 1 - r)),
+        c % 2 == 0,
+        (c + (r % 2) * 2) % 4 < 2,
+        (F.floor(r / 2) + F.floor(c / 2)) % 2 == 0,
+        mid + F.least(left, right) <= rows // 2 + 1,
+        r.isin(0, rows - 1) | c.isin(0, cols - 1),
+        (r == rows // 2) | c.isin(cols // 2, cols // 2 - 1),
+    ]
+    return F.element_at(F.array(*shapes), ((level - 1) % len(shapes) + 1).cast("int"))

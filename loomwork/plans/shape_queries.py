@@ -157,3 +157,16 @@ def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda cells: F.size(cells).cast("long")
     quarter = sp.arc_cells(F.lit(0), F.lit(0), F.floor(r / 2).cast("int"), r, F.lit(0.0), F.lit(90.0))
     return table(spark, sf_dir, "supplier").select("s_suppkey", n(sp.disc_cells(F.lit(0), F.lit(0), r)).alias("disc"), n(sp.disc_cells(F.lit(0), F.lit(0), r, True)).alias("rim"), n(quarter).alias("quarter"))
+
+
+@query("""
+WITH c AS (SELECT s_suppkey AS level, r, unnest(range(0, 10)) AS c FROM (SELECT s_suppkey, unnest(range(0, 6)) AS r FROM supplier WHERE s_suppkey BETWEEN 1 AND 500))
+SELECT level, count(*) FILTER (CASE (level - 1) % 12 WHEN 0 THEN true WHEN 1 THEN (r + c) % 2 = 0 WHEN 2 THEN abs(r - 3) + abs(c - 5) <= 5 WHEN 3 THEN r % 2 = 0 WHEN 4 THEN c >= r AND c < 10 - r
+  WHEN 5 THEN c >= 5 - r AND c < 10 - (5 - r) WHEN 6 THEN c % 2 = 0 WHEN 7 THEN (c + r % 2 * 2) % 4 < 2 WHEN 8 THEN (r // 2 + c // 2) % 2 = 0 WHEN 9 THEN abs(r - 3) + least(abs(c - 2), abs(c - 7)) <= 4
+  WHEN 10 THEN r IN (0, 5) OR c IN (0, 9) ELSE r = 3 OR c IN (4, 5) END) AS cells FROM c GROUP BY 1
+""")
+def level_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells each level sets on a board of 6 x 10."""
+    level = F.col("s_suppkey")
+    b = table(spark, sf_dir, "supplier").filter(level.between(1, 500)).select(level.alias("level"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return b.groupBy("level").agg(F.count_if(grid.level_pattern(F.col("level"), F.col("r"), F.col("c"), 6, 10)).alias("cells"))

@@ -172,3 +172,51 @@ def truncated_utf8(data: Column, most: int, whole: bool = True) -> Column:
         return parts.map(lambda d: None if d is None else bytes(d).decode("utf-8", "ignore" if whole else "replace"))
 
     return cut(F.substring(data, 1, most))
+
+
+#: Fixed values of a firmware image: its first byte, the chip it must be made for, the
+#: sizes of its header and of a segment's, where a description has its version, its size.
+IMAGE_MARK, CHIP, HEADER_BYTES, SEGMENT_BYTES, VERSION_AT, DESCRIPTION_BYTES = 0xE9, 13, 24, 8, 16, 256
+
+
+def image_headers(files: DataFrame, key: str = "path", content: str = "content", at: Column | int = 0) -> DataFrame:
+    """key, version, error of the firmware image that begins at byte ``at``: the error is
+    null for a good image, the version ``unknown`` if its description is cut off. Bytes
+    are compared as column expressions; only the header is read."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    c = F.col(content)
+    byte = lambda i: F.conv(F.hex(F.substring(c, at.cast("int") + i + 1, F.lit(1))), 16, 10).cast("int")
+    size = F.length(c) - at
+    first = HEADER_BYTES + SEGMENT_BYTES
+    chip = byte(12) + byte(13) * 256
+    error = (
+        F.when(c.isNull() | (size < HEADER_BYTES), "no header")
+        .when(byte(0) != IMAGE_MARK, "not an image")
+        .when(chip != CHIP, F.concat(F.lit("made for chip "), chip.cast("string")))
+        .when(size < first, "no segment")
+    )
+    text = F.regexp_replace(F.decode(F.substring(c, at.cast("int") + first + VERSION_AT + 1, F.lit(32)), "ISO-8859-1"), "(?s)\u0000.*", "")
+    version = F.when(size >= first + DESCRIPTION_BYTES, text).otherwise("unknown")
+    return files.select(F.col(key), F.when(error.isNull(), version).alias("version"), error.alias("error"))
+
+
+def contents(events: DataFrame, key: str, base: str = "") -> DataFrame:
+    """key, seq, title, href of the table of contents in a navigation document's events.
+
+    As the readers of these files have it, there is one current entry: an inner entry
+    takes the place of its outer one, and every end gives the last entry out again. Hrefs
+    lose their fragment and are resolved against ``base``."""
+    from pyspark.sql import Window
+
+    from ..functions.text import resolved
+
+    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    opened = (F.col("kind") == "element") & (F.col("name") == "navPoint")
+    closed = (F.col("kind") == "end") & (F.col("name") == "navPoint")
+    label = F.when(F.col("name") == "navLabel", F.when(F.col("kind") == "element", 1).when(F.col("kind") == "end", 0))
+    rows = events.select(key, "seq", closed.alias("closed"), F.sum(opened.cast("int")).over(w).alias("entry"), F.last(label, True).over(w).alias("in_label"), F.last(F.when(opened, True).when(closed, False), True).over(w).alias("inside"), "kind", "name", "value", "attrs")
+    title = F.when((F.col("kind") == "text") & (F.col("in_label") == 1), F.col("value"))
+    href = F.when((F.col("kind") == "element") & (F.col("name") == "content") & F.col("inside"), F.coalesce(F.try_element_at("attrs", F.lit("src")), F.lit("")))
+    own = Window.partitionBy(key, "entry").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(key, "seq", "closed", F.last(title, True).over(own).alias("title"), F.substring_index(F.last(href, True).over(own), "#", 1).alias("href"))
+    return rows.filter("closed and title <> '' and href <> ''").select(key, "seq", "title", resolved(F.lit(base), F.col("href")).alias("href"))

@@ -103,3 +103,27 @@ def test_fold_over_a_stream(spark, tmp_path):
     spark.createDataFrame([(1, 2999), (1, 3000), (2, 60)], "key long, at long").coalesce(1).write.mode("append").parquet(str(src))
     run()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 0), (2, 50), (1, 3000)}
+
+
+def test_contents(spark):
+    ncx = (
+        "<ncx><navMap><navPoint><navLabel><text>One</text></navLabel><content src='a.html#x'/></navPoint>"
+        "<navPoint><navLabel><text>Outer</text></navLabel><content src='b.html'/><navPoint><navLabel><text>Inner</text></navLabel><content src='../c.html'/></navPoint></navPoint>"
+        "<navPoint><navLabel><text>No link</text></navLabel></navPoint></navMap></ncx>"
+    )
+    df = spark.createDataFrame([(1, ncx), (2, None), (3, "")], "id int, x string")
+    got = archives.contents(archives.xml_events(df, "id", "x"), "id", "OEBPS").orderBy("seq").collect()
+    assert [(r.title, r.href) for r in got] == [("One", "OEBPS/a.html"), ("Inner", "c.html"), ("Inner", "c.html")]
+
+
+def test_image_headers(spark):
+    def image(chip=13, mark=0xE9, size=400):
+        b = bytearray(400)
+        b[0], b[12], b[13] = mark, chip & 255, chip >> 8
+        b[48:53] = b"1.2.3"
+        return bytes(b[:size])
+
+    rows = [(1, image()), (2, image(chip=261)), (3, image(mark=1)), (4, image(size=10)), (5, image(size=28)), (6, image(size=100)), (7, None)]
+    df = spark.createDataFrame(rows, "path int, content binary")
+    got = {r.path: (r.version, r.error) for r in archives.image_headers(df).collect()}
+    assert got == {1: ("1.2.3", None), 2: (None, "made for chip 261"), 3: (None, "not an image"), 4: (None, "no header"), 5: (None, "no segment"), 6: ("unknown", None), 7: (None, "no header")}
