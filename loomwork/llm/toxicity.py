@@ -110,10 +110,11 @@ class Model:
         return float(sigmoid(self.base + sum(self.weight[p] for p in sorted(hit))))
 
 
-def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], n_features: int = 400, min_rows: int = 3, min_lift: float = 4.5, l2: float = 1.0, penalty: float = 20.0, steps: int = 25) -> Model:
+def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], n_features: int = 1000, min_rows: int = 3, min_lift: float = 3.0, l2: float = 1.0, balance: float = 0.7, penalty: float = 20.0, steps: int = 25) -> Model:
     """Rows: the features of each labelled text. Changes: for each swap the features of
     the text as it is and as swapped. Features are chosen by how much more often toxic
-    texts have them; the loss is the logistic one, the classes weighted alike, plus l2 and
+    texts have them (a z-score over ``min_lift``); the loss is the logistic one, the rarer
+    class weighted up (``balance`` 1: both alike, 0: not at all), plus l2 and
     ``penalty`` times the mean squared change of the score's log odds over the swaps."""
     toxic = y > 0.5
     count = [np.bincount(np.concatenate([np.zeros(0, np.int64), *[r for r, t in zip(rows, toxic, strict=True) if t == side]]), minlength=DIMS) for side in (False, True)]
@@ -135,7 +136,8 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.nd
             change[k, [place[int(p)] for p in side[np.isin(side, chosen)]]] += sign
     change = np.unique(change, axis=0) if len(change) else change
     cost = penalty * len(y) / max(1, len(change)) * change.T @ change
-    weight = np.where(toxic, len(y) / (2 * n[1]), len(y) / (2 * n[0]))
+    weight = np.where(toxic, (n[0] / n[1]) ** balance, 1.0)
+    weight *= len(y) / weight.sum()
     ridge = np.append(np.full(len(chosen), l2), 1e-3)
     w = np.zeros(len(chosen) + 1)
     for _ in range(steps):
