@@ -62,14 +62,14 @@ def _manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
     text = F.array(
         F.lit("# made up"), F.lit(""), F.concat(F.lit(" app.id = "), F.lower("p_brand")), F.concat(F.lit("app.name="), "p_name"), F.concat(F.lit("app.version.code="), s("p_size")),
-        F.concat(F.lit("app.description=a=b "), "p_type"), F.concat(F.lit("app.version.code="), F.when(F.col("p_size") % 3 == 0, "x").otherwise(s("p_partkey"))), F.lit("target.platforms=esp32, esp32s3,,p4"), F.lit("no value"),
+        F.concat(F.lit("app.description=a=b "), "p_type"), F.concat(F.lit("app.version.code="), F.when(F.col("p_size") % 3 == 0, "x").otherwise(s("p_partkey"))), F.lit("target.platforms=board1, board2,,board3"), F.lit("no value"),
     )
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(text).alias("line_no", "line"))
 
 
 @query("""
 WITH v AS (SELECT *, unnest([{'n': 'app.id', 'v': lower(p_brand)}, {'n': 'app.name', 'v': trim(p_name)}, {'n': 'app.description', 'v': 'a=b ' || p_type},
-  {'n': 'app.version.code', 'v': CASE WHEN p_size % 3 = 0 THEN 'x' ELSE p_partkey::VARCHAR END}, {'n': 'target.platforms', 'v': 'esp32, esp32s3,,p4'}]) AS e FROM part)
+  {'n': 'app.version.code', 'v': CASE WHEN p_size % 3 = 0 THEN 'x' ELSE p_partkey::VARCHAR END}, {'n': 'target.platforms', 'v': 'board1, board2,,board3'}]) AS e FROM part)
 SELECT p_partkey, e.n AS name, e.v AS value FROM v
 """)
 def property_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def property_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, lower(p_brand) AS app, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_partkey END::INTEGER AS code, 'esp32|esp32s3|p4' AS platforms, lower(p_brand) || '-' || CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_partkey END || '.app' AS file,
+SELECT p_partkey, lower(p_brand) AS app, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_partkey END::INTEGER AS code, 'board1|board2|board3' AS platforms, lower(p_brand) || '-' || CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_partkey END || '.app' AS file,
   'manifest.version,target.sdk,app.version.name' AS missing FROM part
 """)
 def app_index(spark: SparkSession, sf_dir: str) -> DataFrame:
