@@ -242,12 +242,16 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": b["a"].to_numpy(), "b": b["b"].to_numpy(), "similarity": [prob_jaccard(sets[x], sets[y]) for x, y in at]})
 
 
+def texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts with these ids. Only they are shuffled later on: the ids are sent to the
+    scan if they are few enough, else the texts go through a shuffled semi-join."""
+    ids = checkpoint(ids)
+    return texts.join(small_side(ids, ids.count(), MAX_BROADCAST_IDS), "id", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs with a similarity of THRESHOLD or more.
-    Only texts of candidates are shuffled: the ids are sent to the scan if they are few
-    enough, else the texts go through a shuffled semi-join."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = texts.join(small_side(ids, ids.count(), MAX_BROADCAST_IDS), "id", "left_semi")
+    """(a, b, similarity) of the candidate pairs with a similarity of THRESHOLD or more."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
     first = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     second = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     rows = pairs.join(first, "b").join(second, "a").select("a", "b", "text_a", "text_b")
@@ -374,8 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     larger = full.filter("n > 2").join(labels, "id", "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
     mixed = larger.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).filter("l < h").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     left = checkpoint(larger.select("bucket", "band", "id", "label").join(mixed, "bucket"))
-    ids = left.select("id").distinct()
-    content = distinct.join(ids, "id", "left_semi").join(texts, "id").dropDuplicates(["id"])
+    content = distinct.join(texts_of(left.select("id").distinct(), texts), "id").dropDuplicates(["id"])
     left = left.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(content, "id")
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("bucket", "band", "id", "label", "registers", "bands", "text", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
