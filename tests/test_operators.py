@@ -153,3 +153,20 @@ def test_calculator(spark):
     cases = {"2+3*4": 14, "(1+2)*3": 9, "7-2-1": 4, "8/0": 0, "1+8/0": 0, "-5": 0, "(2": 2, "3)": None, "": 0, None: None, ".5+1": 6, "2*(3+4)*5-6/3": 68, "1.5*2": 3}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert {r.t: r.v for r in df.select("t", arithmetic.value(F.col("t")).alias("v")).collect()} == cases
+
+
+def test_envelope_and_small_columns(spark):
+    at = spark.range(0, 101, 5).select(F.col("id").alias("t"), audio.envelope(F.col("id"), F.lit(100), F.lit(10), F.lit(20), F.lit(0.5), F.lit(25)).alias("g"))
+    g = {r.t: r.g for r in at.collect()}
+    assert (g[0], g[5], g[10], g[30], g[50], g[100]) == (0.0, 0.5, 1.0, 0.5, 0.5, 0.0)
+    assert abs(g[90] - 0.5 * 10 / 25) < 1e-12
+    r = spark.range(1).select(
+        tx.split_list(F.lit("a, b"), trimmed=False).alias("raw"), tx.split_list(F.lit("a, b,,")).alias("cut"), tx.hex_words(F.array(F.lit(1), F.lit(255), F.lit(4096)), 2).alias("hex"),
+        tx.first_part(F.lit("/data/x/y"), "/sdcard").alias("root"), tx.first_part(F.lit("x"), "/sdcard").alias("none"), bits.bits_set(F.lit(0b1011), 12).alias("n"), tx.plural(F.lit(1), "item", "items", "none").alias("one"),
+    ).first()
+    assert (r.raw, r.cut, r.hex, r.root, r.none, r.n, r.one) == (["a", " b"], ["a", "b"], "0x0001, 0x00FF,\n0x1000", "/data", "/sdcard", 3, "1 item")
+
+
+def test_ticks(spark):
+    df = spark.sql("select timestamp_seconds(id * 10) as ts from range(9)")
+    assert sorted(r.n for r in fold.ticks(df, 30).collect()) == [3, 3, 3]
