@@ -276,6 +276,27 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, id, label, ...) of buckets with several classes, each with its
+    block (``mine``) and the blocks it has to be compared with (``others``).
+
+    A class of BLOCK texts or more has blocks of its own, which are not compared among
+    themselves; smaller classes of a bucket share blocks. So a large class meets the few
+    texts beside it once, however large it is."""
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    pools = sizes.groupBy("bucket", F.when(F.col("m") >= BLOCK, F.col("label")).alias("pool")).agg(F.sum("m").alias("m"), F.count("*").alias("classes"))
+    # null, the shared pool, is sorted first
+    groups = pools.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("pool", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")))).alias("groups"), F.sum("classes").alias("classes"))
+    left = rows.join(groups.filter("classes > 1").drop("classes"), "bucket")
+    own = F.array_position(F.transform("groups", lambda g: g["pool"]), F.col("label"))
+    left = left.withColumn("own", F.when(own > 0, own).otherwise(1).cast("int"))
+    code = lambda g, k: g.cast("long") * F.lit(1 << 32) + k
+    left = left.withColumn("mine", code(F.col("own"), F.pmod(F.xxhash64("id"), F.element_at("groups", F.col("own"))["blocks"])))
+    none = F.array().cast("array<long>")
+    others = F.transform("groups", lambda g, i: F.when((i + 1 == F.col("own")) & g["pool"].isNotNull(), none).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), g["blocks"] - 1), lambda k: code(i + 1, k))))
+    return left.withColumn("others", F.flatten(others)).drop("groups", "own")
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between texts of different classes in two blocks of a bucket (or in one).
     The rows of a bucket's two blocks come one after the other; what a batch ends with is
@@ -375,12 +396,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     # buckets of two are done; in larger ones, texts in different classes are left
-    larger = full.filter("n > 2").join(labels, "id", "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
-    mixed = larger.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).filter("l < h").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = checkpoint(larger.select("bucket", "band", "id", "label").join(mixed, "bucket"))
+    larger = full.filter("n > 2").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
+    left = checkpoint(in_blocks(larger))
     content = distinct.join(texts_of(left.select("id").distinct(), texts), "id").dropDuplicates(["id"])
-    left = left.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(content, "id")
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.join(content, "id").withColumn("other", F.explode("others"))
     left = left.select("bucket", "band", "id", "label", "registers", "bands", "text", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     left = left.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     again = checkpoint(left.mapInPandas(_compare, "a long, b long"))

@@ -273,6 +273,22 @@ def test_classes_equal_brute_force(spark):
     assert kept == sorted(set(got.values()))
 
 
+def test_blocks_bring_all_classes_together(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(9)
+    rows = [(b, i, rng.choice([100, 100, 100, 200, 200, i]) if b else 7) for b in range(4) for i in range(b * 100, b * 100 + 30)]
+    got = neardup.in_blocks(spark.createDataFrame(rows, "bucket long, id long, label long")).collect()
+    assert {r.bucket for r in got} == {1, 2, 3}
+    met = {}
+    for r in got:
+        for o in r.others:
+            met.setdefault((r.bucket, min(r.mine, o), max(r.mine, o)), []).append(r)
+    together = {(x.id, y.id) for rs in met.values() for x in rs for y in rs if x.id < y.id and {x.mine, y.mine} == {min(x.mine, y.mine), max(x.mine, y.mine)}}
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]}
+    assert want <= together
+    assert max(len(rs) for rs in met.values()) <= 24
+
+
 def test_class_edges(spark):
     got = sorted(((r.doc_id, r.class_id, r.is_first) for r in neardup.near_duplicates(edge_docs(spark).withColumn("class_id", F.lit(0))).collect()), key=str)
     assert len(got) == 7 and (None, None, None) in got and got.count((4, 4, True)) == 2
