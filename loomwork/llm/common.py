@@ -107,28 +107,32 @@ def apply_logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 3) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, c: float = 1.0, epochs: int = 12, seed: int = 3) -> np.ndarray:
     """A linear support vector machine (hinge loss, y in -1 and 1) by dual coordinate
-    descent; the last weight belongs to a constant feature."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    descent over the given rows of ``x``, which is not copied; y has one entry for each of
+    them. The last weight belongs to a constant feature."""
+    rows = np.arange(len(x)) if rows is None else rows
     n_pos, n_neg = max(1, (y > 0).sum()), max(1, (y < 0).sum())
     bound = np.where(y > 0, len(y) / (2 * n_pos), len(y) / (2 * n_neg)) * c
-    q = np.einsum("ij,ij->i", x, x)
-    a = np.zeros(len(x))
-    w = np.zeros(x.shape[1], np.float32)
+    q = np.einsum("ij,ij->i", x, x)[rows] + 1.0
+    a = np.zeros(len(rows))
+    w, base = np.zeros(x.shape[1], np.float32), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            g = y[i] * float(w @ x[i]) - 1.0
+        for i in rng.permutation(len(rows)):
+            row = x[rows[i]]
+            g = y[i] * (float(w @ row) + base) - 1.0
             new = min(max(a[i] - g / q[i], 0.0), bound[i])
             if new != a[i]:
-                w += np.float32((new - a[i]) * y[i]) * x[i]
+                by = (new - a[i]) * y[i]
+                w += np.float32(by) * row
+                base += by
                 moved = max(moved, abs(new - a[i]))
                 a[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, np.float32(base))
 
 
 # ------------------------------------------------------------- n-gram features
@@ -173,7 +177,8 @@ def letter_ngrams(text: str, dims: int) -> np.ndarray:
 
 
 def unit_rows(counts: np.ndarray) -> np.ndarray:
-    """Square roots of the counts, each row of length one."""
-    x = np.sqrt(counts).astype(np.float32)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    return x / np.maximum(norm, 1e-9)[:, None]
+    """Square roots of the counts, each row of length one; float32 counts are overwritten."""
+    x = counts.astype(np.float32, copy=False)
+    np.sqrt(x, out=x)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    return x

@@ -69,7 +69,7 @@ def _pairs(x: np.ndarray, y: np.ndarray, classes: list[str], c: float) -> np.nda
     out = []
     for a, b in combinations(classes, 2):
         rows = np.flatnonzero((y == a) | (y == b))
-        out.append(fit_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0), c=c))
+        out.append(fit_svm(x, np.where(y[rows] == a, 1.0, -1.0), rows, c=c))
     return np.array(out, np.float32)
 
 
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, sample_rows: int = 6000, families: dict[str, list[s
     levels = {"": (names, _pairs(x, family, names, c))}
     for name in names:
         inside = sorted(set(lang[family == name]))
-        levels[name] = (inside, _pairs(x[family == name], lang[family == name], inside, c))
+        levels[name] = (inside, _pairs(x, lang, inside, c))
     return Model(levels)
 
 
