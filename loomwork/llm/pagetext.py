@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
 Every block element's subtree is hashed; Spark counts per host on how many different
-pages a subtree occurs; subtrees that recur on many pages of their host are deleted.
-What is left of the article is written out block by block."""
+pages, or in how many different articles, a subtree occurs; subtrees that recur on a
+number of them are deleted. What is left of the article is written out block by block."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_side
+from .common import checkpoint
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp".split())
@@ -33,14 +33,11 @@ DROP_WORDS = frozenset(
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-#: Inside an article only these are looked at for templates; its paragraphs and
-#: headings may recur in copies of the article and stay.
-CONTAINERS = frozenset("div section aside nav form menu dialog".split())
-#: A subtree is a template if it is on so many different pages of its host, and on this
-#: share of them.
-MIN_PAGES, MIN_SHARE = 8, 0.2
+#: A subtree is a template if it is on so many different pages of its host, or in so many
+#: different articles.
+MIN_PAGES = 8
 #: (host, subtree) rows that are broadcast at most; more are joined by a shuffle.
-MAX_BROADCAST_HOSTS = 50_000
+MAX_BROADCAST_ROWS = 200_000
 
 #: Elements nested deeper than this are read as part of what encloses them.
 MAX_DEPTH = 300
@@ -139,21 +136,50 @@ def fingerprint(html: str, node: Node) -> int:
     return xxhash.xxh64_intdigest(_SPACE.sub(" ", html[node.start : node.end]).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def subtrees(html: str) -> set[int]:
-    """Hashes of all subtrees of a page that may be parts of a template."""
-    out: set[int] = set()
-
-    def walk(node: Node, inside: bool) -> None:
-        for x in node.parts:
-            if isinstance(x, Node):
-                if x.tag in RAW or x.tag == "head":
-                    continue
-                if x.tag in (CONTAINERS if inside else BLOCK) and x.tag not in ("html", "body") and not x.main and not x.holds_main:
-                    out.add(fingerprint(html, x))
-                walk(x, inside or x.main)
-
-    walk(parse(html), False)
-    return out
+def subtrees(html: str) -> dict[int, int]:
+    """Hashes of all subtrees of a page that may be parts of a template, each with a hash of
+    where it is: of the page or, where it is only in an article, of the longest text of
+    the article, by which the article and its copies are known."""
+    page = fingerprint(html, root := parse(html))
+    outside: dict[int, int] = {}
+    inside: dict[int, int] = {}
+    article: Node | None = None
+    found: list[int] = []
+    runs: list[list[str]] = []
+    skipped = 0
+    todo: list[tuple[Node | str, bool]] = [(root, False)]
+    while todo:
+        x, leaving = todo.pop()
+        if isinstance(x, str):
+            if article is not None and not skipped:
+                runs[-1].append(x)
+            continue
+        skip = article is not None and (x.tag in DROP or x.marked) and x is not article
+        if leaving:
+            skipped -= skip
+            if x.tag in BLOCK:
+                runs.append([])
+            if x is article:
+                text = max((" ".join(entities.unescape("".join(r)).split()) for r in runs), key=lambda t: (len(t), t))
+                place = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                inside.update((h, place) for h in found)
+                article = None
+            continue
+        if x.tag in RAW or x.tag == "head":
+            continue
+        if x.tag in BLOCK:
+            runs.append([])
+        if x.tag in BLOCK and x.tag not in ("html", "body") and not x.main and not x.holds_main:
+            if article is None:
+                outside[fingerprint(html, x)] = page
+            else:
+                found.append(fingerprint(html, x))
+        if article is None and x.main and (x.tag == "article" or not x.holds_main):
+            article, found, runs, skipped = x, [], [[]], 0
+        skipped += skip
+        todo.append((x, True))
+        todo += [(part, False) for part in reversed(x.parts)]
+    return inside | outside
 
 
 def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -163,70 +189,76 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
         return ""
     root = parse(html)
 
-    def dropped(x: Node, inside: bool) -> bool:
+    def dropped(x: Node) -> bool:
         if x.tag in DROP:
             return True
         if x.tag in ("html", "body") or x.main and not x.marked:
             return False
         if x.marked and not x.holds_main:
             return True
-        return bool(templates) and x.tag in (CONTAINERS if inside else BLOCK) and fingerprint(html, x) in templates and not x.holds_main
+        return bool(templates) and x.tag in BLOCK and fingerprint(html, x) in templates and not x.holds_main
 
     def mains(node: Node, tags: tuple[str, ...]) -> list[Node]:
         found: list[Node] = []
         for x in node.parts:
-            if isinstance(x, Node) and not dropped(x, False):
+            if isinstance(x, Node) and not dropped(x):
                 found += [x] if x.tag in tags or x.main and "main" in tags else mains(x, tags)
         return found
 
     starts = mains(root, ("article",)) or mains(root, ("main",)) or [root]
     blocks: list[list[str]] = [[]]
 
-    def write(node: Node, inside: bool) -> None:
+    def write(node: Node) -> None:
         for x in node.parts:
             if isinstance(x, str):
                 blocks[-1].append(x)
             elif x.tag == "br":
                 blocks[-1].append(" ")
-            elif not dropped(x, inside):
+            elif not dropped(x):
                 block = x.tag in BLOCK
                 if block:
                     blocks.append([])
-                write(x, inside)
+                write(x)
                 if block:
                     blocks.append([])
 
     for s in starts:
         blocks.append([])
-        write(s, s is not root)
+        write(s)
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtrees): the hashes of a host's template subtrees. ``pages`` has host and
-    html. Exact copies of a page count once. Each page sends a row for each distinct
-    subtree, summed before the shuffle; a host keeps at most as many subtrees as a page
-    has on average, divided by ``min_share``."""
+def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, subtree, place, page) rows of pages with host and html."""
+    for b in batches:
+        out = []
+        for host, html in zip(b["host"], b["html"], strict=True):
+            page = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) - (1 << 63)
+            out += [(host, h, place, page) for h, place in subtrees(html).items()]
+        yield pd.DataFrame(out, columns=["host", "subtree", "place", "page"])
+
+
+_SUBTREES = "host string, subtree long, place long, page long"
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, subtree) rows: the hashes of a host's template subtrees. ``pages`` has host
+    and html. Exact copies of a page count once, and so do copies of an article for what is
+    only in it. The bar is the same for hosts of any size. Each page sends a row for each
+    distinct subtree, summed before the shuffle."""
+    rows = pages.filter("host is not null and html is not null").mapInPandas(_subtrees, _SUBTREES)
+    counts = rows.groupBy("host", "subtree", "place").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") >= min_pages).select("host", "subtree")
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for host, page in zip(b["host"], b["html"], strict=True):
-                copy = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")) - (1 << 63)
-                out += [(host, h, copy) for h in subtrees(page)]
-                out.append((host, None, copy))
-            yield pd.DataFrame(out, columns=["host", "subtree", "copy"]).astype({"subtree": "Int64"})
 
-    rows = pages.filter("host is not null and html is not null").mapInPandas(hashes, "host string, subtree long, copy long")
-    counts = rows.groupBy("host", "subtree", "copy").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counts = checkpoint(counts.filter(F.col("subtree").isNull() | (F.col("n") >= min_pages)))
-    sizes = counts.filter("subtree is null").select("host", F.col("n").alias("pages"))
-    common = counts.filter("subtree is not null").join(sizes, "host").filter((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages")))
-    return common.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("subtrees"))
+def _with_page(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keys = [None if t is None else xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in b["html"]]
+        yield b.assign(page=pd.array(keys, "Int64"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """id, url, text, n_chars for every row of ``pages``.
 
     Null and empty pages have the empty text and length 0. Pages without a url or a host
@@ -235,19 +267,26 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("host"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", F.when(F.col("host") != "", F.col("host")))
-    found = checkpoint(templates(rows, min_pages, min_share))
-    rows = rows.join(small_side(found, found.count(), MAX_BROADCAST_HOSTS), "host", "left")
+    found = checkpoint(templates(rows, min_pages))
+    if found.count() <= MAX_BROADCAST_ROWS:
+        sets: dict[str, set[int]] = {}
+        for host, subtree in found.toPandas().itertuples(index=False):
+            sets.setdefault(host, set()).add(subtree)
+        shared = rows.sparkSession.sparkContext.broadcast(sets)
+        rows = rows.withColumn("subtrees", F.lit(None).cast("array<long>"))
+    else:
+        # each page gets the templates that are on it, so no row grows with its host
+        shared = rows.sparkSession.sparkContext.broadcast({})
+        seen = rows.filter("host is not null and html is not null").mapInPandas(_subtrees, _SUBTREES).join(found, ["host", "subtree"], "left_semi")
+        seen = seen.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))
+        rows = rows.mapInPandas(_with_page, "id string, url string, host string, html string, page long").join(seen, ["host", "page"], "left")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: dict[str, frozenset[int]] = {}
+        sets = shared.value
         for b in batches:
             out = []
             for host, page, found in zip(b["host"], b["html"], b["subtrees"], strict=True):
-                if host is not None and host not in sets:
-                    if len(sets) > 10_000:
-                        sets.clear()
-                    sets[host] = frozenset(() if found is None else found.tolist())
-                out.append(main_text(page, sets[host] if host is not None else frozenset()))
+                out.append(main_text(page, sets.get(host, frozenset()) if found is None else set(found.tolist())))
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": out})
 
     out = rows.select("id", "url", "host", "html", "subtrees").mapInPandas(texts, "id string, url string, text string")

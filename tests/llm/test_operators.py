@@ -151,6 +151,28 @@ def test_page_text(spark):
     assert pagetext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_of_a_large_host(spark, monkeypatch):
+    """A notice on a few of a host's many pages is a template, a list in an article too;
+    the paragraphs of copies of one article are not."""
+    rng = random.Random(5)
+    widget = '<div class="box7"><p>Buy one today</p></div>'
+    notice = "<ul><li>First published elsewhere</li></ul>"
+    own = {i: words(rng, 12) for i in range(300)}
+    page = lambda i: f"<body>{widget if i < 12 else ''}<p>top {i}</p><article><p>{own[i]}</p>{notice if 50 <= i < 62 else ''}</article></body>"
+    copy = lambda i: f"<body><article><h1>Copied</h1><p>{own[0]} again</p><p>Seen {i} times</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in own] + [(1000 + i, f"http://h.example/c{i}", copy(i)) for i in range(20)]
+    # a page of the same host without an article shows the widget outside of one
+    rows.append((2000, "http://h.example/w", f"<body>{widget}<p>plain</p></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (pagetext.MAX_BROADCAST_ROWS, 0):
+        monkeypatch.setattr(pagetext, "MAX_BROADCAST_ROWS", bound)
+        got = {r.page_id: r.text for r in pagetext.extract(pages).collect()}
+        assert len(got) == len(rows)
+        assert got[2000] == "plain"
+        assert all(got[i] == own[i] for i in own)
+        assert all(got[1000 + i] == f"Copied\n{own[0]} again\nSeen {i} times" for i in range(20))
+
+
 # -------------------------------------------------------------------- quality
 
 
