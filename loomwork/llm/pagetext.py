@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,9 +40,6 @@ MIN_PAGES = 8
 #: (host, subtree) rows that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
-#: Elements nested deeper than this are read as part of what encloses them.
-MAX_DEPTH = 300
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD_SPLIT = re.compile(r"[^a-z]+")
@@ -56,19 +54,31 @@ class Node:
     main: bool = False
     holds_main: bool = False
     end: int = 0
+    hash: int = 0
     parts: list = field(default_factory=list)
 
 
 def parse(html: str) -> Node:
     """A tree of elements and text runs; tags that are not closed are closed by what
-    encloses them or by the next block."""
+    encloses them or by the next block. Elements may be nested to any depth: the places of
+    open elements are kept by tag, so no tag searches the stack."""
     root = Node("#root", 0)
     stack = [root]
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
     at, n = 0, len(html)
 
     def pop_to(depth: int, end: int) -> None:
         while len(stack) > depth:
-            stack.pop().end = end
+            node = stack.pop()
+            node.end = end
+            if node is not root:
+                places[node.tag].pop()
+                if node.tag in BLOCK:
+                    blocks.pop()
+
+    def innermost(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -86,28 +96,18 @@ def parse(html: str) -> Node:
                 stack[-1].parts.append(entities.escape(m.group(1)))
             continue
         if m.group(2):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    pop_to(depth + 1, m.start())
-                    stack.pop().end = at
-                    break
-                if stack[depth].tag in BLOCK and tag not in BLOCK:
-                    break  # an inline end tag does not close blocks
+            # an inline end tag does not close blocks
+            if places[tag] and (tag in BLOCK or not blocks or blocks[-1] < places[tag][-1]):
+                depth = places[tag][-1]
+                pop_to(depth + 1, m.start())
+                pop_to(depth, at)
             continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    pop_to(depth, m.start())
-                    break
-                if stack[depth].tag in BLOCK:
-                    break
+        if tag in CLOSES_P and blocks and stack[blocks[-1]].tag == "p":
+            pop_to(blocks[-1], m.start())
         if tag in SAME:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in SAME[tag]:
-                    pop_to(depth, m.start())
-                    if stack[-1].tag not in SAME[tag]:
-                        break
-                elif stack[depth].tag in LIMITS[tag]:
+            while (depth := innermost(SAME[tag])) > innermost(LIMITS[tag]):
+                pop_to(depth, m.start())
+                if stack[-1].tag not in SAME[tag]:
                     break
         node = Node(tag, m.start(), end=at)
         attributes = m.group(4)
@@ -122,25 +122,44 @@ def parse(html: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
             at = close.end() if close else n
             node.end = at
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID:
             if node.main and not node.marked:
-                for x in stack[:-1]:
-                    x.holds_main = True
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth].holds_main:
+                        break
+                    stack[depth].holds_main = True
+            places[tag].append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append(node)
     pop_to(0, n)
     return root
 
 
-def fingerprint(html: str, node: Node) -> int:
-    """64-bit hash of the subtree, white space aside."""
-    return xxhash.xxh64_intdigest(_SPACE.sub(" ", html[node.start : node.end]).encode("utf-8", "surrogatepass")) - (1 << 63)
+def hashed(html: str) -> Node:
+    """The tree of a page, each element with a 64-bit hash of its subtree, white space aside.
+    An element's hash is over its own source and its children's hashes, so each
+    character is read once."""
+    root = parse(html)
+    order = [root]
+    for node in order:
+        order += [x for x in node.parts if isinstance(x, Node)]
+    for node in reversed(order):
+        own, at = [], node.start
+        for x in node.parts:
+            if isinstance(x, Node):
+                own += [html[at : x.start], f"\0{x.hash}\0"]
+                at = x.end
+        own.append(html[at : node.end])
+        node.hash = xxhash.xxh64_intdigest(_SPACE.sub(" ", "".join(own)).encode("utf-8", "surrogatepass")) - (1 << 63)
+    return root
 
 
 def subtrees(html: str) -> dict[int, int]:
     """Hashes of all subtrees of a page that may be parts of a template, each with a hash of
     where it is: of the page or, where it is only in an article, of the longest text of
     the article, by which the article and its copies are known."""
-    page = fingerprint(html, root := parse(html))
+    root = hashed(html)
     outside: dict[int, int] = {}
     inside: dict[int, int] = {}
     article: Node | None = None
@@ -171,9 +190,9 @@ def subtrees(html: str) -> dict[int, int]:
             runs.append([])
         if x.tag in BLOCK and x.tag not in ("html", "body") and not x.main and not x.holds_main:
             if article is None:
-                outside[fingerprint(html, x)] = page
+                outside[x.hash] = root.hash
             else:
-                found.append(fingerprint(html, x))
+                found.append(x.hash)
         if article is None and x.main and (x.tag == "article" or not x.holds_main):
             article, found, runs, skipped = x, [], [[]], 0
         skipped += skip
@@ -187,7 +206,7 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
     templates and without what is not main text, joined by line feeds."""
     if not html:
         return ""
-    root = parse(html)
+    root = hashed(html) if templates else parse(html)
 
     def dropped(x: Node) -> bool:
         if x.tag in DROP:
@@ -196,35 +215,37 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
             return False
         if x.marked and not x.holds_main:
             return True
-        return bool(templates) and x.tag in BLOCK and fingerprint(html, x) in templates and not x.holds_main
+        return bool(templates) and x.tag in BLOCK and x.hash in templates and not x.holds_main
 
-    def mains(node: Node, tags: tuple[str, ...]) -> list[Node]:
+    def mains(tags: tuple[str, ...]) -> list[Node]:
         found: list[Node] = []
-        for x in node.parts:
+        todo: list[Node | str] = root.parts[::-1]
+        while todo:
+            x = todo.pop()
             if isinstance(x, Node) and not dropped(x):
-                found += [x] if x.tag in tags or x.main and "main" in tags else mains(x, tags)
+                if x.tag in tags or x.main and "main" in tags:
+                    found.append(x)
+                else:
+                    todo += reversed(x.parts)
         return found
 
-    starts = mains(root, ("article",)) or mains(root, ("main",)) or [root]
     blocks: list[list[str]] = [[]]
-
-    def write(node: Node) -> None:
-        for x in node.parts:
-            if isinstance(x, str):
+    for start in mains(("article",)) or mains(("main",)) or [root]:
+        blocks.append([])
+        todo: list[Node | str | None] = start.parts[::-1]
+        while todo:
+            x = todo.pop()
+            if x is None:  # the end of a block
+                blocks.append([])
+            elif isinstance(x, str):
                 blocks[-1].append(x)
             elif x.tag == "br":
                 blocks[-1].append(" ")
             elif not dropped(x):
-                block = x.tag in BLOCK
-                if block:
-                    blocks.append([])
-                write(x)
-                if block:
+                if x.tag in BLOCK:
                     blocks.append([])
-
-    for s in starts:
-        blocks.append([])
-        write(s)
+                    todo.append(None)
+                todo += reversed(x.parts)
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 

@@ -173,6 +173,14 @@ def test_templates_of_a_large_host(spark, monkeypatch):
         assert all(got[1000 + i] == f"Copied\n{own[0]} again\nSeen {i} times" for i in range(20))
 
 
+def test_deep_pages():
+    deep = f"<div><article><p>start</p>{'<div>' * 1000}in{'</div>' * 1000}<p>after</p></article></div>"
+    assert pagetext.main_text(deep) == "start\nin\nafter"
+    assert pagetext.main_text(deep, {1}) == "start\nin\nafter" and len(pagetext.subtrees(deep)) == 1002
+    inline = f"<article><p>text</p>{'<b>' * 1000}<aside>other</aside><div class=comments>said</div>end</article>"
+    assert pagetext.main_text(inline) == "text\nend"
+
+
 # -------------------------------------------------------------------- quality
 
 
