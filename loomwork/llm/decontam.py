@@ -1,13 +1,15 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test unit with an error budget of k is cut into k + 1 pieces: if it occurs in a
-document with at most k edits, one piece occurs there unchanged. All pieces of a block
-of the benchmark go into one string automaton, each document runs through it once, and
-every piece hit is verified with Myers' bit-parallel edit distance."""
+document with at most k edits, one piece occurs there unchanged. The overlapping passages
+of an item share the pieces of one grid. All pieces of a block of the benchmark go into one
+string automaton, each document runs through it once, and every piece hit is extended to
+both sides, as far as each number of edits goes, which decides all units around it."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,18 +29,22 @@ def normalise(text: str | None) -> str:
     return _NOT_WORD.sub(" ", (text or "").lower()).strip()
 
 
-def units_of(text: str | None, passage_words: int) -> list[str]:
-    """The test units of an item: all of it and, if it has over 1.5 times
-    ``passage_words`` words, its passages of that many words, half overlapping."""
-    words = normalise(text).split()
-    if not words:
+def spans_of(text: str, passage_words: int) -> list[tuple[int, int]]:
+    """Where the test units of a normalised item start and end: all of it and, if it has more
+    than ``passage_words`` words, every passage of that many words."""
+    if not text:
         return []
-    units = [" ".join(words)]
-    if len(words) > 1.5 * passage_words:
-        step = passage_words // 2
-        starts = [*range(0, len(words) - passage_words, step), len(words) - passage_words]
-        units += [" ".join(words[s : s + passage_words]) for s in starts]
-    return units
+    spans = [(0, len(text))]
+    words = [m.span() for m in re.finditer(r"[^ ]+", text)]
+    if len(words) > passage_words:
+        spans += [(a, b) for (a, _), (_, b) in zip(words, words[passage_words - 1 :], strict=False)]
+    return spans
+
+
+def units_of(text: str | None, passage_words: int) -> list[str]:
+    """The test units of an item."""
+    text = normalise(text)
+    return [text[a:b] for a, b in spans_of(text, passage_words)]
 
 
 def budget(unit: str, error_rate: float) -> int:
@@ -82,63 +88,120 @@ def myers(masks: dict[str, int], m: int, text: str) -> int:
     return best
 
 
+def reaches(unit: str, text: str, at: int, start: int, step: int, stop: int, k: int) -> list[int]:
+    """How many characters of ``unit``, read from ``at`` by ``step`` to ``stop``, can be aligned
+    with ``text`` read from ``start`` with 0, 1, ..., k edits; ends with the first that is all
+    of them. Furthest points on diagonals."""
+    n, m = (stop - at) * step, len(text) - start if step > 0 else start + 1
+    last: dict[int, int] = {}
+    out: list[int] = []
+    for e in range(k + 1):
+        now: dict[int, int] = {}
+        best = 0
+        for d in range(-e, e + 1):  # characters of the unit less characters of the text
+            if e == 0:
+                i = 0
+            else:
+                i = max(last.get(d, -9) + 1, last.get(d - 1, -9) + 1, last.get(d + 1, -9))
+                i = min(i, n, m + d)
+                if i < 0 or i < d:
+                    continue
+            j = i - d
+            while i < n and j < m and unit[at + step * i] == text[start + step * j]:
+                i += 1
+                j += 1
+            now[d] = i
+            if i > best:
+                best = i
+        out.append(best)
+        if best >= n:
+            break
+        last = now
+    return out
+
+
 class Matcher:
-    """The units of some benchmark items, ready to be looked for."""
+    """The units of some benchmark items, ready to be looked for. Units under ``min_chars``
+    characters are left out or, with ``exact_short``, have to stand in a document exactly,
+    as whole words."""
 
-    def __init__(self, items: list[tuple[str, str | None]], error_rate: float, passage_words: int, min_chars: int):
-        self.units: list[tuple[str, int, int, dict[str, int]]] = []
+    def __init__(self, items: list[tuple[str, str | None]], error_rate: float, passage_words: int, min_chars: int, exact_short: bool = False):
+        self.items: list[tuple[str, str]] = []
+        self.units: list[list[tuple[int, int, int]]] = []  # start, end, budget of each unit of an item
         pieces: dict[str, list[tuple[int, int]]] = {}
-        for item, text in items:
-            for unit in units_of(text, passage_words):
-                if len(unit) < min_chars:
-                    continue
-                k = budget(unit, error_rate)
-                for start, piece in pieces_of(unit, k):
-                    pieces.setdefault(piece, []).append((len(self.units), start))
-                self.units.append((item, len(unit), k, pattern_masks(unit)))
+        for item, raw in items:
+            text = normalise(raw)
+            units = [(a, b, budget(text[a:b], error_rate) if b - a >= min_chars else 0) for a, b in spans_of(text, passage_words) if exact_short or b - a >= min_chars]
+            if not units:
+                continue
+            if units == [(0, len(text), units[0][2])]:
+                cuts = pieces_of(text, units[0][2])
+            else:
+                # any m characters hold at least (m + 1) // size - 1 whole pieces
+                size = max(1, min((b - a + 1) // (k + 2) for a, b, k in units))
+                cuts = [(s, text[s : s + size]) for s in range(0, len(text) - size + 1, size)]
+            for start, piece in cuts:
+                pieces.setdefault(piece, []).append((len(self.items), start))
+            self.items.append((item, text))
+            self.units.append(units)
+        self.min_chars = min_chars
         self.automaton = ahocorasick.Automaton()
         for piece, at in pieces.items():
             self.automaton.add_word(piece, (len(piece), at))
         if pieces:
             self.automaton.make_automaton()
+        self.around: dict[tuple[int, int, int], tuple[list[tuple[int, int, int]], int, int, int]] = {}
+
+    def near(self, n: int, start: int, size: int) -> tuple[list[tuple[int, int, int]], int, int, int]:
+        """The units of an item that hold a piece, where they begin and end, their greatest
+        budget."""
+        key = (n, start, size)
+        if key not in self.around:
+            units = [u for u in self.units[n] if u[0] <= start and start + size <= u[1]]
+            self.around[key] = (units, min((u[0] for u in units), default=start), max((u[1] for u in units), default=0), max((u[2] for u in units), default=0))
+        return self.around[key]
 
     def search(self, text: str | None) -> list[tuple[str, int, int]]:
         """(item, distance, length of the unit) for each item with a unit in ``text``:
         the unit with the least distance against its length, the longest of equals."""
-        if not self.units:
+        if not self.items:
             return []
         doc = normalise(text)
-        windows: dict[int, list[list[int]]] = {}
-        for end, (size, at) in self.automaton.iter(doc):
-            for unit, start in at:
-                _, m, k, _ = self.units[unit]
-                first = end - size + 1 - start
-                low, high = max(0, first - k), first + m + k
-                spans = windows.setdefault(unit, [])
-                if spans and low <= spans[-1][0] + 2 * k + 2 and low >= spans[-1][0]:
-                    spans[-1][1] = max(spans[-1][1], high)
-                else:
-                    spans.append([low, high])
         best: dict[str, tuple[float, int, int]] = {}
-        for unit, spans in windows.items():
-            item, m, k, masks = self.units[unit]
-            d = min(myers(masks, m, doc[a:b]) for a, b in spans)
-            if d <= k and (item not in best or (d / m, -m) < (best[item][0], -best[item][2])):
-                best[item] = (d / m, d, m)
+        for end, (size, at) in self.automaton.iter(doc):
+            first = end - size + 1
+            for n, start in at:
+                units, low, high, k = self.near(n, start, size)
+                if not units:
+                    continue
+                item, unit = self.items[n]
+                left = reaches(unit, doc, start - 1, first - 1, -1, low - 1, k)
+                right = reaches(unit, doc, start + size, end + 1, 1, high, k)
+                for a, b, most in units:
+                    d = bisect_left(left, start - a) + bisect_left(right, b - start - size)
+                    if d > most:
+                        continue
+                    m = b - a
+                    if m < self.min_chars:
+                        p = first - start + a
+                        if p > 0 and doc[p - 1] != " " or p + m < len(doc) and doc[p + m] != " ":
+                            continue
+                    if item not in best or (d / m, -m) < (best[item][0], -best[item][2]):
+                        best[item] = (d / m, d, m)
         return [(item, d, m) for item, (_, d, m) in best.items()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, passage_words: int = 24, min_chars: int = 32, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, passage_words: int = 24, min_chars: int = 32, block_chars: int = BLOCK_CHARS, exact_short: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, unit_chars): each pair of a document and a benchmark
-    item of which the whole text, or a passage of ``passage_words`` words, stands in the
+    item of which the whole text, or any passage of ``passage_words`` words, stands in the
     document with at most ``error_rate`` times its length of character edits, compared in
-    lower case without punctuation. One row for each pair, and for repeated document rows
+    lower case without punctuation; units under ``min_chars`` characters count only with
+    ``exact_short``, where they stand there exactly, as whole words. One row for each pair, and for repeated document rows
     one each.
 
     The benchmark is the stated query set: it is read in blocks of about ``block_chars``
     characters, and every block passes over all documents. Null and empty texts match
-    nothing, and neither do units under ``min_chars`` characters, which are common
-    phrases. Null ids are kept as null. An empty table on either side gives no rows.
+    nothing. Null ids are kept as null. An empty table on either side gives no rows.
     Other columns are ignored."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
@@ -151,7 +214,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06,
         shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, error_rate, passage_words, min_chars)
+            matcher = Matcher(shared.value, error_rate, passage_words, min_chars, exact_short)
             for b in batches:
                 out = [(doc, *hit) for doc, text in zip(b["doc"], b["text"], strict=True) for hit in matcher.search(text)]
                 yield pd.DataFrame(out, columns=["doc", "item", "distance", "unit_chars"])
@@ -167,7 +230,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **
     taken where the row is read, so nothing is shuffled for it. Options, nulls and empty
     texts as for find_leaks; rows with a null id are judged by their text like others."""
     spark = docs.sparkSession
-    error_rate, passage_words, min_chars = (options.get(k, v) for k, v in (("error_rate", 0.06), ("passage_words", 24), ("min_chars", 32)))
+    error_rate, passage_words, min_chars, exact_short = (options.get(k, v) for k, v in (("error_rate", 0.06), ("passage_words", 24), ("min_chars", 32), ("exact_short", False)))
     text_col, item_col, item_text_col = (options.get(k, v) for k, v in (("text_col", "text"), ("item_col", "item_id"), ("item_text_col", "text")))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -177,7 +240,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **
         shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
 
         def keep(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, error_rate, passage_words, min_chars)
+            matcher = Matcher(shared.value, error_rate, passage_words, min_chars, exact_short)
             for b in batches:
                 yield b[[not matcher.search(t) for t in b[text_col]]]
 

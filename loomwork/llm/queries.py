@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of a document and a benchmark item that stands in it."""
-    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), exact_short=True)
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

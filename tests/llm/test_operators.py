@@ -119,6 +119,35 @@ def test_leak_edges(spark):
     assert decontam.find_leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_leaks_of_any_passage():
+    """Passages of 24 words from any start, and short items as whole words."""
+    rng = random.Random(4)
+    items = [(str(i), words(rng, n)) for i, n in enumerate((24, 25, 30, 36, 37, 50, 70))] + [("short", "Deep Blue (chess)"), ("word", "zyx")]
+    matcher = decontam.Matcher(items, 0.06, 24, 32, exact_short=True)
+    docs = []
+    for item, text in items[:7]:
+        w = text.split()
+        for a in range(len(w) - 23):
+            docs.append((item, f"{words(rng, 8)} {' '.join(w[a : a + 24])} {words(rng, 8)}"))
+    assert all(item in {h[0] for h in matcher.search(t)} for item, t in docs)
+    # with edits, as brute force has it
+    for item, t in docs[::2]:
+        unit = list(t)
+        for _ in range(rng.randrange(0, 14)):
+            k = rng.randrange(len(unit))
+            unit[k : k + rng.randrange(2)] = rng.choice(["", "q", "zz"])
+        t = decontam.normalise("".join(unit))
+        want = {}
+        for i, text in items[:7]:
+            for u in decontam.units_of(text, 24):
+                d = decontam.myers(decontam.pattern_masks(u), len(u), t)
+                if d <= decontam.budget(u, 0.06):
+                    want[i] = min(want.get(i, (9.0, 0, 0, 0)), (d / len(u), -len(u), d, len(u)))
+        assert {(i, d, m) for i, d, m in matcher.search(t) if i.isdigit()} == {(i, *v[2:]) for i, v in want.items()}
+    hits = [{h[0] for h in matcher.search(t)} for t in ("a deep blue chess, set", "deep blue", "Zyx!", "a zyxw", "xzyx deep blue chesses")]
+    assert hits == [{"short"}, set(), {"word"}, set(), set()]
+
+
 # --------------------------------------------------------------------- mixing
 
 
