@@ -3,6 +3,7 @@ bounded samples of labelled rows, small linear models and n-gram features."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,14 @@ CHUNK = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own
-    temporary folder where that is unset (a single machine, as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset,
+    a single process (``local``, as in tests) gets a temporary folder of its own; on a
+    cluster it is an error, as nothing else is known to be shared."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="loomwork-")
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    where = where or "file://" + tempfile.mkdtemp(prefix="loomwork-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
     return where
@@ -55,25 +56,40 @@ def hash_share(col: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(col.cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def sample_by(df: DataFrame, label: str, key: str, cap: int, seed: int = 7) -> DataFrame:
-    """About ``cap`` rows in all of ``df`` at most, the same share of the cap for each
-    value of ``label``; rows are picked by a hash of ``key``. ``limit`` holds the bound."""
+def first_by_hash(df: DataFrame, key: str, cap: int, seed: int = 7) -> DataFrame:
+    """The ``cap`` rows of least hash of ``key``, ties by the row's values: the same rows in
+    every run. Each task keeps ``cap`` rows at most."""
+    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), *df.columns).limit(cap)
+
+
+def share_by(df: DataFrame, label: str, key: str, cap: int, seed: int = 7) -> DataFrame:
+    """About ``cap`` rows in all of ``df``, the same share of the cap for each value of
+    ``label``; rows are picked by a hash of ``key``. Rows with one key are picked together,
+    so what must hold the bound goes through ``first_by_hash`` as well, once its rows are
+    small."""
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect() if r[label] is not None}
     if not counts:
-        return df.limit(0)
+        return df.filter(F.lit(False))
     each = cap / len(counts)
     spare = sum(max(0.0, each - n) for n in counts.values())
     large = sum(n > each for n in counts.values())
     each += spare / max(1, large)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 0.97 * each / n) if n > each else 1.0)])
-    return df.filter(hash_share(F.col(key), seed) < F.try_element_at(share, F.col(label))).limit(cap)
+    return df.filter(hash_share(F.col(key), seed) < F.try_element_at(share, F.col(label)))
+
+
+def sample_by(df: DataFrame, label: str, key: str, cap: int, seed: int = 7) -> DataFrame:
+    """``share_by`` of narrow rows, ``cap`` at most."""
+    return first_by_hash(share_by(df, label, key, cap, seed), key, cap, seed)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``cap`` rows of ``labels`` at most name, with their label
     as ``_label`` (double). Only the sampled ids are sent to the scan of ``docs``, so no
-    text is shuffled. Null labels and ids are left out."""
+    text is shuffled. Null labels and ids are left out. An id that is labelled several
+    times counts once; one whose labels differ not at all."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label")).dropna()
+    known = known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).filter("_label = _most").drop("_most")
     picked = F.broadcast(sample_by(known, "_label", "_id", cap))
     return docs.join(picked, F.col(id_col) == F.col("_id")).drop("_id")
 

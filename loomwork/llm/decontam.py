@@ -9,6 +9,7 @@ both sides, as far as each number of edits goes, which decides all units around
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -122,10 +123,10 @@ def reaches(unit: str, text: str, at: int, start: int, step: int, stop: int, k:
 
 class Matcher:
     """The units of some benchmark items, ready to be looked for. Units under ``min_chars``
-    characters are left out or, with ``exact_short``, have to stand in a document exactly,
-    as whole words."""
+    characters have to stand in a document exactly, as whole words (without ``exact_short``
+    they are left out)."""
 
-    def __init__(self, items: list[tuple[str, str | None]], error_rate: float, passage_words: int, min_chars: int, exact_short: bool = False):
+    def __init__(self, items: list[tuple[str, str | None]], error_rate: float, passage_words: int, min_chars: int, exact_short: bool = True):
         self.items: list[tuple[str, str]] = []
         self.units: list[list[tuple[int, int, int]]] = []  # start, end, budget of each unit of an item
         pieces: dict[str, list[tuple[int, int]]] = {}
@@ -191,58 +192,72 @@ class Matcher:
         return [(item, d, m) for item, (_, d, m) in best.items()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, passage_words: int = 24, min_chars: int = 32, block_chars: int = BLOCK_CHARS, exact_short: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, passage_words: int = 24, min_chars: int = 32, block_chars: int = BLOCK_CHARS, exact_short: bool = True, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, unit_chars): each pair of a document and a benchmark
     item of which the whole text, or any passage of ``passage_words`` words, stands in the
     document with at most ``error_rate`` times its length of character edits, compared in
-    lower case without punctuation; units under ``min_chars`` characters count only with
-    ``exact_short``, where they stand there exactly, as whole words. One row for each pair, and for repeated document rows
-    one each.
+    lower case without punctuation; units under ``min_chars`` characters have to stand there
+    exactly, as whole words (or do not count, without ``exact_short``). One row for each
+    pair, and for repeated document rows one each.
 
     The benchmark is the stated query set: it is read in blocks of about ``block_chars``
     characters, and every block passes over all documents. Null and empty texts match
-    nothing. Null ids are kept as null. An empty table on either side gives no rows.
-    Other columns are ignored."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // block_chars))
+    nothing; very long texts are read whole. Null ids are kept as null. An empty table on
+    either side gives no rows. Other columns are ignored, whatever they are called."""
+    options = (error_rate, passage_words, min_chars, exact_short)
     rows = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text"))
 
-    def one_block(n: int) -> DataFrame:
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n)
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
-
+    def one_block(key: str, shared) -> DataFrame:
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, error_rate, passage_words, min_chars, exact_short)
+            matcher = _matcher(key, shared, options)
             for b in batches:
                 out = [(doc, *hit) for doc, text in zip(b["doc"], b["text"], strict=True) for hit in matcher.search(text)]
                 yield pd.DataFrame(out, columns=["doc", "item", "distance", "unit_chars"])
 
         return rows.mapInPandas(search, "doc string, item string, distance int, unit_chars int")
 
-    out = reduce(DataFrame.unionByName, [one_block(n) for n in range(blocks)])
+    out = reduce(DataFrame.unionByName, [one_block(*b) for b in _blocks(benchmark, item_col, item_text_col, block_chars)])
     return out.select(F.col("doc").cast(dict(docs.dtypes)[id_col]).alias(id_col), F.col("item").cast(dict(benchmark.dtypes)[item_col]).alias(item_col), "distance", "unit_chars")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns. The decision is
-    taken where the row is read, so nothing is shuffled for it. Options, nulls and empty
-    texts as for find_leaks; rows with a null id are judged by their text like others."""
-    spark = docs.sparkSession
-    error_rate, passage_words, min_chars, exact_short = (options.get(k, v) for k, v in (("error_rate", 0.06), ("passage_words", 24), ("min_chars", 32), ("exact_short", False)))
-    text_col, item_col, item_text_col = (options.get(k, v) for k, v in (("text_col", "text"), ("item_col", "item_id"), ("item_text_col", "text")))
+#: The matcher that a Python worker built last; the next task of the same block has it.
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, shared, options: tuple) -> Matcher:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Matcher(shared.value, *options)
+    return _built[key]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> list[tuple]:
+    """The benchmark in blocks of about ``block_chars`` characters: a name and a broadcast
+    of (item, text) for each."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // options.get("block_chars", BLOCK_CHARS)))
-    for n in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n)
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block.collect()])
+    n = max(1, -(-int(chars) // block_chars))
+    sc = benchmark.sparkSession.sparkContext
+    rows = lambda k: [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
+    return [(uuid.uuid4().hex, sc.broadcast(rows(k))) for k in range(n)]
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, passage_words: int = 24, min_chars: int = 32, block_chars: int = BLOCK_CHARS, exact_short: bool = True, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, all columns as they were: only the
+    text goes to Python, which answers yes or no. The decision is taken where the row is
+    read, so nothing is shuffled for it. Options, nulls and empty texts as for find_leaks;
+    rows with a null id are judged by their text like others."""
+    options = (error_rate, passage_words, min_chars, exact_short)
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
+        docs = docs.filter(_clean(*block, options)(F.col(text_col)))
+    return docs
 
-        def keep(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, error_rate, passage_words, min_chars, exact_short)
-            for b in batches:
-                yield b[[not matcher.search(t) for t in b[text_col]]]
 
-        docs = docs.mapInPandas(keep, docs.schema)
-    return docs
+def _clean(key: str, shared, options: tuple):
+    """Whether a text holds no item of the block."""
+
+    def clean(texts: pd.Series) -> pd.Series:
+        matcher = _matcher(key, shared, options)
+        return pd.Series([not matcher.search(t) for t in texts], dtype=bool)
+
+    return F.pandas_udf(clean, "boolean")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_svm, letter_ngrams, sample_by, sigmoid, unit_rows
+from .common import first_by_hash, fit_svm, letter_ngrams, share_by, sigmoid, unit_rows
 
 #: Families of closely related languages (ISO 639-1). A language that is not listed
 #: makes a family of its own.
@@ -76,9 +76,10 @@ def _pairs(x: np.ndarray, y: np.ndarray, classes: list[str], c: float) -> np.nda
 def fit(labelled: DataFrame, sample_rows: int = 6000, families: dict[str, list[str]] = FAMILIES, dims: int = DIMS, c: float = 4.0) -> Model | None:
     """Learn from ``labelled`` (doc_id, text, lang). Rows without text, letters or lang
     are left out. The machines are fitted on ``sample_rows`` rows at most, shared evenly
-    among the languages; features are computed on the executors from whole texts.
-    None if there is nothing to learn from."""
-    rows = sample_by(labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")), "lang", "doc_id", sample_rows)
+    among the languages and picked by a hash of the id; features are computed on the
+    executors from whole texts, and only they are gathered. None if there is nothing to
+    learn from."""
+    rows = share_by(labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")), "lang", "doc_id", sample_rows)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -86,7 +87,7 @@ def fit(labelled: DataFrame, sample_rows: int = 6000, families: dict[str, list[s
             at = [np.flatnonzero(v) for v in counts]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "lang": b["lang"], "at": [i.astype(np.uint16 if dims <= 65536 else np.uint32).tobytes() for i in at], "n": [v[i].astype(np.float32).tobytes() for v, i in zip(counts, at, strict=True)]})
 
-    got = rows.mapInPandas(features, "doc_id string, lang string, at binary, n binary").toPandas()
+    got = first_by_hash(rows.mapInPandas(features, "doc_id string, lang string, at binary, n binary"), "doc_id", sample_rows).toPandas()
     if got.empty:
         return None
     got = got.sort_values(["lang", "doc_id", "at", "n"]).reset_index(drop=True)
@@ -109,8 +110,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """``id_col``, lang_pred, score for every row of ``docs``, from its whole text alone.
 
     Null, empty and letterless texts give ``und`` with score 0, and so does every text
-    where there was nothing to learn. Null ids stay null; repeated rows give repeated
-    rows; other columns are ignored."""
+    where there was nothing to learn. Very long texts are read whole, in chunks. Null ids
+    stay null; repeated rows give repeated rows; other columns are ignored; an empty table
+    gives an empty one."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 

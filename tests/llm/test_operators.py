@@ -1,6 +1,7 @@
 """The training-data operators: methods against brute force, round trips, edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, queries, toxicity
-from loomwork.llm.common import crc_mod, fit_svm, sample_by
+from loomwork.llm.common import crc_mod, fit_svm, labelled_sample, sample_by
 
 from ..conftest import same_rows
 
@@ -102,7 +103,9 @@ def test_leaks_equal_brute_force(spark):
     for i, t, *_ in docs:
         for j, b in items:
             for u in decontam.units_of(b, 24):
-                if len(u) >= 32 and edit_distance_inside(u, decontam.normalise(t)) <= decontam.budget(u, 0.06):
+                # short items have to stand there exactly, as whole words
+                found = edit_distance_inside(u, decontam.normalise(t)) <= decontam.budget(u, 0.06) if len(u) >= 32 else f" {u} " in f" {decontam.normalise(t)} "
+                if found:
                     want.add((i, j))
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(db, bench).collect()}
     assert got == want and want
@@ -116,6 +119,9 @@ def test_leak_edges(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (None, "same text here again and again with more")], "item_id long, text string")
     assert decontam.find_leaks(edge_docs(spark), bench).count() == 0
     assert decontam.drop_leaks(edge_docs(spark), bench.limit(0)).count() == 7
+    # values of other columns pass unchanged, beside nulls too
+    big = spark.createDataFrame([(9007199254740993, "a", 1), (None, "b", None)], "doc_id long, text string, n int")
+    assert {tuple(r) for r in decontam.drop_leaks(big, bench).collect()} == {(9007199254740993, "a", 1), (None, "b", None)}
     assert decontam.find_leaks(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
@@ -224,19 +230,48 @@ def test_quality_of_labelled_rows(spark, sf):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
-def test_cotraining_teaches_the_weaker_view():
-    rng = np.random.default_rng(1)
+def auc(score, y):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(len(score))
+    n = (y == 1).sum()
+    return (rank[y == 1].sum() - n * (n - 1) / 2) / (n * (y == 0).sum())
 
-    def draw(n):
-        y = rng.integers(0, 2, n).astype(float)
-        return y[:, None] * 3 + rng.normal(size=(n, 2)), y[:, None] * 3 + rng.normal(size=(n, 2)), y
 
-    xt, xm, y = draw(24)
-    pools = [draw(400)[:2] for _ in range(2)]
-    tt, tm, ty = draw(2000)
-    one = quality.cotrain(xt, xm, y, [], []).score(tt, tm)[0]
-    more = quality.cotrain(xt, xm, y, pools, []).score(tt, tm)[0]
-    assert ((more >= 0.5) == ty).mean() >= max(0.95, ((one >= 0.5) == ty).mean() - 0.01)
+def test_cotraining_teaches_the_weaker_view(spark):
+    """With few labels the metadata view ranks held-out rows better after the rounds; both
+    views teach both labels in each round."""
+    where = "/root/testdata/sf0.01"
+    if not os.path.isdir(where):
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    held = crc_mod(F.col("doc_id"), 3) == 0
+    got = {}
+    for rounds in (0, 3):
+        m = quality.fit(docs, labels.filter(~held), sample_rows=32, rounds=rounds)
+        g = quality.classify(docs, m).join(labels, "doc_id").filter(held).toPandas()
+        got[rounds] = [auc(g[c].to_numpy(), g.quality.to_numpy()) for c in ("score", "text_score", "metadata_score")]
+    assert got[3][2] > got[0][2] and got[3][0] > 0.95
+    assert len(m.taught) == 3 and all(n > 0 for r in m.taught for view in r for n in view)
+
+
+def test_lessons_are_gradients():
+    """What the rows of a batch teach, against sums over single rows."""
+    rng = np.random.default_rng(2)
+    n = 60
+    v = quality.Views(rng.normal(size=(n, 3)), rng.normal(size=(n, 2)), np.arange(n), rng.integers(0, 20, n))
+    y = (v.text[:, 0] + v.dense[:, 0] > 0).astype(float)
+    m, aside = quality.start(v, y, [], precision=0.6)
+    whole, parts = quality._lessons(m, v), None
+    for k in range(0, n, 7):
+        one = quality._lessons(m, v.some(np.arange(k, min(n, k + 7))))
+        parts = one if parts is None else quality._added(parts, one)
+    for a, b in zip(sum(whole, []), sum(parts, []), strict=True):
+        assert a[2] == b[2] and np.allclose(a[0], b[0]) and np.allclose(a[1], b[1])
+    q, (low, high) = 1 / (1 + np.exp(-m.odds(m.inputs(v))[0])), m.sure[0]
+    x = np.hstack([m.inputs(v)[1], np.ones((n, 1))])
+    want = sum((1 / (1 + np.exp(-x[i] @ m.weights[1])) - 1.0) * x[i] for i in range(n) if q[i] >= high)
+    assert np.allclose(whole[1][1][0], want) and whole[1][1][2] == (q >= high).sum() > 0
 
 
 def test_quality_edges(spark):
@@ -246,7 +281,11 @@ def test_quality_edges(spark):
     assert set(got[got.doc_id.isin([1, 2])].score) == {0.0} and set(got[got.doc_id == 4].score) == {0.5}
     assert len(quality.keep_good(edge_docs(spark), labels).collect()) == 5
     assert quality.classify(spark.createDataFrame([], DOCS), None).count() == 0
-    assert len(quality.shape(None)) == len(quality.shape("a b\nc")) == 16
+    assert len(quality.shape(None)) == len(quality.shape("a b\nc")) == 14
+    assert len(quality.layout(None)) == len(quality.layout("a b\nc"))
+    # a label given twice counts once, labels that differ do not count
+    twice = spark.createDataFrame([(3, 1), (3, 1), (4, 0), (4, 1), (5, 0)], "doc_id long, quality int")
+    assert {(r.doc_id, r._label) for r in labelled_sample(edge_docs(spark), twice, "quality", 10).collect()} == {(3, 1.0), (5, 0.0)}
 
 
 # ------------------------------------------------------------ near duplicates
@@ -438,6 +477,10 @@ def test_personal_data_equals_brute_force(spark):
     bits = ["a@b.co", "@", ".", "-", "+1 (202) 555-0143", "4111 1111 1111 1111", "4111111111111111", "192.168.0.1", "1.2.3.4.5.6.7.8", "999.1.1.1", "é😀", " ", "0", "x", "+", "(", "a.b@c", "..", "@x.y", "12", "\n", "-5"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(500)] + [None, "", "a" * 3_000 + "@", "1" * 3_000, "+" * 3_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    many = " ".join(f"tel +1 202 555 {k % 9000 + 1000} or" for k in range(3000))
+    assert pii.digests(spark.createDataFrame([(1, many)], df.schema)).first().base_sha256 == hashlib.sha256(base_spans(many).encode()).hexdigest()
+    redacted = pii.redact(spark.createDataFrame([(1, many)], df.schema)).first().text
+    assert redacted == re.sub(r"\+1 202 555 \d{4}", "[PHONE]", many)
     for r in pii.digests(df).collect():
         want = base_spans(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), texts[r.doc_id]
@@ -489,6 +532,24 @@ def test_counterfactuals_lower_false_positives(spark):
     assert toxicity.score(docs.limit(0), fair).count() == 0
 
 
+def test_mentions_in_the_tables(spark):
+    """Labelled texts that name no group get a mention; a bias planted into the real
+    documents (a group's name in most toxic ones) is taken back."""
+    where = "/root/testdata/sf0.01"
+    if not os.path.isdir(where):
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    m = toxicity.fit(docs, labels)
+    assert m.changes[0] > labels.count()
+    named = docs.join(labels, "doc_id").withColumn("text", F.when((F.col("toxic") == 1) & (F.col("doc_id") % 5 > 0) | (F.col("doc_id") % 11 == 0), F.concat(F.col("text"), F.lit(" Muslims came."))).otherwise(F.col("text")))
+    plain, fair = (toxicity.fit(named, labels, penalty=p) for p in (0.0, 20.0))
+    assert plain.changes[1] > 0
+    clean = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").orderBy("doc_id").limit(40).collect()]
+    gap = lambda m: np.mean([abs(m.score(t + " Muslims live here.") - m.score(t)) for t in clean])
+    assert gap(plain) > 0.05 and gap(fair) < 0.3 * gap(plain)
+    assert toxicity.swaps("Old men talk. Rain falls.")[0] == ({"old", "men", "talk"}, {"young", "girls", "talk"})
+
+
 def test_samples_are_bounded(spark):
     d = spark.range(5000).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
     got = {r.y: r["count"] for r in sample_by(d, "y", "id", 800).groupBy("y").count().collect()}
