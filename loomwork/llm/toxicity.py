@@ -1,9 +1,11 @@
 """Toxicity classification, regularised by counterfactuals.
 
-A logistic classifier over the words of a text and their beginnings. In labelled texts
-that name groups of people, the group is swapped for another of its kind, and the fit
-pays for every change of the score that a swap makes: what is learned from the neighbours
-of a group's name is not laid at the group's door."""
+A logistic classifier over the words of a text and their beginnings. In labelled sentences
+that name groups of people, the group is swapped for another of its kind; into a labelled
+sentence of a text that names none, a mention is inserted and then swapped. The fit pays
+for every change of the score that an insertion or a swap makes: what is learned from the
+neighbours of a group's name, or from words that begin like it, is not laid at the group's
+door."""
 
 from __future__ import annotations
 
@@ -17,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sigmoid
+from .common import first_by_hash, labelled_sample, sigmoid
 
-#: Names of groups; those of a line can stand for each other.
+#: Names of groups; those of a line can stand for each other. A caller's own list takes
+#: the place of these.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -30,6 +33,27 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("old", "young"),
     ("deaf", "blind", "disabled"),
+    # German
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("schwarze", "weiße", "asiaten", "latinos"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    # French
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("noirs", "blancs", "asiatiques", "latinos"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    # Spanish
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("negros", "blancos", "asiáticos", "latinos"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
 )
 #: Features are hashed into so many places.
 DIMS = 1 << 20
@@ -66,22 +90,27 @@ def places(words: set[str]) -> set[int]:
     return set().union(*map(_FEATURES.__getitem__, words))
 
 
-def swaps(text: str | None, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[set[str], list[set[str]]]:
-    """The words of the sentences that name a group, and those of the same sentences with
-    each name swapped for the next of its group, the one after it, and so on."""
-    group = {t: (g, k) for g in terms for k, t in enumerate(g)}
-    own: set[str] = set()
-    for s in _SENTENCE.findall((text or "").lower()):
-        words = set(_WORD.findall(s))
-        if not words.isdisjoint(group):
-            own |= words
-    if not own:
-        return own, []
-    longest = max(len(group[w][0]) for w in own if w in group)
-    out = []
-    for turn in range(1, min(SWAPS, longest - 1) + 1):
-        out.append({group[w][0][(group[w][1] + turn) % len(group[w][0])] if w in group else w for w in own})
-    return own, out
+def swaps(text: str | None, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, seed: int = 0) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets that ought to have the same score.
+
+    Of a text that names groups: the sentences that do, and the same with each name swapped
+    for the next of its line, the one after it, and so on. Of another text: its sentence
+    number ``seed`` as it is and with a name of a line (number ``seed``) added, and with that
+    name swapped. A name that stands in several lines counts for the first."""
+    group: dict[str, tuple[tuple[str, ...], int]] = {}
+    for g in terms:
+        for k, t in enumerate(g):
+            group.setdefault(t, (g, k))
+    turned = lambda words, by: {group[w][0][(group[w][1] + by) % len(group[w][0])] if w in group else w for w in words}
+    sentences = [w for s in _SENTENCE.findall((text or "").lower()) if (w := set(_WORD.findall(s)))]
+    own = set().union(*(w for w in sentences if not w.isdisjoint(group)))
+    pairs = []
+    if not own and sentences and terms:
+        plain, line = sentences[seed % len(sentences)], terms[seed % len(terms)]
+        own = plain | {line[seed // len(terms) % len(line)]}
+        pairs.append((plain, own))
+    longest = max((len(group[w][0]) for w in own if w in group), default=0)
+    return pairs + [(own, turned(own, by)) for by in range(1, min(SWAPS, longest - 1) + 1)]
 
 
 @dataclass
@@ -90,12 +119,14 @@ class Model:
 
     weight: dict[int, float]
     base: float
+    #: insertions and swaps in the fit, and how many of them touched a chosen feature
+    changes: tuple[int, int] = (0, 0)
 
     def __post_init__(self) -> None:
         self.of_word: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
-        return {"weight": self.weight, "base": self.base, "of_word": {}}
+        return {"weight": self.weight, "base": self.base, "changes": self.changes, "of_word": {}}
 
     def score(self, text: str | None) -> float:
         known, hit = self.of_word, set()
@@ -111,8 +142,8 @@ class Model:
 
 
 def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], n_features: int = 1000, min_rows: int = 3, min_lift: float = 3.0, l2: float = 1.0, balance: float = 0.7, penalty: float = 20.0, steps: int = 25) -> Model:
-    """Rows: the features of each labelled text. Changes: for each swap the features of
-    the text as it is and as swapped. Features are chosen by how much more often toxic
+    """Rows: the features of each labelled text. Changes: the features of both sides of each
+    insertion or swap. Features are chosen by how much more often toxic
     texts have them (a z-score over ``min_lift``); the loss is the logistic one, the rarer
     class weighted up (``balance`` 1: both alike, 0: not at all), plus l2 and
     ``penalty`` times the mean squared change of the score's log odds over the swaps."""
@@ -134,7 +165,9 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.nd
     for k, (before, after) in enumerate(changes):
         for side, sign in ((before, -1.0), (after, 1.0)):
             change[k, [place[int(p)] for p in side[np.isin(side, chosen)]]] += sign
-    change = np.unique(change, axis=0) if len(change) else change
+    touched = int(change.any(axis=1).sum())
+    # without the changes that no chosen feature sees
+    change = change[change.any(axis=1)]
     cost = penalty * len(y) / max(1, len(change)) * change.T @ change
     weight = np.where(toxic, (n[0] / n[1]) ** balance, 1.0)
     weight *= len(y) / weight.sum()
@@ -148,13 +181,14 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.nd
         w -= d
         if np.abs(d).max() < 1e-4:
             break
-    return Model({int(p): float(v) for p, v in zip(chosen, w[:-1], strict=True)}, float(w[-1]))
+    return Model({int(p): float(v) for p, v in zip(chosen, w[:-1], strict=True)}, float(w[-1]), (len(changes), touched))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | None:
     """Learn from the documents that ``labels`` (id, 0 or 1) names, ``sample_rows`` at
     most, shared evenly among both labels; a text sends its distinct features, found on
-    the executors. Null labels and texts are not learned from. None if there are not
+    the executors. Null labels and texts are not learned from; an id that is labelled
+    several times counts once, not at all if its labels differ. None if there are not
     labels of both kinds. Options as for fit_weights."""
     rows = labelled_sample(docs, labels, label_col, sample_rows, id_col).filter(F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col("_label").alias("y"), F.col(text_col).alias("text"))
@@ -166,15 +200,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, terms: tupl
         for b in batches:
             out = []
             for i, y, text in zip(b["id"], b["y"], b["text"], strict=True):
-                own, swapped = swaps(text, terms)
-                out.append((i, y, packed(words_of(text)), packed(own), [packed(s) for s in swapped]))
-            yield pd.DataFrame(out, columns=["id", "y", "f", "own", "swapped"])
+                pairs = swaps(text, terms, xxhash.xxh32_intdigest(i))
+                out.append((i, y, packed(words_of(text)), [packed(x) for p in pairs for x in p]))
+            yield pd.DataFrame(out, columns=["id", "y", "f", "pairs"])
 
-    got = rows.mapInPandas(features, "id string, y double, f binary, own binary, swapped array<binary>").toPandas().sort_values(["id", "f", "y"])
+    got = first_by_hash(rows.mapInPandas(features, "id string, y double, f binary, pairs array<binary>"), "id", sample_rows).toPandas()
     if got["y"].nunique() < 2:
         return None
     read = lambda x: np.frombuffer(x, np.uint32).astype(np.int64)
-    changes = [(read(own), read(s)) for own, swapped in zip(got["own"], got["swapped"], strict=True) for s in swapped]
+    changes = [(read(p[k]), read(p[k + 1])) for p in got["pairs"] for k in range(0, len(p), 2)]
     return fit_weights([read(f) for f in got["f"]], got["y"].to_numpy(float), changes, **options)
 
 
@@ -182,7 +216,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """id, score (0 to 1, higher: toxic is likelier) and predicted (1 from 0.5 on) for
     every row of ``docs``, from the words of its whole text alone.
 
-    A text without words (null, empty) gets the score of a text without any feature;
+    Very long texts are read whole. A text without words (null, empty) gets the score of a text without any feature;
     without a model (nothing to learn from) every score is 0. Null ids stay null, repeated
     rows give repeated rows, other columns are ignored, an empty table gives an empty one."""
     kind = dict(docs.dtypes)[id_col]
