@@ -3,23 +3,28 @@
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for
 account numbers, ranges for addresses), and words near a span adjust its score. Places
 are code points, the end exclusive. A pattern's matches and the gaps between them come
-from the same expression, so the places are running sums of their lengths."""
+from the same expression, so the places are running sums of their lengths; these are taken
+in portions (``scan``), so that a text costs in proportion to its length and its matches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
+
 
 @dataclass(frozen=True)
 class Kind:
-    """``base`` spans are kept whatever their score; others from ``min_score`` on."""
+    """``shortest``: characters that any match of the pattern has at least. ``base`` spans are
+    kept whatever their score; others from ``min_score`` on."""
 
     name: str
     pattern: str
-    needs: str
+    shortest: int
     score: float
     checked: float
     context: tuple[str, ...]
@@ -30,11 +35,11 @@ class Kind:
 #: The patterns are written so that each start is tried once and no part is read again
 #: (possessive parts, looks behind): they stay linear on texts without blanks.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, 0.0, ("mail", "contact", "write", "address", "kontakt", "correo")),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.4, 0.3, ("ip", "server", "host", "address", "login", "adresse")),
-    Kind("card", r"[0-9]++(?:[ -][0-9]++)*+", "0", 0.3, 0.5, ("card", "visa", "credit", "mastercard", "karte", "carte", "tarjeta")),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.5, 0.1, ("phone", "call", "tel", "mobile", "fax", "telefon", "tél", "teléfono")),
-    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])", "0", 0.2, 0.6, ("iban", "account", "bank", "konto", "compte", "cuenta"), base=False, min_score=0.5),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 5, 0.8, 0.0, ("mail", "contact", "write", "address", "kontakt", "correo")),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 7, 0.4, 0.3, ("ip", "server", "host", "address", "login", "adresse")),
+    Kind("card", r"[0-9]++(?:[ -][0-9]++)*+", 1, 0.3, 0.5, ("card", "visa", "credit", "mastercard", "karte", "carte", "tarjeta")),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 4, 0.5, 0.1, ("phone", "call", "tel", "mobile", "fax", "telefon", "tél", "teléfono")),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])", 12, 0.2, 0.6, ("iban", "account", "bank", "konto", "compte", "cuenta"), base=False, min_score=0.5),
 )
 #: Characters before and after a span that are searched for context words, and what a
 #: hit adds.
@@ -74,38 +79,79 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 _SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int,score:double>>"
+#: Array elements that are folded at once.
+PORTION = 64
 
 
 def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
+def portions(items: Column, size: int = PORTION) -> Column:
+    """An array in arrays of ``size`` elements at most; an empty one in one empty array. The
+    elements are taken one by one, as slice() reads its whole array."""
+
+    def of(items: Column) -> Column:
+        last = F.greatest(F.floor((F.size(items) - 1) / size).cast("int"), F.lit(0))
+        part = lambda k: F.transform(F.sequence(k * size, F.least((k + 1) * size, F.size(items)) - 1), lambda i: F.get(items, i))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.when(F.size(items) > 0, part(k)).otherwise(items))
+
+    return let(items, of)
+
+
+def scan(items: Column, step: Callable[[Column, Column], Column], keep: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``out(n, item)`` (of type ``kind``) of each item for which ``keep(n, item)`` holds,
+    where n is what ``step`` has made of 0 and the items before. Lists grow inside a portion
+    and over the portions, never over all items."""
+
+    def of(parts: Column) -> Column:
+        none = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("all"))
+        firsts = F.aggregate(parts, none, lambda a, p: F.struct(F.aggregate(p, a["n"], step).alias("n"), F.concat(a["all"], F.array(a["n"])).alias("all")), lambda a: a["all"])
+        one = lambda a, x: F.struct(step(a["n"], x).alias("n"), F.when(keep(a["n"], x), F.concat(a["out"], F.array(out(a["n"], x).cast(kind)))).otherwise(a["out"]).alias("out"))
+        inside = lambda z: F.aggregate(z["p"], F.struct(z["n"].alias("n"), F.array().cast(f"array<{kind}>").alias("out")), one, lambda a: a["out"])
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), firsts.alias("n")), inside))
+
+    return let(portions(items), of)
+
+
 def _spans_of(text: Column, kind_no: int, kind: Kind) -> Column:
     """The spans of one kind, from the gaps and matches of its pattern."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g))
-    pairs = F.arrays_zip(matches.alias("m"), gaps.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int>>").alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        begin = a["at"] + p["g"]
-        return F.when(p["m"].isNull(), a).otherwise(F.struct((begin + F.length(p["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(p["m"].alias("m"), begin.alias("start")))).alias("out")))
-
-    placed = F.aggregate(pairs, start, step, lambda a: a["out"])
-    confirmed = F.filter(placed, lambda s: _valid(kind.name, s["m"]))
+    # a match with the gap before it; the last gap has no match
+    pairs = F.arrays_zip(F.split(text, kind.pattern, -1).alias("g"), matches.alias("m"))
     near = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(kind.context) + ")"
 
-    def scored(s: Column) -> Column:
-        end = s["start"] + F.length(s["m"])
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        after = F.substring(text, end + 1, F.lit(CONTEXT_CHARS))
-        score = F.lit(kind.score + kind.checked) + F.when(F.concat_ws(" ", before, after).rlike(near), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-        return F.struct(s["start"].alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind.name).alias("kind"), end.alias("end"), F.round(F.least(score, F.lit(1.0)), 4).alias("score"))
-
-    out = F.transform(confirmed, scored)
+    def scored(pairs: Column, confirmed: Column, tails: Column, heads: Column) -> Column:
+        def one(s: Column) -> Column:
+            # so many pairs hold the context; taken one by one, as slice() reads its whole array
+            n = -(-CONTEXT_CHARS // kind.shortest)
+            before = F.right(F.concat_ws("", *[F.get(tails, s["i"] - k) for k in range(n, 0, -1)], pairs[s["i"]]["g"]), F.lit(CONTEXT_CHARS))
+            after = F.left(F.concat_ws("", *[F.get(heads, s["i"] + k) for k in range(1, n + 1)]), F.lit(CONTEXT_CHARS))
+            score = F.lit(kind.score + kind.checked) + F.when(F.concat_ws(" ", before, after).rlike(near), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+            return F.struct(s["start"].alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), F.round(F.least(score, F.lit(1.0)), 4).alias("score"))
+
+        return F.transform(confirmed, one)
+
+    def placed(pairs: Column) -> Column:
+        items = F.transform(pairs, lambda p, i: F.struct(p["m"].alias("m"), F.length(p["g"]).alias("g"), i.alias("i")))
+        size = lambda x: F.coalesce(F.length(x["m"]), F.lit(0))
+        confirmed = scan(
+            items,
+            lambda n, x: n + x["g"] + size(x),
+            lambda n, x: x["m"].isNotNull() & _valid(kind.name, x["m"]),
+            lambda n, x: F.struct((n + x["g"]).alias("start"), (n + x["g"] + size(x)).alias("end"), x["i"].alias("i")),
+            "struct<start:int,end:int,i:int>",
+        )
+        whole = lambda p: F.concat(p["g"], F.coalesce(p["m"], F.lit("")))
+        tails = F.transform(pairs, lambda p: F.right(whole(p), F.lit(CONTEXT_CHARS)))
+        heads = F.transform(pairs, lambda p: F.left(whole(p), F.lit(CONTEXT_CHARS)))
+        some = lambda c: let(tails, lambda t: let(heads, lambda h: scored(pairs, c, t, h)))
+        return let(confirmed, lambda c: F.when(F.size(c) > 0, some(c).cast(_SPAN)).otherwise(_none()))
+
+    out = let(pairs, placed)
     if not kind.base:
         out = F.filter(out, lambda s: s["score"] >= kind.min_score)
-    return out.cast(_SPAN)
+    return out
 
 
 #: What a text must hold for a kind to be looked for; cheaper than the pattern.
@@ -135,15 +181,23 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KI
     with a span, ``length_col`` (if named) becomes the new text's length."""
     spans = "_pii_spans"
     found = find(docs, text_col, spans, kinds)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col(text_col)
-
-    def step(a: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        longer = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        return F.when(s["start"] < a["at"], longer).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(piece)).alias("out")))
-
-    new = F.aggregate(F.col(spans), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    # what stands before each span that does not overlap the one before
+    before = scan(
+        F.col(spans),
+        lambda n, s: F.greatest(n, s["end"]),
+        lambda n, s: s["start"] >= n,
+        lambda n, s: F.struct(n.alias("at"), s["start"].alias("to"), s["kind"].alias("kind")),
+        "struct<at:int,to:int,kind:string>",
+    )
+
+    def written(part: Column) -> Column:
+        first = part[0]["at"]
+        piece = lambda t: F.array_join(F.transform(part, lambda x: F.concat(F.substring(t, x["at"] - first + 1, x["to"] - x["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), "")
+        return let(F.substring(text, first + 1, F.element_at(part, -1)["to"] - first), piece)
+
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    new = F.concat(let(before, lambda b: F.array_join(F.transform(portions(b, 512), written), "")), F.substring(text, last + 1, F.length(text)))
     out = found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text))
     if length_col:
         out = out.withColumn(length_col, F.when(F.size(spans) > 0, F.length(text_col).cast(dict(docs.dtypes)[length_col])).otherwise(F.col(length_col)))
@@ -151,7 +205,12 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KI
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, base_sha256 of the base spans and all spans, per row."""
+    """For every row of ``docs`` its id, how many spans of each base kind, base_sha256 of the
+    base spans, all spans, and the best score of a span (null without one).
+
+    Null and empty texts have no spans (zeros, the digest of the empty text); very long
+    texts are read whole. Null ids stay null, repeated rows give repeated rows, other
+    columns are ignored, whatever they are called; an empty table gives an empty one."""
     s = find(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "s")
     base = [k.name for k in KINDS if k.base]
 
