@@ -30,6 +30,10 @@ DROP = frozenset("head nav header footer aside form menu dialog button select in
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond replies share sharing social related recommended popup modal overlay login search pagination pager skip contentinfo complementary form".split()
 )
+#: Those of reader comments and of adverts: the first beat whatever they hold, the second
+#: hold for inline elements in a sentence too.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion".split())
 #: Start tags that end an open paragraph, and elements that end one of their own kind.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
@@ -37,11 +41,14 @@ LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 #: A subtree is a template if it is on so many different pages of its host, or in so many
 #: different articles.
 MIN_PAGES = 8
-#: (host, subtree) rows that are broadcast at most; more are joined by a shuffle.
-MAX_BROADCAST_ROWS = 200_000
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: Bytes of templates that are broadcast at most (a row counts its host and TEMPLATE_BYTES);
+#: more are joined by a shuffle.
+MAX_BROADCAST_BYTES, TEMPLATE_BYTES = 32_000_000, 120
+
+#: A quoted value counts as one where a blank or the tag's end follows it; any other quote is
+#: a character like others, so that a stray one takes no text with it.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))?)*+)>", re.DOTALL)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD_SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -51,6 +58,8 @@ class Node:
     tag: str
     start: int
     marked: bool = False
+    comment: bool = False
+    advert: bool = False
     main: bool = False
     holds_main: bool = False
     end: int = 0
@@ -116,6 +125,8 @@ def parse(html: str) -> Node:
                 words = set(_WORD_SPLIT.split(next((v for v in values if v), "").lower()))
                 node.main |= name.lower() == "role" and "main" in words
                 node.marked |= not words.isdisjoint(DROP_WORDS)
+                node.comment |= not words.isdisjoint(COMMENT_WORDS)
+                node.advert |= not words.isdisjoint(ADVERT_WORDS)
         node.main |= tag in ("article", "main")
         stack[-1].parts.append(node)
         if tag in RAW and not attributes.endswith("/"):
@@ -201,53 +212,93 @@ def subtrees(html: str) -> dict[int, int]:
     return inside | outside
 
 
+def _in_sentence(block: Node) -> bool:
+    """Whether a block holds text of its own beside marked inline elements."""
+    todo: list[Node | str] = list(block.parts)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if not x.isspace():
+                return True
+        elif not x.marked and x.tag not in BLOCK and x.tag not in DROP:
+            todo += x.parts
+    return False
+
+
 def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks of the article (of <article>, else of <main>, else of the page) without
-    templates and without what is not main text, joined by line feeds."""
+    templates and without what is not main text, joined by line feeds.
+
+    Class words decide about blocks, and about inline elements that stand in no sentence
+    (adverts in any place). An <article> or <main> that they mark is the article only if no
+    unmarked one has text: first other marked ones, then, where the rest of the page has no
+    text either, adverts and reader comments."""
     if not html:
         return ""
     root = hashed(html) if templates else parse(html)
+    sentences: dict[int, bool] = {}
 
-    def dropped(x: Node) -> bool:
+    def dropped(x: Node, block: Node) -> bool:
         if x.tag in DROP:
             return True
         if x.tag in ("html", "body") or x.main and not x.marked:
             return False
-        if x.marked and not x.holds_main:
+        if x.marked and x.tag not in BLOCK and not x.advert:
+            if id(block) not in sentences:
+                sentences[id(block)] = _in_sentence(block)
+            return not sentences[id(block)]
+        if x.marked and (x.comment or not x.holds_main):
             return True
         return bool(templates) and x.tag in BLOCK and x.hash in templates and not x.holds_main
 
-    def mains(tags: tuple[str, ...]) -> list[Node]:
+    def mains(tags: tuple[str, ...], level: int) -> list[Node]:
+        """The outermost ones; from level 1 on also marked ones, from 2 on all of them."""
         found: list[Node] = []
         todo: list[Node | str] = root.parts[::-1]
         while todo:
             x = todo.pop()
-            if isinstance(x, Node) and not dropped(x):
-                if x.tag in tags or x.main and "main" in tags:
-                    found.append(x)
-                else:
-                    todo += reversed(x.parts)
+            if not isinstance(x, Node):
+                continue
+            is_main = x.tag in tags or x.main and "main" in tags
+            open_to = not x.marked or level == 2 or level == 1 and not x.comment and not x.advert
+            if is_main and x.tag not in DROP and open_to:
+                found.append(x)
+            elif level == 2 and x.marked or not dropped(x, root):
+                todo += reversed(x.parts)
         return found
 
-    blocks: list[list[str]] = [[]]
-    for start in mains(("article",)) or mains(("main",)) or [root]:
-        blocks.append([])
-        todo: list[Node | str | None] = start.parts[::-1]
-        while todo:
-            x = todo.pop()
-            if x is None:  # the end of a block
-                blocks.append([])
-            elif isinstance(x, str):
-                blocks[-1].append(x)
-            elif x.tag == "br":
-                blocks[-1].append(" ")
-            elif not dropped(x):
-                if x.tag in BLOCK:
+    def written(starts: list[Node]) -> str:
+        blocks: list[list[str]] = [[]]
+        for start in starts:
+            blocks.append([])
+            inside = [start]
+            todo: list[Node | str | None] = start.parts[::-1]
+            while todo:
+                x = todo.pop()
+                if x is None:  # the end of a block
                     blocks.append([])
-                    todo.append(None)
-                todo += reversed(x.parts)
-    lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+                    inside.pop()
+                elif isinstance(x, str):
+                    blocks[-1].append(x)
+                elif x.tag == "br":
+                    blocks[-1].append(" ")
+                elif not dropped(x, inside[-1]):
+                    if x.tag in BLOCK:
+                        blocks.append([])
+                        inside.append(x)
+                        todo.append(None)
+                    todo += reversed(x.parts)
+        lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
+        return "\n".join(x for x in lines if x)
+
+    for level in (0, 1, None, 2):
+        if level is None:
+            text = written([root])
+        else:
+            text = written(mains(("article",), level)) or written(mains(("main",), level))
+        if text:
+            return text
+    return ""
 
 
 def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,12 +335,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages have the empty text and length 0. Pages without a url or a host
     in it belong to no host: only the rules for elements and class names apply to them.
-    Repeated rows give repeated rows, null ids stay null, other columns are ignored."""
+    Pages may be of any length and nested to any depth; unclosed and stray tags close as
+    browsers close them, a stray quote is a character of its tag. Repeated rows give
+    repeated rows (and count as one page), null ids stay null, other columns are ignored,
+    whatever they are called, and an empty table gives an empty one."""
     kind = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("host"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", F.when(F.col("host") != "", F.col("host")))
     found = checkpoint(templates(rows, min_pages))
-    if found.count() <= MAX_BROADCAST_ROWS:
+    size = found.agg(F.sum(F.octet_length("host") + TEMPLATE_BYTES)).first()[0] or 0
+    if size <= MAX_BROADCAST_BYTES:
         sets: dict[str, set[int]] = {}
         for host, subtree in found.toPandas().itertuples(index=False):
             sets.setdefault(host, set()).add(subtree)

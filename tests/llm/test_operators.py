@@ -199,8 +199,8 @@ def test_templates_of_a_large_host(spark, monkeypatch):
     # a page of the same host without an article shows the widget outside of one
     rows.append((2000, "http://h.example/w", f"<body>{widget}<p>plain</p></body>"))
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for bound in (pagetext.MAX_BROADCAST_ROWS, 0):
-        monkeypatch.setattr(pagetext, "MAX_BROADCAST_ROWS", bound)
+    for bound in (pagetext.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(pagetext, "MAX_BROADCAST_BYTES", bound)
         got = {r.page_id: r.text for r in pagetext.extract(pages).collect()}
         assert len(got) == len(rows)
         assert got[2000] == "plain"
@@ -216,6 +216,81 @@ def test_deep_pages():
     assert pagetext.main_text(inline) == "text\nend"
 
 
+def test_malformed_pages():
+    text = pagetext.main_text
+    assert text("<p title=it's>Hello</p>") == "Hello"
+    assert text('<p class="x>Hello</p>') == "Hello" == text("<p class='x>Hello</p><p id='footer'>f</p>")
+    assert text('<p data-x="a > b" title=\'<b>\'>Hello</p>') == "Hello"
+    assert text('<p class="x>Hello</p><a href="y">link</a>') == "Hello\nlink"
+    deep = "<div>" * 400
+    assert text(f"<div><article>{deep}in{'</div>' * 400}<p>after</p></article></div>") == "in\nafter"
+    assert text(f"<article>{deep}<nav>menu</nav>in</article>") == "in"
+
+
+def test_marked_parts_of_pages():
+    text = pagetext.main_text
+    assert text('<main><article>text</article><section class="comments"><article>cmt</article></section></main>') == "text"
+    assert text('<article>text<section id=comments><article class="comment">cmt</article></section></article>') == "text"
+    assert text('<body><p>x</p><article class="social">text</article></body>') == "text"
+    assert text('<main><p class="share">s</p><article class="social">text</article></main>') == "text"
+    assert text('<body class="comments-open"><article>text</article></body>') == "text"
+    assert text('<body><p>plain</p><article class="ad">buy</article></body>') == "plain"
+    assert text('<body><div class="comments"><article>only</article></div></body>') == "only"
+    assert text('<article><p>A <span class="related">term</span> here.</p><p><a class="share">Share</a> <a class="share">Post</a></p><p>b <span class="ad">buy</span></p></article>') == "A term here.\nb"
+
+
+def brute_text(node):
+    """Text by the plain rules over a tree of (tag, class, parts), recursively."""
+    blocks = [[]]
+
+    def walk(n):
+        tag, cls, parts = n
+        if tag in ("nav", "footer", "aside", "script") or cls in ("ad", "comments", "sidebar"):
+            return
+        if tag != "b":
+            blocks.append([])
+        for p in parts:
+            if isinstance(p, str):
+                blocks[-1].append(p)
+            else:
+                walk(p)
+        if tag != "b":
+            blocks.append([])
+
+    walk(node)
+    return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
+
+
+def test_page_text_equals_brute_force():
+    import html
+
+    rng = random.Random(11)
+
+    def tree(depth):
+        parts = [rng.choice([words(rng, 3) + " ", "a &<b ", tree(depth - 1) if depth else "x "]) for _ in range(rng.randrange(1, 4))]
+        return (rng.choice(["div", "p", "b", "section", "nav", "footer", "aside", "script"]) if depth < 4 else "div", rng.choice(["", "", "", "x", "ad", "comments", "sidebar"]), parts)
+
+    def no_p(n):  # a paragraph holds no blocks
+        tag, cls, parts = n
+        kids = [p if isinstance(p, str) else no_p(p) for p in parts]
+        if tag in ("p", "b"):
+            kids = [k for k in kids if isinstance(k, str)] or ["x "]
+        if tag == "script":
+            kids = ["code"]
+        if tag == "b":
+            cls = ""
+        return (tag, cls, kids)
+
+    def source(n):
+        tag, cls, parts = n
+        attribute = rng.choice([f' class="{cls}"', f" class={cls}", f" id='{cls}'"]) if cls else rng.choice(["", " data-n=5", ' title="a > b"'])
+        return f"<{tag}{attribute}>" + "".join(html.escape(p, quote=False) if isinstance(p, str) else source(p) for p in parts) + f"</{tag}>"
+
+    for _ in range(400):
+        t = ("article", "", [no_p(tree(4)), no_p(tree(3))])
+        assert pagetext.main_text(f"<html><body><nav>menu</nav>{source(t)}<footer>f</footer></body></html>") == brute_text(t), source(t)
+
+
 # -------------------------------------------------------------------- quality
 
 
