@@ -29,7 +29,8 @@ REGISTERS = BANDS * BAND_ROWS
 BATCH_CHARS = 1_000_000
 #: Ids up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-#: A bucket that holds several classes is compared in blocks of this many texts.
+#: A bucket that holds several classes is compared in blocks of this many texts; its rows
+#: are joined with what is known of the bucket in portions of that size, too.
 BLOCK = 256
 #: Below this share of equal registers a pair is not verified: four standard deviations
 #: of the estimate under the threshold.
@@ -220,6 +221,14 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
+def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts with the digests of their words."""
+    for whole in batches:
+        for part in _portions(_lengths(whole["text"])):
+            b = whole.iloc[part]
+            yield pd.DataFrame({"print": Sets(b["text"].tolist()).prints, "text": b["text"].to_numpy()})
+
+
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pairs whose registers agree often enough."""
     for b in batches:
@@ -242,16 +251,18 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": b["a"].to_numpy(), "b": b["b"].to_numpy(), "similarity": [prob_jaccard(sets[x], sets[y]) for x, y in at]})
 
 
-def texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts with these ids. Only they are shuffled later on: the ids are sent to the
-    scan if they are few enough, else the texts go through a shuffled semi-join."""
+def texts_of(ids: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
+    """The texts with these ids, one for each. Only they are shuffled later on: the ids are
+    sent to the scan if they are few enough, else the texts go through a shuffled semi-join.
+    Of ``repeated`` rows of an id, which have the same words or none, one with words is taken."""
     ids = checkpoint(ids)
-    return texts.join(small_side(ids, ids.count(), MAX_BROADCAST_IDS), "id", "left_semi")
+    found = texts.join(small_side(ids, ids.count(), MAX_BROADCAST_IDS), "id", "left_semi")
+    return found.groupBy("id").agg(F.max_by("text", F.struct(F.col("text").rlike("[\\p{L}\\p{N}_]"), F.length("text"))).alias("text")) if repeated else found
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
     """(a, b, similarity) of the candidate pairs with a similarity of THRESHOLD or more."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, repeated)
     first = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     second = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     rows = pairs.join(first, "b").join(second, "a").select("a", "b", "text_a", "text_b")
@@ -277,8 +288,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, id, label, ...) of buckets with several classes, each with its
-    block (``mine``) and the blocks it has to be compared with (``others``).
+    """The rows (bucket, n, id, label, ...) of buckets with several classes (n: the bucket's
+    texts), each with its block (``mine``) and the blocks it has to be compared with (``others``).
 
     A class of BLOCK texts or more has blocks of its own, which are not compared among
     themselves; smaller classes of a bucket share blocks. So a large class meets the few
@@ -287,7 +298,12 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     pools = sizes.groupBy("bucket", F.when(F.col("m") >= BLOCK, F.col("label")).alias("pool")).agg(F.sum("m").alias("m"), F.count("*").alias("classes"))
     # null, the shared pool, is sorted first
     groups = pools.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("pool", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")))).alias("groups"), F.sum("classes").alias("classes"))
-    left = rows.join(groups.filter("classes > 1").drop("classes"), "bucket")
+    # the rows of a large bucket are dealt to several tasks, its groups sent to each of them
+    groups = groups.filter("classes > 1").withColumn("of", F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + g["blocks"])).drop("classes")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("n") / BLOCK)))
+    # n texts make at least ceil(n / BLOCK) blocks, so every salt of a row is there
+    left = left.join(groups.drop("of"), ["bucket", "salt"]).drop("salt", "n")
     own = F.array_position(F.transform("groups", lambda g: g["pool"]), F.col("label"))
     left = left.withColumn("own", F.when(own > 0, own).otherwise(1).cast("int"))
     code = lambda g, k: g.cast("long") * F.lit(1 << 32) + k
@@ -297,10 +313,9 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return left.withColumn("others", F.flatten(others)).drop("groups", "own")
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between texts of different classes in two blocks of a bucket (or in one).
-    The rows of a bucket's two blocks come one after the other; what a batch ends with is
-    kept for the next."""
+def _grouped(batches: Iterator[pd.DataFrame], use) -> Iterator[pd.DataFrame]:
+    """``use(rows, cuts)`` of whole groups: the rows of a bucket's two blocks come one after
+    the other; what a batch ends with is kept for the next."""
     rest: pd.DataFrame | None = None
     for b in batches:
         rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
@@ -309,11 +324,21 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = rows[["bucket", "low", "high"]].to_numpy()
         cuts = np.flatnonzero((g[1:] != g[:-1]).any(axis=1)) + 1
         last = int(cuts[-1]) if len(cuts) else 0
-        rest = rows.iloc[last:]
+        rest = rows.iloc[last:].reset_index(drop=True)
         if last:
-            yield _links_of(rows.iloc[:last], np.concatenate([[0], cuts]))
+            yield use(rows.iloc[:last], np.concatenate([[0], cuts]))
     if rest is not None and len(rest):
-        yield _links_of(rest, np.array([0, len(rest)]))
+        yield use(rest, np.array([0, len(rest)]))
+
+
+def _hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of two blocks that have a candidate there; only their texts are needed."""
+    return _grouped(batches, lambda rows, cuts: rows.iloc[np.unique(_candidates(rows, cuts))])
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between texts of different classes in two blocks of a bucket (or in one)."""
+    return _grouped(batches, _links_of)
 
 
 def _candidates(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
@@ -372,19 +397,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Distinct texts whose five-word shingles have a probability Jaccard similarity of 0.8
     or more are linked, and links chain into classes. In each bucket all texts are
     compared with one of them; texts of a bucket that are then still in different classes
-    are compared in blocks, inside a task, so that a class misses no link a bucket holds,
-    while only links leave the task.
+    are compared in blocks, first by their registers, then, where these agree, inside a task
+    by their texts, so that a class misses no link a bucket holds, while only links leave
+    the task.
 
     A text without words (null, empty, punctuation) is a class of its own; several rows
-    with one id are one document. A null id gets a null class. Other columns are
-    ignored; an empty table gives an empty one."""
+    with one id are one document, so all its texts are in one class. A null id gets a null
+    class. Very long texts are read whole, in pieces. Other columns are ignored; an empty
+    table gives an empty one."""
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = checkpoint(texts.mapInPandas(_sketch, "id long, print binary, bands array<long>, registers binary"))
     named = sketch.filter("print is not null and id is not null")
-    reps = checkpoint(named.groupBy("print").agg(F.min("id").alias("rep")))
-    distinct = named.join(reps.select(F.col("rep").alias("id"), "print"), ["id", "print"], "left_semi").select("id", "bands", "registers").dropDuplicates(["id"])
+    reps = named.groupBy("print").agg(F.min("id").alias("rep"))
+    # a distinct text goes by the least id that has it; where that id has several texts, all
+    # but the first of these go by a number made of their words
+    many = checkpoint(sketch.filter("id is not null").groupBy("id").agg(F.min("print").alias("first"), F.max("print").alias("last"), F.count("*").alias("n")).filter("n > 1"))
+    repeated = not many.isEmpty()
+    several = many.filter("first <> last").select("id", "first")
+    n_several = several.count()
+    if n_several:
+        firsts = small_side(several.withColumnRenamed("id", "rep"), n_several, MAX_BROADCAST_IDS)
+        reps = reps.join(firsts, "rep", "left").select("print", "rep", F.when(F.coalesce(F.col("print") == F.col("first"), F.lit(True)), F.col("rep")).otherwise(F.xxhash64("print")).alias("node"))
+        ids = small_side(several.select("id"), n_several, MAX_BROADCAST_IDS)
+        odd = texts.join(ids, "id").mapInPandas(_printed, "print binary, text string").filter("print is not null")
+    else:
+        reps = reps.select("print", "rep", F.col("rep").alias("node"))
+    reps = checkpoint(reps)
+    nodes = reps.select(F.col("rep").alias("id"), "print", "node")
+    distinct = named.join(nodes, ["id", "print"]).select(F.col("node").alias("id"), "bands", "registers").dropDuplicates(["id"])
     distinct = checkpoint(distinct)
+    if n_several:
+        # texts by their node: those of ids with several texts by their words
+        odd = odd.join(reps.select("print", "node"), "print").select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
+        texts = texts.join(ids, "id", "left_anti").unionByName(odd)
     registers = distinct.select("id", "registers")
 
     buckets = distinct.select("id", F.posexplode("bands").alias("band", "bucket"))
@@ -392,17 +438,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = checkpoint(buckets.join(hubs, "bucket"))
     pairs = full.filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     pairs = pairs.join(registers.toDF("b", "rb"), "b").join(registers.toDF("a", "ra"), "a").select("a", "b", "ra", "rb")
-    links = checkpoint(verified(checkpoint(pairs.mapInPandas(_alike, "a long, b long")), texts))
+    links = verified(checkpoint(pairs.mapInPandas(_alike, "a long, b long")), texts, repeated).select("a", "b")
+    if n_several:
+        same = named.join(ids, "id").join(reps.select("print", "node"), "print").select("id", "node").distinct()
+        same = checkpoint(same)
+        hub = same.groupBy("id").agg(F.min("node").alias("a"))
+        links = links.unionByName(same.join(hub, "id").filter("a <> node").select("a", F.col("node").alias("b")))
+    links = checkpoint(links)
     labels = components(links)
 
     # buckets of two are done; in larger ones, texts in different classes are left
-    larger = full.filter("n > 2").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
-    left = checkpoint(in_blocks(larger))
-    content = distinct.join(texts_of(left.select("id").distinct(), texts), "id").dropDuplicates(["id"])
-    left = left.join(content, "id").withColumn("other", F.explode("others"))
-    left = left.select("bucket", "band", "id", "label", "registers", "bands", "text", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    left = left.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    again = checkpoint(left.mapInPandas(_compare, "a long, b long"))
+    larger = full.filter("n > 2").join(labels, "id", "left").select("bucket", "n", "band", "id", F.coalesce("label", "id").alias("label"))
+    left = in_blocks(larger).join(distinct, "id").withColumn("other", F.explode("others"))
+    left = left.select("bucket", "band", "id", "label", "registers", "bands", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    together = lambda df: df.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
+    hopeful = checkpoint(together(left).mapInPandas(_hopeful, left.schema))
+    content = texts_of(hopeful.select("id").distinct(), texts, repeated)
+    again = checkpoint(together(hopeful.join(content, "id")).mapInPandas(_compare, "a long, b long"))
     # links of the second kind join whole classes of the first
     of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"class_{c}"))
     joined = again.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("x"), F.coalesce("class_b", "b").alias("y"))
@@ -410,8 +462,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     singles = merged.join(labels.select("label"), "label", "left_anti").select(F.col("label").alias("id"), F.col("merged").alias("label"))
     labels = labels.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")).unionByName(singles)
 
-    of_print = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("label", "rep").alias("class"))
-    rows = sketch.select("id", "print").join(of_print, "print", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
+    of_print = reps.join(labels.withColumnRenamed("id", "node"), "node", "left").select("print", "rep", F.coalesce("label", "node").alias("class"))
+    if n_several:
+        # a class goes by its least id, which need not be its least node
+        of_print = checkpoint(of_print)
+        of_print = of_print.join(of_print.groupBy("class").agg(F.min("rep").alias("least")), "class").select("print", F.col("least").alias("class"))
+    rows = sketch.select("id", "print").join(of_print.select("print", "class"), "print", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
+    if repeated:
+        # rows without words are in the class of their id's other texts
+        n_many = many.count()
+        best = rows.join(small_side(many.select("id"), n_many, MAX_BROADCAST_IDS), "id").groupBy("id").agg(F.min("class_id").alias("least"))
+        rows = rows.join(small_side(checkpoint(best), n_many, MAX_BROADCAST_IDS), "id", "left").select("id", F.coalesce("least", "class_id").alias("class_id"))
     return rows.select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), (F.col("id") == F.col("class_id")).alias("is_first"))
 
 

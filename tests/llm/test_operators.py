@@ -450,7 +450,7 @@ def test_blocks_bring_all_classes_together(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     rng = random.Random(9)
     rows = [(b, i, rng.choice([100, 100, 100, 200, 200, i]) if b else 7) for b in range(4) for i in range(b * 100, b * 100 + 30)]
-    got = neardup.in_blocks(spark.createDataFrame(rows, "bucket long, id long, label long")).collect()
+    got = neardup.in_blocks(spark.createDataFrame(rows, "bucket long, id long, label long").withColumn("n", F.lit(30).cast("long"))).collect()
     assert {r.bucket for r in got} == {1, 2, 3}
     met = {}
     for r in got:
@@ -470,6 +470,40 @@ def test_class_edges(spark):
     assert neardup.keep_first(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_texts_of_one_id(spark):
+    """An id with two texts brings their classes together."""
+    rng = random.Random(12)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (3, c), (9, None), (11, b), (12, words(rng, 60)), (4, c + " end"), (4, words(rng, 60))]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = {(r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 5), (3, 3), (4, 3), (12, 12)}
+    assert sorted(r.doc_id for r in neardup.keep_first(df).collect()) == [3, 5, 12]
+
+
+def test_recall_of_near_copies(spark):
+    """Every pair of the tables with a similarity of 0.8 or more by exact count is in one
+    class; near copies by themselves, exact ones aside."""
+    where = "/root/testdata/sf0.01"
+    if not os.path.isdir(where):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(f"{where}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    sets = {i: weighted(t) for i, t in texts.items()}
+    holders = {}
+    for i, (d, _) in sets.items():
+        for x in d:
+            holders.setdefault(x, []).append(i)
+    shared = {}
+    for ids in holders.values():
+        for pair in combinations(ids, 2) if len(ids) < 100 else ():
+            shared[pair] = shared.get(pair, 0) + 1
+    near = [(i, j) for (i, j), n in shared.items() if n >= 0.5 * min(len(sets[i][0]), len(sets[j][0])) and words_only(texts[i]) != words_only(texts[j]) and brute_jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(near) > 5
+    assert sum(got[i] == got[j] for i, j in near) / len(near) >= 0.99
+
+
 # ---------------------------------------------------------------------- media
 
 
