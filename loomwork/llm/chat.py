@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,27 +57,27 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
-def mask_of(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
+def mask_of(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """For each token 1 if it lies under a span, and the stretches of characters that the
-    tokens under each span cover, clipped to it. Both lists are sorted; the tokens of a
-    span are found by binary search."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    mask, covered = [0] * len(offsets), []
-    for a, b in spans:
-        first, last = bisect_right(ends, a), bisect_left(starts, b)
-        if first < last:
-            mask[first:last] = [1] * (last - first)
-            covered.append((max(a, starts[first]), min(b, ends[last - 1])))
+    tokens under each span cover, clipped to it. Both lists are sorted; the tokens of all
+    spans are found by binary search."""
+    at, under = np.array(offsets, np.int64).reshape(-1, 2), np.array(spans, np.int64).reshape(-1, 2)
+    mask, covered = np.zeros(len(at), np.int32), []
+    first, last = np.searchsorted(at[:, 1], under[:, 0], "right"), np.searchsorted(at[:, 0], under[:, 1], "left")
+    for (a, b), i, j in zip(spans, first.tolist(), last.tolist(), strict=True):
+        if i < j:
+            mask[i:j] = 1
+            covered.append((max(a, int(at[i, 0])), min(b, int(at[j - 1, 1]))))
     return mask, covered
 
 
 @lru_cache(maxsize=4)
-def load_tokenizer(path: str):
-    """A byte-level tokenizer; the template's strings are tokens of their own, so that no
+def load_tokenizer(definition: str):
+    """A byte-level tokenizer from its definition; the template's strings are tokens of their own, so that no
     token crosses the edge of a turn's text."""
     from tokenizers import AddedToken, Tokenizer
 
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_str(definition)
     t.add_tokens([AddedToken(x, normalized=False) for x in (OPEN, MIDDLE, CLOSE)])
     t.no_truncation()
     return t
@@ -89,8 +89,11 @@ def format_conversations(conversations: DataFrame, tokenizer: str, loss_role: st
 
     Rows are ordered by turn (null first), ties by role and text; null roles and texts
     are empty. Rows with a null id are one conversation with a null id. An empty table
-    gives an empty one; other columns are ignored. A conversation is one row here as it
+    gives an empty one; other columns are ignored. ``tokenizer`` is a file that the driver
+    reads; the tasks get its content. A conversation is one row here as it
     is one training sample, so it must fit into a task's memory."""
+    with open(tokenizer, encoding="utf-8") as f:
+        definition = conversations.sparkSession.sparkContext.broadcast(f.read())
     rows = conversations.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("t"))
     kind = dict(conversations.dtypes)[conv_col]
@@ -100,7 +103,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str, loss_role: st
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = load_tokenizer(tokenizer)
+        t = load_tokenizer(definition.value)
         for whole in batches:
             for k in range(0, len(whole), 64):
                 b = whole.iloc[k : k + 64]
@@ -108,7 +111,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str, loss_role: st
                 out = []
                 for (text, spans), e in zip(done, t.encode_batch([d[0] for d in done], add_special_tokens=False), strict=True):
                     mask, covered = mask_of(e.offsets, spans)
-                    out.append((text, e.ids, mask, [{"start": a, "end": z} for a, z in covered]))
+                    out.append((text, np.array(e.ids, np.int32), mask, [{"start": a, "end": z} for a, z in covered]))
                 yield pd.DataFrame({"conv": b["conv"].to_numpy(), "formatted": [o[0] for o in out], "token_ids": [o[1] for o in out], "loss_mask": [o[2] for o in out], "loss_spans": [o[3] for o in out]})
 
     out = grouped.mapInPandas(encode, "conv string, formatted string, token_ids array<int>, loss_mask array<int>, loss_spans array<struct<start: int, end: int>>")
@@ -125,7 +128,7 @@ def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             for text, mask, spans in zip(b["formatted"], b["loss_mask"], b["loss_spans"], strict=True):
                 turns = parse(text)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                out.append((len(turns), _sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), _sha(loss), len(text), len(mask), int(sum(mask))))
+                out.append((len(turns), _sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), _sha(loss), len(text), len(mask), int(np.sum(mask))))
             yield pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]).assign(conv=b["conv"].to_numpy())
 
     kind = dict(formatted.dtypes)[conv_col]

@@ -2,8 +2,8 @@
 
 A payload is a text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64.
 It is stored as a grey PNG, 64 samples wide (lossless, and its size in the header).
-Tasks write tar shards; each image's member name is its digest and stands once in a
-shard. Rows carry shard, digest, offset and length. Metadata columns are filled by
+Tasks write tar shards; each image's member name is its digest, and equal texts are stored
+once, however many rows have them. Rows carry shard, digest, offset and length. Metadata columns are filled by
 reading only the 33 header bytes of an image; features by reading the samples back."""
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, new_folder
+from .common import checkpoint, new_folder, small_side
 
 WIDTH = 64
 HEADER = 33
 #: A task begins another shard when one has this many bytes.
 SHARD_BYTES = 256_000_000
+#: Digests of repeated texts that are broadcast at most (about 100 bytes each); more are
+#: joined by a shuffle.
+MAX_BROADCAST_DIGESTS = 200_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -142,26 +145,41 @@ class ShardReader:
 def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the payloads of all rows to tar shards in ``folder`` (any address that
     pyarrow's file systems open, shared by all machines) and return the rows: id, n_bytes,
-    shard, digest, offset, length. Null text is the empty payload of 64 zero bytes. A
-    digest stands once in each shard; repeated rows and equal texts have equal digests.
-    Null ids stay null. The rows are computed once, when this returns."""
+    shard, digest, offset, length.
+
+    Null text is the empty payload of 64 zero bytes; very long texts are stored whole. Of
+    rows with equal texts the one of least id stores them (rows with that id and text, too,
+    once for each task), all others point there. Null ids stay null, repeated rows give
+    repeated rows, other columns are ignored; an empty table gives an empty one. The rows are
+    computed once, when this returns."""
     kind = dict(docs.dtypes)[id_col]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = ShardWriter(folder)
         for b in batches:
             out = []
-            for i, text in zip(b["id"], b["text"], strict=True):
+            for i, text, key in zip(b["id"], b["text"], b["key"], strict=True):
                 image = encode(payload_of(text))
                 digest = hashlib.sha256(image).hexdigest()
                 shard, offset = writer.add(digest, image)
-                out.append((i, len((text or "").encode("utf-8", "surrogatepass")), shard, digest, offset, len(image)))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "shard", "digest", "offset", "length"])
+                out.append((i, len((text or "").encode("utf-8", "surrogatepass")), key, shard, digest, offset, len(image)))
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "key", "shard", "digest", "offset", "length"])
         writer.close()
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    index = checkpoint(rows.mapInPandas(write, "id string, n_bytes long, shard string, digest string, offset long, length long"))
-    return index.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), F.sha2(text, 256).alias("key"))
+    # texts of several rows, and the id whose row stores them (null if all their ids are)
+    again = checkpoint(rows.groupBy("key").agg(F.min("id").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("key", "owner", F.lit(True).alias("shared")))
+    n = again.count()
+    owned = rows.join(small_side(again, n, MAX_BROADCAST_DIGESTS), "key", "left")
+    writes = F.col("shared").isNull() | F.col("id").eqNullSafe(F.col("owner"))
+    index = checkpoint(owned.filter(writes).select("id", "text", "key").mapInPandas(write, "id string, n_bytes long, key string, shard string, digest string, offset long, length long"))
+    if n:
+        place = index.join(small_side(again.select("key"), n, MAX_BROADCAST_DIGESTS), "key", "left_semi")
+        place = checkpoint(place.groupBy("key").agg(F.min(F.struct("shard", "digest", "offset", "length", "n_bytes")).alias("p")))
+        others = owned.filter(~writes).select("id", "key").join(small_side(place, n, MAX_BROADCAST_DIGESTS), "key")
+        index = index.unionByName(others.select("id", "p.n_bytes", "key", "p.shard", "p.digest", "p.offset", "p.length"))
+    return index.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "shard", "digest", "offset", "length")
 
 
 def with_metadata(index: DataFrame, folder: str) -> DataFrame:

@@ -507,7 +507,7 @@ def test_recall_of_near_copies(spark):
 # ---------------------------------------------------------------------- media
 
 
-def test_media_round_trip(spark, tmp_path):
+def test_media_round_trip(spark, tmp_path, monkeypatch):
     import io
     import tarfile
 
@@ -527,6 +527,13 @@ def test_media_round_trip(spark, tmp_path):
         with tarfile.open(fileobj=io.BytesIO(shard)) as tar:
             assert f"{r.digest}.png" in tar.getnames()
     assert media.media_table(spark.createDataFrame([], DOCS)).count() == 0
+    # equal texts are stored once over all tasks
+    many = spark.createDataFrame([(i if i % 9 else None, f"text {i % 4}" if i % 5 else None) for i in range(60)], "doc_id long, text string").repartition(6)
+    for bound in (media.MAX_BROADCAST_DIGESTS, 0):
+        monkeypatch.setattr(media, "MAX_BROADCAST_DIGESTS", bound)
+        got = media.media_table(many).toPandas()
+        assert len(got) == 60 and len(set(zip(got.shard, got.offset, strict=True))) == got.digest.nunique() == 5
+        assert got.doc_id.isna().sum() == 7
 
 
 # ----------------------------------------------------------------------- chat
@@ -547,7 +554,7 @@ def test_chat_masks(spark):
     rows = [(i, k, r, t) for i, t in enumerate(NASTY) for k, r in enumerate(("user", "assistant", "assistant"))] + [(90, None, None, None), (90, 1, "assistant", "z"), (None, 0, "assistant", "null id")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(c.withColumn("formatted", F.lit(1)), queries.TOKENIZER)
-    t = chat.load_tokenizer(queries.TOKENIZER)
+    t = chat.load_tokenizer(open(queries.TOKENIZER, encoding="utf-8").read())
     for r in out.collect():
         assert t.decode(list(r.token_ids), skip_special_tokens=False) == r.formatted and len(r.token_ids) == len(r.loss_mask)
         # bytes of the masked tokens and only they are the assistant's
