@@ -39,10 +39,15 @@ def sprite_565(r: Column, g: Column, b: Column, alpha: Column) -> Column:
     return F.when(alpha < 128, F.lit(KEY)).when(v == KEY, F.lit(NEAR_KEY)).otherwise(v)
 
 
-def grey_bit(r: Column, g: Column, b: Column) -> Column:
-    """One bit of a black and white raster: on if the sum exceeds the middle, with only
-    blue divided by three, as the format's writer does."""
-    return (r + g + F.floor(b / 3) > 127).cast("int")
+def grey_byte(r: Column, g: Column, b: Column) -> Column:
+    """The byte that a monochrome raster stores: the sum, only blue divided by three (as the
+    format's writer has it), without what exceeds a byte."""
+    return (r + g + F.floor(b / 3)).cast("int").bitwiseAND(F.lit(255))
+
+
+def bytes_per_pixel(kind: Column) -> Column:
+    """1 for monochrome, 2 for the 16-bit formats, 3 for rgb888."""
+    return F.when(kind == "mono", 1).when(kind == "rgb888", 3).otherwise(2)
 
 
 def ramp(x: Column, width: int, low: Column, high: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bits import lcg
 from .let import let
 
 _CELLS = "array<int>"
@@ -42,17 +45,12 @@ def rotate(board: Column) -> Column:
     return let(F.reverse(board), lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.transform(b, lambda r: r[i])))
 
 
-def turned(board: Column, quarters: int) -> Column:
-    for _ in range(quarters % 4):
-        board = rotate(board)
-    return board
-
-
-def moved(board: Column, quarters: int) -> Column:
-    """The board after a move: turned so that the move goes to the front, slid, turned
-    back. 0 is to the left, 1 down, 2 right, 3 up."""
-    slid = F.transform(turned(board, quarters), lambda r: slide(r)["cells"])
-    return turned(slid, -quarters)
+def moved(board: Column, side: str) -> Column:
+    """The board after a move to the left, right, up or down: rows or columns slid, from
+    their other end for right and down."""
+    flip = (lambda r: F.reverse(r)) if side in ("right", "down") else (lambda r: r)
+    slid = lambda b: F.transform(b, lambda r: flip(slide(flip(r))["cells"]))
+    return slid(board) if side in ("left", "right") else transposed(slid(transposed(board)))
 
 
 def transposed(board: Column) -> Column:
@@ -85,22 +83,58 @@ def step(cells: Column, dx: Column, dy: Column, width: int, height: int, grows:
     return F.concat(F.array(head), F.slice(cells, 1, F.size(cells) - F.when(grows, 0).otherwise(1)))
 
 
-def level_pattern(level: Column, r: Column, c: Column, rows: int, cols: int) -> Column:
-    """Whether a cell of the levels 1 to 12 is set; the thirteenth starts over."""
-    mid = F.abs(r - rows // 2)
-    left, right = F.abs(c - cols // 4), F.abs(c - cols * 3 // 4)
-    shapes = [
-        F.lit(True),
-        (r + c) % 2 == 0,
-        mid + F.abs(c - cols // 2) <= rows // 2 + cols // 4,
-        r % 2 == 0,
-        (c >= r) & (c < cols - r),
-        (c >= rows - 1 - r) & (c < cols - (rows - 1 - r)),
-        c % 2 == 0,
-        (c + (r % 2) * 2) % 4 < 2,
-        (F.floor(r / 2) + F.floor(c / 2)) % 2 == 0,
-        mid + F.least(left, right) <= rows // 2 + 1,
-        r.isin(0, rows - 1) | c.isin(0, cols - 1),
-        (r == rows // 2) | c.isin(cols // 2, cols // 2 - 1),
-    ]
-    return F.element_at(F.array(*shapes), ((level - 1) % len(shapes) + 1).cast("int"))
+#: Which cells of a board of R rows and C columns the levels 1 to 12 set.
+LEVELS = (
+    "true",
+    "(r + c) % 2 = 0",
+    "abs(r - R div 2) + abs(c - C div 2) <= R div 2 + C div 4",
+    "r % 2 = 0",
+    "c >= r AND c < C - r",
+    "c >= R - 1 - r AND c < C - (R - 1 - r)",
+    "c % 2 = 0",
+    "(c + r % 2 * 2) % 4 < 2",
+    "(r div 2 + c div 2) % 2 = 0",
+    "abs(r - R div 2) + least(abs(c - C div 4), abs(c - C * 3 div 4)) <= R div 2 + 1",
+    "r IN (0, R - 1) OR c IN (0, C - 1)",
+    "r = R div 2 OR c IN (C div 2, C div 2 - 1)",
+)
+#: The generator of the levels after these, its seed for each level, how many
+#: of 100 cells a level sets; a board with less than FEW cells gets more, up to ENOUGH.
+MULTIPLIER, INCREMENT, SEED, DENSITY, PER_LEVEL, DENSEST, FEW, ENOUGH = 1103515245, 12345, 2654435761, 50, 2, 85, 5, 8
+
+
+def level_cells(level: Column, rows: int, columns: int) -> Column:
+    """The cells (row by row, true or false) of a level's board: a fixed shape up to the
+    twelfth, then drawn cell by cell from a generator that is seeded with the level."""
+    size = rows * columns
+    shape = F.when(level < 1, F.expr(f"transform(sequence(0, {size - 1}), i -> false)"))
+    for n, rule in enumerate(LEVELS, 1):
+        rule = re.sub(r"\b[rcRC]\b", lambda m: {"r": f"(i div {columns})", "c": f"(i % {columns})", "R": str(rows), "C": str(columns)}[m.group()], rule)
+        shape = shape.when(level == n, F.expr(f"transform(sequence(0, {size - 1}), i -> {rule})"))
+    bound = F.least(F.lit(DENSITY) + level * PER_LEVEL, F.lit(DENSEST))
+    seed = F.pmod(level.cast("decimal(38,0)") * SEED, F.lit(1 << 32)).cast("long")
+    start = F.struct(seed.alias("x"), F.array().cast("array<boolean>").alias("out"))
+
+    def draw(a: Column, _: Column) -> Column:
+        return let(lcg(a["x"], MULTIPLIER, INCREMENT, F.lit(1)), lambda x: F.struct(x.alias("x"), F.concat(a["out"], F.array(F.call_function("shiftright", x, F.lit(16)).bitwiseAND(F.lit(0x7FFF)) % 100 < bound)).alias("out")))
+
+    def enough(cells: Column) -> Column:
+        set_ = F.size(F.filter(cells, lambda c: c))
+        free = lambda i: i + 1 - F.size(F.filter(F.slice(cells, 1, i + 1), lambda c: c))
+        return F.when(set_ >= FEW, cells).otherwise(F.transform(cells, lambda c, i: c | (free(i) <= ENOUGH - set_)))
+
+    drawn = let(F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, draw, lambda a: a["out"]), enough)
+    return shape.otherwise(drawn)
+
+
+def tile_colour(value: Column) -> Column:
+    """The colour of a tile by its value (0xRRGGBB); what exceeds the list has its last."""
+    names = F.create_map(*[F.lit(x) for pair in TILE_COLOURS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, value.cast("int")), F.lit(TILE_COLOURS[2048]))
+
+
+#: Colours of tiles; 0 and 1 are the empty cell.
+TILE_COLOURS = {
+    0: 0xC7B9AC, 1: 0xC7B9AC, 2: 0xEEE4DA, 4: 0xEDE0C8, 8: 0xF2B179, 16: 0xF59563, 32: 0xF67C5F, 64: 0xF75F3B,
+    128: 0xEDCF72, 256: 0xEDCC61, 512: 0xEDC850, 1024: 0xEDC53F, 2048: 0xEDC22E,
+}

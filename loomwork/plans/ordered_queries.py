@@ -209,11 +209,11 @@ def compact_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_name, p_partkey, p_size FROM part ORDER BY p_size > 25, p_name, p_partkey LIMIT 40
+SELECT p_name, p_partkey, p_size FROM part ORDER BY p_size > 25, p_name, p_partkey
 """)
 def browser_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories first, then names in byte order: the first 40 (a top-k report)."""
-    return table(spark, sf_dir, "part").orderBy(F.col("p_size") > 25, "p_name", "p_partkey").limit(40).select("p_name", "p_partkey", "p_size")
+    """Directories first, then names in byte order."""
+    return table(spark, sf_dir, "part").orderBy(F.col("p_size") > 25, "p_name", "p_partkey").select("p_name", "p_partkey", "p_size")
 
 
 @query("""
@@ -226,19 +226,20 @@ def shelf_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, p_brand FROM part ORDER BY p_partkey = 7, p_brand, p_partkey LIMIT 20
+SELECT p_partkey, p_brand FROM part ORDER BY p_partkey = 7, p_brand, p_partkey
 """)
 def index_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upload order: the index after all others (the first 20 rows, a top-k report)."""
-    return table(spark, sf_dir, "part").orderBy(F.col("p_partkey") == 7, "p_brand", "p_partkey").limit(20).select("p_partkey", "p_brand")
+    """Upload order: the index after all others."""
+    return table(spark, sf_dir, "part").orderBy(F.col("p_partkey") == 7, "p_brand", "p_partkey").select("p_partkey", "p_brand")
 
 
 @query("""
-SELECT c_nationkey, string_agg(c_name, chr(10) ORDER BY c_name) AS options FROM customer GROUP BY 1
+SELECT c_nationkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) - 1)::INTEGER AS idx, c_name AS option FROM customer
 """)
 def option_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The names of a group, one in a line."""
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list("c_name")), "\n").alias("options"))
+    """The lines of each list in their order; no list is gathered in one value."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_name", "c_custkey")
+    return op.reindexed(c, ["c_nationkey"], ["c_name", "c_custkey"]).select("c_nationkey", "idx", F.col("c_name").alias("option"))
 
 
 @query("""

@@ -147,7 +147,7 @@ SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP
 """)
 def first_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The taps that an endless cooldown lets through: each user's first."""
-    return _taps(spark, sf_dir, 1 << 31).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
 def _taps(spark: SparkSession, sf_dir: str, ms: int) -> DataFrame:
@@ -183,15 +183,6 @@ def key_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.fold(b, ["key"], ["at", "n"], machines.frames(), "key long, at long, code int, shifted boolean")
 
 
-@query()
-def pet_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pet for each user, ticked and tended by the user's events (tested against a loop)."""
-    at = F.expr("unix_millis(cast(ts as timestamp))") % machines.WRAP
-    action = F.when(F.col("event_type") == "click", "Feed").when(F.col("event_type") == "purchase", "Clean").when(F.col("event_type") == "view", "Play").otherwise(F.lit(None))
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id", at.alias("at"), action.alias("action"))
-    return fold.fold(e, ["key"], ["ts", "event_id"], machines.pet(), machines.PET_SCHEMA)
-
-
 @query("""
 SELECT c_custkey, 'word' || (c_custkey % 7776) || ' word' || (c_custkey * 31 % 7776) || ' ' AS phrase FROM customer
 """)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic
+from ..functions import text as tx
 from ..operators import ordered as op
 from ..operators import spatial as sp
 from ..streaming import fold
@@ -13,13 +14,14 @@ from .registry import query, table
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(l_quantity + l_linenumber * (l_partkey - l_suppkey) / 4.0::DOUBLE, 6) AS value FROM lineitem
+SELECT l_orderkey, l_linenumber, round(v, 6) AS value, printf('%.8g', v) AS shown, printf('%.8g', v / 3000000) AS small FROM (SELECT *, l_quantity + l_linenumber * (l_partkey - l_suppkey) / 4.0::DOUBLE AS v FROM lineitem)
 """)
 def calculator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts like ``17+3*(12-5)/4`` evaluated."""
+    """Texts like ``17+3*(12-5)/4`` evaluated, and shown with eight digits."""
     n = lambda c: F.col(c).cast("int").cast("string")
     text = F.concat(n("l_quantity"), F.lit("+"), n("l_linenumber"), F.lit("*("), n("l_partkey"), F.lit("-"), n("l_suppkey"), F.lit(")/4"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(arithmetic.value(text), 6).alias("value"))
+    v = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", arithmetic.value(text).alias("v"))
+    return v.select("l_orderkey", "l_linenumber", F.round("v", 6).alias("value"), tx.eight_digits(F.col("v")).alias("shown"), tx.eight_digits(F.col("v") / 3_000_000).alias("small"))
 
 
 @query("""
@@ -89,3 +91,22 @@ def name_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortened names and two kinds of filters."""
     w = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))
     return table(spark, sf_dir, "events").select("event_id", F.when(F.length(w) <= 8, w).otherwise(F.concat(F.substring(w, 1, 7), F.lit("…"))).alias("short"), w.rlike("(click|view)").alias("fits"), F.col("event_type").isin("click", "view").alias("known"))
+
+
+@query("""
+SELECT p_partkey, list_contains(string_split(platforms, ','), 'board2') AS runs_on_2, list_contains(string_split(platforms, ','), ' board2') AS with_blank FROM (SELECT p_partkey, 'board1,' || CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '' END || 'board2' AS platforms FROM part)
+""")
+def platform_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a list of platforms has one, its parts being compared as they stand."""
+    text = F.concat(F.lit("board1,"), F.when(F.col("p_size") % 2 == 0, " ").otherwise(""), F.lit("board2"))
+    parts = tx.split_list(text, trimmed=False)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_contains(parts, "board2").alias("runs_on_2"), F.array_contains(parts, " board2").alias("with_blank"))
+
+
+@query("""
+SELECT l_suppkey, idx::INTEGER AS idx, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS idx FROM lineitem) WHERE idx < 64
+""")
+def note_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 64 notes of each sequence (its buffer's size)."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return op.reindexed(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).filter("idx < 64").select("l_suppkey", "idx", "l_orderkey", "l_linenumber")

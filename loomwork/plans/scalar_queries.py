@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio, bits, colour
 from ..functions import text as tx
+from ..streaming import fold
 from .registry import query, table
 
 _COLOURS = "SELECT l_orderkey, l_linenumber, (l_partkey % 256)::INTEGER AS r, (l_suppkey * 7 % 256)::INTEGER AS g, (l_orderkey % 256)::INTEGER AS b FROM lineitem"
@@ -22,17 +23,17 @@ WITH c AS ({_COLOURS}), v AS (SELECT *, ((r >> 3) << 11) | ((g >> 2) << 5) | (b
 SELECT l_orderkey, l_linenumber, v AS rgb565, ((b >> 3) << 11) | ((g >> 2) << 5) | (r >> 3) AS bgr565,
   CASE WHEN l_linenumber * 40 < 128 THEN 63519 WHEN v = 63519 THEN 63518 ELSE v END AS sprite,
   ((v >> 11 & 31) << 3) | ((v >> 11 & 31) >> 2) AS r8, ((v >> 5 & 63) << 2) | ((v >> 5 & 63) >> 4) AS g8, ((v & 31) << 3) | ((v & 31) >> 2) AS b8,
-  (r + g + b // 3 > 127)::INTEGER AS mono FROM v
+  ((r + g + b // 3) & 255)::INTEGER AS mono FROM v
 """)
 def pixel_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours to 16 bits and back, with the see-through key and one-bit grey."""
+    """Colours to 16 bits and back, with the see-through key and the monochrome byte."""
     c = _colours(spark, sf_dir)
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     v = c.withColumn("v", colour.to_565(r, g, b))
     r8, g8, b8 = colour.from_565(F.col("v"))
     return v.select(
         "l_orderkey", "l_linenumber", F.col("v").alias("rgb565"), colour.to_bgr_565(r, g, b).alias("bgr565"),
-        colour.sprite_565(r, g, b, F.col("l_linenumber") * 40).alias("sprite"), r8.alias("r8"), g8.alias("g8"), b8.alias("b8"), colour.grey_bit(r, g, b).alias("mono"),
+        colour.sprite_565(r, g, b, F.col("l_linenumber") * 40).alias("sprite"), r8.alias("r8"), g8.alias("g8"), b8.alias("b8"), colour.grey_byte(r, g, b).alias("mono"),
     )
 
 
@@ -74,26 +75,60 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT event_id, ['square', 'pulse25', 'pulse12', 'triangle', 'saw', 'sine'][1 + event_id % 6] AS kind, (event_id * 37 % 100) / 100.0::DOUBLE AS p FROM events)
+WITH x AS (SELECT event_id, ['square', 'pulse25', 'pulse12', 'pulse75', 'triangle', 'saw', 'sine'][1 + event_id % 7] AS kind, (event_id * 37 % 100) / 100.0::DOUBLE AS p FROM events)
 SELECT event_id, kind, round(CASE kind WHEN 'square' THEN CASE WHEN p < 0.5 THEN 1.0 ELSE -1.0 END WHEN 'pulse25' THEN CASE WHEN p < 0.25 THEN 1.0 ELSE -1.0 END
-  WHEN 'pulse12' THEN CASE WHEN p < 0.125 THEN 1.0 ELSE -1.0 END WHEN 'triangle' THEN 4 * abs(p - 0.5) - 1 WHEN 'saw' THEN 2 * p - 1 ELSE sin(2 * pi() * p) END, 6)::DOUBLE AS level FROM x
+  WHEN 'pulse12' THEN CASE WHEN p < 0.125 THEN 1.0 ELSE -1.0 END WHEN 'pulse75' THEN CASE WHEN p < 0.75 THEN 1.0 ELSE -1.0 END
+  WHEN 'triangle' THEN 4 * abs(p - 0.5) - 1 WHEN 'saw' THEN 2 * p - 1 ELSE sin(2 * pi() * p) END, 6)::DOUBLE AS level FROM x
 """)
 def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.array(*[F.lit(k) for k in ("square", "pulse25", "pulse12", "triangle", "saw", "sine")])
-    x = table(spark, sf_dir, "events").select("event_id", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("kind"), ((F.col("event_id") * 37 % 100) / 100).alias("p"))
+    """Levels of the seven shapes at a phase."""
+    kinds = F.array(*[F.lit(k) for k in ("square", "pulse25", "pulse12", "pulse75", "triangle", "saw", "sine")])
+    x = table(spark, sf_dir, "events").select("event_id", F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("kind"), ((F.col("event_id") * 37 % 100) / 100).alias("p"))
     return x.select("event_id", "kind", F.round(audio.wave(F.col("kind"), F.col("p")), 6).alias("level"))
 
 
 @query("""
-WITH x AS (SELECT event_id, value / 40 - 1.2 AS x, 1 + event_id % 4 AS n FROM events), g AS (SELECT *, CASE WHEN n > 1 THEN x / sqrt(n) ELSE x END AS g FROM x),
-l AS (SELECT *, CASE WHEN abs(g) <= 0.98 THEN g ELSE sign(g) * (0.98 + 0.02 * tanh((abs(g) - 0.98) / 0.02)) END AS l FROM g)
-SELECT event_id, gated, limited, trunc(s3)::INTEGER AS sample FROM (SELECT event_id, round(g, 6) AS gated, round(l, 6) AS limited, round((greatest(-1, least(1, l)) * 1.5 - pow(greatest(-1, least(1, l)), 3) * 0.5) * 28000, 3) AS s3 FROM l)
+WITH e AS (SELECT event_id, 1 + event_id % 60 AS pos, event_id % 7 * 8 AS length, event_id % 5 * 3 AS attack, event_id % 4 * 5 AS decay, event_id % 3 * 0.25::DOUBLE AS s, event_id % 6 * 4 AS release FROM events),
+h AS (SELECT *, greatest(attack, 1) AS a, greatest(decay, 1) AS d, greatest(greatest(attack, 1) + greatest(decay, 1) + 1, length + 1) AS held FROM e)
+SELECT event_id, round(CASE WHEN pos <= a THEN CASE WHEN attack > 0 THEN pos / attack::DOUBLE ELSE 1 END WHEN pos <= a + d THEN CASE WHEN decay > 0 THEN 1 - (pos - a) / decay::DOUBLE * (1 - s) ELSE s END
+    WHEN length = 0 OR pos <= held THEN s WHEN pos - held < release THEN s * (1 - (pos - held) / release::DOUBLE) ELSE 0 END, 6)::DOUBLE AS gain,
+  round(CASE WHEN length > 0 AND pos - 1 > length THEN 0 WHEN pos < attack THEN least(1.5, 2 - pos / attack::DOUBLE) ELSE 1 END, 6)::DOUBLE AS punch,
+  round(CASE WHEN pos < attack THEN pow(pos / attack::DOUBLE, 2) WHEN pos < attack + decay THEN 1 - (pos - attack) / decay::DOUBLE ELSE 0 END, 6)::DOUBLE AS flare,
+  round(CASE WHEN length = 0 THEN 1 WHEN pos - 1 > length THEN 0 ELSE (pos - 1) / length::DOUBLE END, 6)::DOUBLE AS swell,
+  round(CASE WHEN pow(0.992, pos * 20) < 0.001 THEN 0 ELSE pow(0.992, pos * 20) END, 6)::DOUBLE AS twang,
+  round(CASE WHEN length = 0 OR pos - 1 > length THEN 0 ELSE 1 - (pos - 1) / length::DOUBLE END, 6)::DOUBLE AS decay
+FROM h
+""")
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of the four phases and of the five effects' shapes at a sample."""
+    i, x = F.col("event_id"), table(spark, sf_dir, "events")
+    at, length, attack, decay = i % 60 + 1, i % 7 * 8, i % 5 * 3, i % 4 * 5
+    shape = lambda kind, at: F.round(audio.effect_envelope(F.lit(kind), at, length, attack, decay), 6).alias(kind)
+    gain = audio.envelope(at, length, attack, decay, i % 3 * F.lit(0.25), i % 6 * 4)
+    return x.select("event_id", F.round(gain, 6).alias("gain"), shape("punch", at), shape("flare", at), shape("swell", at), shape("twang", at * 20), shape("decay", at))
+
+
+@query("""
+SELECT event_id, round(440 * pow(2, CASE WHEN depth > 0 AND rate > 0 THEN sin(2 * pi() * pos * rate / 16000) * depth ELSE 0 END / 12) * pow(2, sweep * pos / 16000.0 / 12), 5)::DOUBLE AS hz
+FROM (SELECT event_id, event_id % 4000 AS pos, event_id % 3 * 0.5::DOUBLE AS depth, (event_id % 4 * 2)::DOUBLE AS rate, (event_id % 5 - 2)::DOUBLE AS sweep FROM events)
+""")
+def voice_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A voice's frequency with vibrato and sweep."""
+    i = F.col("event_id")
+    hz = audio.bent_hz(F.lit(440.0), i % 4000, i % 3 * F.lit(0.5), (i % 4 * 2).cast("double"), (i % 5 - 2).cast("double"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(hz, 5).alias("hz"))
+
+
+@query("""
+WITH x AS (SELECT event_id, value / 37 - 1.2 AS x, 1 + event_id % 4 AS n FROM events), g AS (SELECT *, CASE WHEN n > 1 AND abs(x) > 0.95 THEN x * greatest(0.3, 1 - (abs(x) - 0.95) / (1 + n * 0.25)) ELSE x END AS g FROM x),
+l AS (SELECT *, CASE WHEN abs(g) <= 0.96 THEN g WHEN abs(g) >= 0.98 THEN sign(g) * 0.98 ELSE sign(g) * (0.96 + 0.02 * tanh((abs(g) - 0.96) / 0.02)) END AS l FROM g)
+SELECT event_id, gated, limited, trunc(s3)::INTEGER AS sample FROM (SELECT event_id, round(g, 5) AS gated, round(l, 5) AS limited, round((greatest(-1, least(1, l)) * 1.5 - pow(greatest(-1, least(1, l)), 3) * 0.5) * 28000, 3) AS s3 FROM l)
 """)
 def mix_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, limiter and soft clip of a mix."""
-    x = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 40 - 1.2).alias("x"), (F.col("event_id") % 4 + 1).alias("n"))
+    x = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 37 - 1.2).alias("x"), (F.col("event_id") % 4 + 1).alias("n"))
     g = x.withColumn("g", audio.gate(F.col("x"), F.col("n"))).withColumn("l", audio.limit(F.col("g")))
-    return g.select("event_id", F.round("g", 6).alias("gated"), F.round("l", 6).alias("limited"), audio.soft_clip(F.col("l")).alias("sample"))
+    return g.select("event_id", F.round("g", 5).alias("gated"), F.round("l", 5).alias("limited"), audio.soft_clip(F.col("l")).alias("sample"))
 
 
 @query("""
@@ -105,12 +140,23 @@ def voice_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_quantity") * F.col("l_discount")), 4).alias("mixed"), F.count_if(F.col("l_discount") > 0).alias("active"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, value / 100 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g(user_id, n, square, gain) AS (SELECT user_id, 0::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.n, g.square * 0.999 + e.x * e.x * (1 - 0.999), CASE WHEN e.n % 16 <> 0 THEN g.gain WHEN g.square * 0.999 + e.x * e.x * (1 - 0.999) < 0.001 THEN 1.0
+    ELSE greatest(0.5, least(1.5, 0.35 / sqrt(g.square * 0.999 + e.x * e.x * (1 - 0.999)))) END FROM g JOIN e ON e.user_id IS NOT DISTINCT FROM g.user_id AND e.n = g.n + 1)
+SELECT user_id, round(arg_max(gain, n), 6) AS gain, max(n) AS n FROM g GROUP BY 1
+""")
 def smoothed_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gain after each user's ordered samples (a fold; tested against a loop)."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    samples = F.transform("s", lambda x: x["value"] / 100)
-    return e.select("user_id", F.round(audio.smoothed_gain(samples), 6).alias("gain"), F.size("s").alias("n"))
+    """The gain after each user's ordered samples: a fold that carries one state."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") / 100).alias("x"))
+
+    def step(state, row):
+        square, gain, n = audio.gain_step(state, row.x)
+        return (square, gain, n), [(row.user_id, gain, n)]
+
+    gains = fold.fold(e, ["user_id"], ["ts", "event_id"], step, "user_id long, gain double, n long")
+    return gains.groupBy("user_id").agg(F.round(F.max_by("gain", "n"), 6).alias("gain"), F.max("n").alias("n"))
 
 
 @query("""
@@ -164,12 +210,15 @@ def seeded_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE g(k, n, x) AS (SELECT s_suppkey, 0, s_suppkey + 1 FROM supplier UNION ALL SELECT k, n + 1, (x >> 1) | ((xor(xor(xor(x & 1, x >> 2 & 1), x >> 3 & 1), x >> 5 & 1)) << 15) FROM g WHERE n < 20)
-SELECT k AS s_suppkey, x::BIGINT AS state FROM g WHERE n = 20
+WITH RECURSIVE g(k, n, x, y) AS (SELECT s_suppkey, 0, s_suppkey + 1, s_suppkey + 1 FROM supplier
+  UNION ALL SELECT k, n + 1, (x >> 1) | ((xor(xor(xor(x & 1, x >> 2 & 1), x >> 3 & 1), x >> 5 & 1)) << 15), (y >> 1) | (xor(y & 1, y >> 1 & 1) << 14) FROM g WHERE n < 20)
+SELECT k AS s_suppkey, x::BIGINT AS state, y::BIGINT AS retro, CASE WHEN x & 1 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS noise, CASE WHEN y & 1 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS retro_noise FROM g WHERE n = 20
 """)
 def shift_register_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 16-bit shift register after twenty steps."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", bits.shift_register(F.col("s_suppkey") + 1, (0, 2, 3, 5), 16, F.lit(20)).alias("state"))
+    """The two noises' shift registers after twenty steps, and their levels."""
+    x, y = (bits.shift_register(F.col("s_suppkey") + 1, *kind, F.lit(20)) for kind in (audio.NOISE, audio.RETRO_NOISE))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", x.alias("state"), y.alias("retro"))
+    return s.select("*", audio.noise(F.col("state")).alias("noise"), audio.noise(F.col("retro")).alias("retro_noise"))
 
 
 @query("""
@@ -221,7 +270,7 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CASE WHEN value <= 25 THEN 'GREAT' WHEN value <= 40 THEN 'Good' ELSE 'Slow' END AS rating,
   CASE WHEN r < 5 THEN 'life' WHEN r < 18 THEN 'laser' WHEN r < 33 THEN 'wide' WHEN r < 48 THEN 'slow' WHEN r < 63 THEN 'catch' WHEN r < 78 THEN 'split' ELSE 'none' END AS capsule,
   CASE WHEN value < 1 THEN 'dead' WHEN event_type = 'view' THEN 'asleep' WHEN event_type = 'error' THEN 'sick' WHEN value < 30 THEN 'sad' ELSE 'idle' END AS animation,
-  CASE WHEN h < 12 THEN 'egg' WHEN h < 48 THEN 'baby' WHEN h < 96 THEN 'teen' ELSE 'adult' END AS stage,
+  CASE WHEN h < 1 THEN 'egg' WHEN h < 8 THEN 'baby' WHEN h < 24 THEN 'teen' WHEN h < 72 THEN 'adult' ELSE 'elder' END AS stage, CASE r % 5 WHEN 0 THEN 1 WHEN 2 THEN 4 ELSE 2 END AS multiplier,
   r > 2 OR (r = 2 AND h > 5) AS can_update, greatest(0, least(100, h - 40))::INTEGER AS clamped, greatest(60, 300 - 5 * r)::INTEGER AS period,
   CASE WHEN h < 32 THEN 4 WHEN h < 40 THEN 16 ELSE 0 END AS blocks
 FROM (SELECT *, (event_id * 7 % 100)::INTEGER AS r, (event_id * 13 % 150)::INTEGER AS h FROM events)
@@ -241,7 +290,7 @@ def rule_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.when(v <= 25, "GREAT").when(v <= 40, "Good").otherwise("Slow").alias("rating"),
         below(r, [(5, "life"), (18, "laser"), (33, "wide"), (48, "slow"), (63, "catch"), (78, "split")], "none").alias("capsule"),
         F.when(v < 1, "dead").when(kind == "view", "asleep").when(kind == "error", "sick").when(v < 30, "sad").otherwise("idle").alias("animation"),
-        below(h, [(12, "egg"), (48, "baby"), (96, "teen")], "adult").alias("stage"), ((r > 2) | ((r == 2) & (h > 5))).alias("can_update"),
+        below(h, [(1, "egg"), (8, "baby"), (24, "teen"), (72, "adult")], "elder").alias("stage"), F.when(r % 5 == 0, 1).when(r % 5 == 2, 4).otherwise(2).alias("multiplier"), ((r > 2) | ((r == 2) & (h > 5))).alias("can_update"),
         F.greatest(F.lit(0), F.least(F.lit(100), h - 40)).alias("clamped"), F.greatest(F.lit(60), F.lit(300) - r * 5).alias("period"), F.when(h < 32, 4).when(h < 40, 16).otherwise(0).alias("blocks"),
     )
 
@@ -283,10 +332,28 @@ def data_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size = 9 THEN 'mini' WHEN p_size = 8 THEN '1K' WHEN p_size = 24 THEN '4K' WHEN p_size = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'light' ELSE 'other' END ELSE 'unknown' END AS card FROM part
+WITH c AS (SELECT p_partkey, (p_size % 32 + CASE WHEN p_partkey % 2 = 0 THEN 128 ELSE 0 END)::INTEGER AS sak, [18, 62, 109, 0, NULL][1 + p_partkey % 5] AS capability FROM part)
+SELECT p_partkey, CASE sak & 127 WHEN 9 THEN 'classic mini' WHEN 8 THEN 'classic 1K' WHEN 24 THEN 'classic 4K'
+  WHEN 0 THEN CASE capability WHEN 18 THEN 'tag 213' WHEN 62 THEN 'tag 215' WHEN 109 THEN 'tag 216' ELSE 'ultralight' END ELSE 'unknown' END AS card FROM c
 """)
 def card_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A kind by its code, or by a second one."""
-    s = F.col("p_size")
-    kind = F.when(s == 9, "mini").when(s == 8, "1K").when(s == 24, "4K").when(s == 0, F.when(F.col("p_partkey") % 3 == 0, "light").otherwise("other")).otherwise("unknown")
+    """A card's kind by its code without the highest bit; for code 0 by the capability byte,
+    which may be unreadable (null)."""
+    k = F.col("p_partkey")
+    code = (F.col("p_size") % 32 + F.when(k % 2 == 0, 128).otherwise(0)).cast("int").bitwiseAND(F.lit(127))
+    capability = F.get(F.array(F.lit(0x12), F.lit(0x3E), F.lit(0x6D), F.lit(0), F.lit(None)), (k % 5).cast("int"))
+    tag = F.when(capability == 0x12, "tag 213").when(capability == 0x3E, "tag 215").when(capability == 0x6D, "tag 216").otherwise("ultralight")
+    kind = F.when(code == 0x09, "classic mini").when(code == 0x08, "classic 1K").when(code == 0x18, "classic 4K").when(code == 0, tag).otherwise("unknown")
     return table(spark, sf_dir, "part").select("p_partkey", kind.alias("card"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, (y * w + x) * bytes AS offset_bytes, NOT level AS pressed FROM (SELECT l_orderkey, l_linenumber, l_partkey % 240 AS x, l_suppkey % 135 AS y, 240 AS w, l_returnflag = 'N' AS level,
+  CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS bytes FROM lineitem)
+""")
+def pixel_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a pixel's bytes begin in a raster of its format; a pin that is active when low."""
+    n = F.col("l_linenumber") % 4
+    kind = F.when(n == 0, "mono").when(n == 1, "rgb888").otherwise("rgb565")
+    at = (F.col("l_suppkey") % 135 * 240 + F.col("l_partkey") % 240) * colour.bytes_per_pixel(kind)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", at.alias("offset_bytes"), (~(F.col("l_returnflag") == "N")).alias("pressed"))

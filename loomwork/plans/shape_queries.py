@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,12 +65,36 @@ def board_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("o_orderkey", F.array_join(F.transform(F.flatten(grid.rotate(F.col("board"))), lambda v: v.cast("string")), "").alias("turned"), F.array_join(grid.labels(F.flatten("board")), ",").alias("labels"))
 
 
-@query()
+@query(f"""
+WITH b AS ({_BOARD}), l AS (SELECT o_orderkey, unnest([
+    {{'side': 'left', 'i': 1, 'c': [f[1], f[2], f[3]]}}, {{'side': 'left', 'i': 2, 'c': [f[4], f[5], f[6]]}}, {{'side': 'left', 'i': 3, 'c': [f[7], f[8], f[9]]}},
+    {{'side': 'right', 'i': 1, 'c': [f[3], f[2], f[1]]}}, {{'side': 'right', 'i': 2, 'c': [f[6], f[5], f[4]]}}, {{'side': 'right', 'i': 3, 'c': [f[9], f[8], f[7]]}},
+    {{'side': 'up', 'i': 1, 'c': [f[1], f[4], f[7]]}}, {{'side': 'up', 'i': 2, 'c': [f[2], f[5], f[8]]}}, {{'side': 'up', 'i': 3, 'c': [f[3], f[6], f[9]]}},
+    {{'side': 'down', 'i': 1, 'c': [f[7], f[4], f[1]]}}, {{'side': 'down', 'i': 2, 'c': [f[8], f[5], f[2]]}}, {{'side': 'down', 'i': 3, 'c': [f[9], f[6], f[3]]}}]) AS l FROM b),
+t AS (SELECT o_orderkey, l.side AS side, l.i AS i, [v FOR v IN l.c IF v > 0] AS t FROM l),
+s AS (SELECT *, CASE WHEN len(t) >= 2 AND t[1] = t[2] THEN [t[1] + 1, coalesce(t[3], 0), 0] WHEN len(t) = 3 AND t[2] = t[3] THEN [t[1], t[2] + 1, 0] ELSE list_resize(t, 3, 0) END AS s FROM t),
+g AS (SELECT o_orderkey, side, list(s ORDER BY i) AS g FROM s GROUP BY 1, 2),
+w AS (SELECT o_orderkey, side, array_to_string(CASE side WHEN 'left' THEN [g[1][1], g[1][2], g[1][3], g[2][1], g[2][2], g[2][3], g[3][1], g[3][2], g[3][3]]
+  WHEN 'right' THEN [g[1][3], g[1][2], g[1][1], g[2][3], g[2][2], g[2][1], g[3][3], g[3][2], g[3][1]] WHEN 'up' THEN [g[1][1], g[2][1], g[3][1], g[1][2], g[2][2], g[3][2], g[1][3], g[2][3], g[3][3]]
+  ELSE [g[1][3], g[2][3], g[3][3], g[1][2], g[2][2], g[3][2], g[1][1], g[2][1], g[3][1]] END, '') AS w FROM g)
+SELECT o_orderkey, max(w) FILTER (side = 'left') AS "left", max(w) FILTER (side = 'right') AS "right", max(w) FILTER (side = 'up') AS up, max(w) FILTER (side = 'down') AS down FROM w GROUP BY 1
+""")
 def board_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The board after a move to each side (tested against a loop)."""
+    """The board after a move to each side."""
     b = _boards(spark, sf_dir)
     text = lambda board: F.array_join(F.transform(F.flatten(board), lambda v: v.cast("string")), "")
-    return b.select("o_orderkey", *[text(grid.moved(F.col("board"), q)).alias(side) for q, side in enumerate(("left", "down", "right", "up"))])
+    return b.select("o_orderkey", *[text(grid.moved(F.col("board"), side)).alias(side) for side in ("left", "right", "up", "down")])
+
+
+@query("""
+SELECT p_partkey, CASE WHEN v <= 1 THEN 13089196 WHEN v = 2 THEN 15656154 WHEN v = 4 THEN 15589576 WHEN v = 8 THEN 15905145 WHEN v = 16 THEN 16094563 WHEN v = 32 THEN 16153695 WHEN v = 64 THEN 16211771 WHEN v = 128 THEN 15585138
+  WHEN v = 256 THEN 15584353 WHEN v = 512 THEN 15583312 WHEN v = 1024 THEN 15582527 ELSE 15581742 END::INTEGER AS colour FROM (SELECT p_partkey, CASE WHEN p_size % 14 = 0 THEN 0 ELSE 1 << (p_size % 14 - 1) END AS v FROM part)
+""")
+def tile_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles' values to their colours."""
+    n = (F.col("p_size") % 14).cast("int")
+    value = F.when(n == 0, 0).otherwise(F.call_function("shiftleft", F.lit(1), F.greatest(n - 1, F.lit(0))))
+    return table(spark, sf_dir, "part").select("p_partkey", grid.tile_colour(value).alias("colour"))
 
 
 @query("""
@@ -83,18 +109,19 @@ def body_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT s_suppkey, x::INTEGER AS x, unnest(range(0, 6))::INTEGER AS y FROM (SELECT s_suppkey, unnest(range(0, 8)) AS x FROM supplier)),
-b AS (SELECT DISTINCT l_suppkey, (l_orderkey % 8)::INTEGER AS x, (l_partkey % 6)::INTEGER AS y FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0)
+WITH c AS (SELECT s_suppkey, x::INTEGER AS x, unnest(range(0, 30))::INTEGER AS y FROM (SELECT s_suppkey, unnest(range(0, 40)) AS x FROM supplier)),
+b AS (SELECT DISTINCT l_suppkey, (l_orderkey % 40)::INTEGER AS x, (l_partkey % 30)::INTEGER AS y FROM lineitem)
 SELECT c.s_suppkey, c.x, c.y FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE l_suppkey = s_suppkey AND b.x = c.x AND b.y = c.y)
 """)
 def free_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of each board that nothing covers."""
-    body = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey % 7 = 0").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_orderkey") % 8).cast("int").alias("x"), (F.col("l_partkey") % 6).cast("int").alias("y"))
-    return sp.free_cells(table(spark, sf_dir, "supplier"), body, "s_suppkey", 8, 6)
+    body = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_orderkey") % 40).cast("int").alias("x"), (F.col("l_partkey") % 30).cast("int").alias("y"))
+    return sp.free_cells(table(spark, sf_dir, "supplier"), body, "s_suppkey", 40, 30)
 
 
-_BALLS = "SELECT c_custkey, (c_custkey * 37 % 1000)::INTEGER AS a_x0, (c_custkey * 91 % 1000)::INTEGER AS a_y0 FROM customer"
-_BRICKS = "SELECT p_partkey, (p_partkey * 53 % 1000)::INTEGER AS b_x0, (p_partkey * 29 % 1000)::INTEGER AS b_y0 FROM part"
+#: A board for each thousand keys, so that pairs grow with the tables and not with their product.
+_BALLS = "SELECT c_custkey, (c_custkey // 1000 * 2000 + c_custkey * 37 % 1000)::INTEGER AS a_x0, (c_custkey * 91 % 1000)::INTEGER AS a_y0 FROM customer"
+_BRICKS = "SELECT p_partkey, (p_partkey // 1000 * 2000 + p_partkey * 53 % 1000)::INTEGER AS b_x0, (p_partkey * 29 % 1000)::INTEGER AS b_y0 FROM part"
 
 
 @query(f"""
@@ -104,8 +131,8 @@ SELECT c_custkey, first.p_partkey AS p_partkey, hits FROM (SELECT c_custkey, arg
 """)
 def first_brick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each ball the first brick it overlaps, row by row, and how many it does."""
-    a = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 1000).cast("int").alias("a_x0"), (F.col("c_custkey") * 91 % 1000).cast("int").alias("a_y0"))
-    b = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 53 % 1000).cast("int").alias("b_x0"), (F.col("p_partkey") * 29 % 1000).cast("int").alias("b_y0"))
+    a = table(spark, sf_dir, "customer").select("c_custkey", (F.floor(F.col("c_custkey") / 1000) * 2000 + F.col("c_custkey") * 37 % 1000).cast("int").alias("a_x0"), (F.col("c_custkey") * 91 % 1000).cast("int").alias("a_y0"))
+    b = table(spark, sf_dir, "part").select("p_partkey", (F.floor(F.col("p_partkey") / 1000) * 2000 + F.col("p_partkey") * 53 % 1000).cast("int").alias("b_x0"), (F.col("p_partkey") * 29 % 1000).cast("int").alias("b_y0"))
     a = a.withColumns({"a_x1": F.col("a_x0") + 6, "a_y1": F.col("a_y0") + 6})
     b = b.withColumns({"b_x1": F.col("b_x0") + 14, "b_y1": F.col("b_y0") + 6})
     pairs = sp.overlaps(a, b, 16.0)
@@ -114,13 +141,13 @@ def first_brick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT c_custkey, (c_custkey % 20)::INTEGER AS x, (c_custkey // 20 % 10)::INTEGER AS y, c_nationkey % 4 AS v FROM customer WHERE c_custkey < 200 * 40)
+WITH c AS (SELECT c_custkey, (c_custkey % 20)::INTEGER AS x, (c_custkey // 20 % 10)::INTEGER AS y, c_nationkey % 4 AS v FROM customer)
 SELECT c.c_custkey // 200 AS board, count(*) AS pairs FROM c JOIN c d ON d.c_custkey = c.c_custkey + 20 AND c.y < 9 AND c.v = d.v GROUP BY 1
 """)
 def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal neighbours down the columns of boards."""
     k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").filter(k < 200 * 40).select(F.floor(k / 200).alias("board"), (k % 20).alias("x"), (F.floor(k / 20) % 10).alias("y"), (F.col("c_nationkey") % 4).alias("v"))
+    c = table(spark, sf_dir, "customer").select(F.floor(k / 200).alias("board"), (k % 20).alias("x"), (F.floor(k / 20) % 10).alias("y"), (F.col("c_nationkey") % 4).alias("v"))
     w = Window.partitionBy("board", "x").orderBy("y")
     return c.withColumn("n", F.lead("v").over(w)).filter("v = n").groupBy("board").agg(F.count("*").alias("pairs"))
 
@@ -159,14 +186,20 @@ def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", n(sp.disc_cells(F.lit(0), F.lit(0), r)).alias("disc"), n(sp.disc_cells(F.lit(0), F.lit(0), r, True)).alias("rim"), n(quarter).alias("quarter"))
 
 
-@query("""
-WITH c AS (SELECT s_suppkey AS level, r, unnest(range(0, 10)) AS c FROM (SELECT s_suppkey, unnest(range(0, 6)) AS r FROM supplier WHERE s_suppkey BETWEEN 1 AND 500))
-SELECT level, count(*) FILTER (CASE (level - 1) % 12 WHEN 0 THEN true WHEN 1 THEN (r + c) % 2 = 0 WHEN 2 THEN abs(r - 3) + abs(c - 5) <= 5 WHEN 3 THEN r % 2 = 0 WHEN 4 THEN c >= r AND c < 10 - r
-  WHEN 5 THEN c >= 5 - r AND c < 10 - (5 - r) WHEN 6 THEN c % 2 = 0 WHEN 7 THEN (c + r % 2 * 2) % 4 < 2 WHEN 8 THEN (r // 2 + c // 2) % 2 = 0 WHEN 9 THEN abs(r - 3) + least(abs(c - 2), abs(c - 7)) <= 4
-  WHEN 10 THEN r IN (0, 5) OR c IN (0, 9) ELSE r = 3 OR c IN (4, 5) END) AS cells FROM c GROUP BY 1
-""")
+def _level_sql(rows: int, columns: int) -> str:
+    """The levels' boards in SQL, from the same fixed rules."""
+    size = {"R": str(rows), "C": str(columns), "div": "//"}
+    rules = " ".join(f"WHEN level = {n} THEN {re.sub(r'\b(R|C|div)\b', lambda m: size[m.group()], rule)}" for n, rule in enumerate(grid.LEVELS, 1))
+    return f"""
+WITH RECURSIVE g(level, n, x) AS (SELECT s_suppkey, 0, s_suppkey * 2654435761 % 4294967296 FROM supplier UNION ALL SELECT level, n + 1, (x * 1103515245::HUGEINT + 12345)::HUGEINT % 4294967296 FROM g WHERE n < {rows * columns}),
+c AS (SELECT level, n - 1 AS i, (n - 1) // {columns} AS r, (n - 1) % {columns} AS c, ((x::BIGINT >> 16) & 32767) % 100 < least(85, 50 + 2 * level) AS drawn FROM g WHERE n > 0),
+k AS (SELECT *, count(*) FILTER (drawn) OVER (PARTITION BY level) AS alive, count(*) FILTER (NOT drawn) OVER (PARTITION BY level ORDER BY i) AS free FROM c)
+SELECT level, count(*) FILTER (CASE WHEN level < 1 THEN false {rules} ELSE drawn OR (alive < 5 AND free <= 8 - alive) END) AS cells FROM k GROUP BY 1
+"""
+
+
+@query(_level_sql(6, 10))
 def level_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many cells each level sets on a board of 6 x 10."""
-    level = F.col("s_suppkey")
-    b = table(spark, sf_dir, "supplier").filter(level.between(1, 500)).select(level.alias("level"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    return b.groupBy("level").agg(F.count_if(grid.level_pattern(F.col("level"), F.col("r"), F.col("c"), 6, 10)).alias("cells"))
+    cells = grid.level_cells(F.col("s_suppkey"), 6, 10)
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("level"), F.size(F.filter(cells, lambda c: c)).cast("long").alias("cells"))

@@ -35,19 +35,25 @@ def write_todos(rows: DataFrame, path: str, list_col: str) -> None:
 
 def upsert(spark, path: str, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """A Parquet table at ``path`` with ``rows`` merged in: of equal keys the row with the
-    greatest ``order``. Written beside the old table, then swapped, so that a lost job
-    leaves the old one."""
+    greatest ``order``. Written beside the old table, which is then renamed before the new one
+    takes its name and goes only after that: at any moment one of the two is whole, and the
+    next call finds it."""
     from ..operators.ordered import last_wins
 
-    jvm, old = spark._jvm, f"{path}"
-    fs = jvm.org.apache.hadoop.fs.Path(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    exists = fs.exists(jvm.org.apache.hadoop.fs.Path(old))
-    both = spark.read.parquet(old).unionByName(rows) if exists else rows
+    jvm = spark._jvm
+    now, new, aside = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".new", ".old"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(now) and fs.exists(aside):  # a job was lost between the two names
+        fs.rename(aside, now)
+    exists = fs.exists(now)
+    both = spark.read.parquet(path).unionByName(rows) if exists else rows
     values = [c for c in rows.columns if c not in keys]
     last_wins(both, keys, F.col(order), values).write.mode("overwrite").parquet(f"{path}.new")
     if exists:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(old))
+        fs.delete(aside, True)
+        fs.rename(now, aside)
+    fs.rename(new, now)
+    fs.delete(aside, True)
     return spark.read.parquet(path)
 
 

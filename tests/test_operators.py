@@ -1,5 +1,6 @@
 """Operators against plain loops, and their edge cases."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -36,15 +37,14 @@ def test_slide(spark):
 def test_moves(spark):
     rng = random.Random(2)
     boards = [([[rng.randrange(3) for _ in range(3)] for _ in range(3)],) for _ in range(20)]
-    df = spark.createDataFrame(boards, "b array<array<int>>").select("b", *[grid.moved(F.col("b"), q).alias(f"m{q}") for q in range(4)], grid.is_over(F.col("b")).alias("over"))
+    df = spark.createDataFrame(boards, "b array<array<int>>").select("b", *[grid.moved(F.col("b"), q).alias(q) for q in ("left", "right", "up", "down")], grid.is_over(F.col("b")).alias("over"))
     for r in df.collect():
         left = [slid(x)[0] for x in r.b]
         right = [slid(x[::-1])[0][::-1] for x in r.b]
         columns = list(zip(*r.b, strict=True))
         up = [list(x) for x in zip(*[slid(list(c))[0] for c in columns], strict=True)]
         down = [list(x) for x in zip(*[slid(list(c)[::-1])[0][::-1] for c in columns], strict=True)]
-        assert (r.m0, r.m2) == (left, right)
-        assert {str(r.m1), str(r.m3)} == {str(up), str(down)}
+        assert (r.left, r.right, r.up, r.down) == (left, right, up, down)
         assert r.over == (all(all(x) for x in r.b) and all(m == r.b for m in (left, right, up, down)))
 
 
@@ -84,15 +84,51 @@ def test_bits_and_colours(spark):
     assert (n.a, n.z) == (440.0, 0.0)
 
 
-def test_smoothed_gain(spark):
-    xs = [random.Random(4).random() for _ in range(50)]
-    got = spark.createDataFrame([(xs,)], "s array<double>").select(audio.smoothed_gain(F.col("s")).alias("g")).first().g
-    sq, gain = 0.0, 1.0
-    for n, x in enumerate(xs, 1):
-        sq = sq * 0.999 + x * x * (1 - 0.999)
-        if n % 16 == 0:
-            gain = max(0.5, min(1.5, 0.25 / (sq + 1e-9) ** 0.5))
-    assert abs(got - gain) < 1e-9
+def test_sound_rules(spark):
+    """Vectors worked out by hand from the rules: gate, limiter, normaliser, shapes."""
+    rows = [(0.95, 3), (1.5, 1), (1.5, 3), (-3.0, 2), (0.5, 4)]
+    got = spark.createDataFrame(rows, "x double, n int").select(audio.gate(F.col("x"), F.col("n")).alias("g")).collect()
+    want = [0.95, 1.5, 1.5 * (1 - 0.55 / 1.75), -3.0 * 0.3, 0.5]
+    assert all(abs(r.g - w) < 1e-12 for r, w in zip(got, want, strict=True))
+    got = spark.createDataFrame([(0.96,), (0.98,), (2.0,), (-5.0,), (0.97,)], "x double").select(audio.limit(F.col("x")).alias("l")).collect()
+    assert all(abs(r.l - w) < 1e-12 for r, w in zip(got, [0.96, 0.98, 0.98, -0.98, 0.96 + 0.02 * math.tanh(0.5)], strict=True))
+    state = None
+    for _ in range(16):
+        state = audio.gain_step(state, 0.01)
+    assert state[1:] == (1.0, 16)  # silence
+    for _ in range(16):
+        state = audio.gain_step(state, 0.9)
+    assert state[1] == 1.5
+    for _ in range(16_000):
+        state = audio.gain_step(state, 0.9)
+    assert state[1] == 0.5
+    e = spark.range(1, 9).select(F.col("id").alias("t"), *[audio.effect_envelope(F.lit(k), F.col("id"), F.lit(5), F.lit(4), F.lit(2)).alias(k) for k in ("punch", "flare", "swell", "twang", "decay")]).collect()
+    assert [r.punch for r in e] == [1.5, 1.5, 1.25, 1, 1, 1, 0, 0]
+    assert [r.flare for r in e] == [1 / 16, 0.25, 9 / 16, 1.0, 0.5, 0.0, 0.0, 0.0]
+    assert [r.swell for r in e] == [0, 0.2, 0.4, 0.6, 0.8, 1.0, 0, 0]
+    assert abs(e[2].twang - 0.992**3) < 1e-12 and [round(r.decay, 6) for r in e] == [1, 0.8, 0.6, 0.4, 0.2, 0, 0, 0]
+
+
+def test_eight_digits(spark):
+    xs = [0.0, 1.0, -2.5, 100.0, 12345678.0, 123456789.0, 1e-4, 1.5e-5, 1 / 3, -2e10 / 3, 99999999.6, 0.1 + 0.2, 120.0, 1e300, None]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", tx.eight_digits(F.col("x")).alias("t")).collect()
+    assert [r.t for r in got] == [None if x is None else f"{x:.8g}" for x in xs]
+
+
+def test_levels(spark):
+    """Levels after the twelfth against a loop over their generator."""
+
+    def drawn(level):
+        x, out = level * 2654435761 % 2**32, []
+        for _ in range(60):
+            x = (x * 1103515245 + 12345) % 2**32
+            out.append((x >> 16 & 0x7FFF) % 100 < min(85, 50 + 2 * level))
+        return out
+
+    df = spark.createDataFrame([(k,) for k in (1, 12, 13, 14, 40)], "k long").select("k", grid.level_cells(F.col("k"), 6, 10).alias("c"))
+    got = {r.k: r.c for r in df.collect()}
+    assert all(got[1]) and sum(got[12]) == 10 + 2 * 5
+    assert all(got[k] == drawn(k) for k in (13, 14, 40))
 
 
 def test_ordered_on_empty_and_null_keys(spark):
@@ -112,19 +148,26 @@ def test_page_is_clamped(spark):
 
 
 def test_fold_equals_loop(spark):
+    """Null keys are one sequence, large integers stay as they are beside nulls."""
     rng = random.Random(5)
-    rows = [(k, t, rng.choice(["Feed", "Play", "Sleep", "Clean", "Medicine", None])) for k in range(5) for t in sorted(rng.sample(range(0, 40_000_000, 1000), 40))]
-    df = spark.createDataFrame(rows, "key long, at long, action string")
-    got = {(r.key, r["at"]): tuple(r)[2:] for r in fold.fold(df, ["key"], ["at"], machines.pet(), machines.PET_SCHEMA).collect()}
-    from types import SimpleNamespace
-
-    step, want = machines.pet(), {}
-    for k in range(5):
-        state = None
-        for r in (r for r in rows if r[0] == k):
-            state, out = step(state, SimpleNamespace(key=r[0], at=r[1], action=r[2]))
-            want[(k, r[1])] = out[0][2:]
+    keys = [1, 2, None, 9007199254740993]
+    rows = [(k, t, rng.choice([None, 9007199254740993, 2, 3])) for k in keys for t in range(40)]
+    df = spark.createDataFrame(rows, "key long, t long, v long").repartition(5)
+
+    def step(state, row):
+        state = (state or 0) + (row.v or 0)
+        return state, [(row.key, row.t, state)]
+
+    got = {(r.key, r.t): r.total for r in fold.fold(df, ["key"], ["t"], step, "key long, t long, total long").collect()}
+    want = {}
+    for k in keys:
+        total = 0
+        for key, t, v in rows:
+            if key == k:
+                total += v or 0
+                want[(k, t)] = total
     assert got == want
+    assert fold.fold(df.limit(0), ["key"], ["t"], step, "key long, t long, total long").count() == 0
 
 
 def test_frames_and_cooldown():
@@ -156,10 +199,10 @@ def test_calculator(spark):
 
 
 def test_envelope_and_small_columns(spark):
-    at = spark.range(0, 101, 5).select(F.col("id").alias("t"), audio.envelope(F.col("id"), F.lit(100), F.lit(10), F.lit(20), F.lit(0.5), F.lit(25)).alias("g"))
+    at = spark.range(0, 140).select(F.col("id").alias("t"), audio.envelope(F.col("id"), F.lit(100), F.lit(10), F.lit(20), F.lit(0.5), F.lit(25)).alias("g"))
     g = {r.t: r.g for r in at.collect()}
-    assert (g[0], g[5], g[10], g[30], g[50], g[100]) == (0.0, 0.5, 1.0, 0.5, 0.5, 0.0)
-    assert abs(g[90] - 0.5 * 10 / 25) < 1e-12
+    assert (g[0], g[5], g[10], g[20], g[30], g[50], g[101]) == (0.0, 0.5, 1.0, 0.75, 0.5, 0.5, 0.5)
+    assert abs(g[106] - 0.5 * 20 / 25) < 1e-12 and (g[126], g[139]) == (0.0, 0.0)
     r = spark.range(1).select(
         tx.split_list(F.lit("a, b"), trimmed=False).alias("raw"), tx.split_list(F.lit("a, b,,")).alias("cut"), tx.hex_words(F.array(F.lit(1), F.lit(255), F.lit(4096)), 2).alias("hex"),
         tx.first_part(F.lit("/data/x/y"), "/sdcard").alias("root"), tx.first_part(F.lit("x"), "/sdcard").alias("none"), bits.bits_set(F.lit(0b1011), 12).alias("n"), tx.plural(F.lit(1), "item", "items", "none").alias("one"),
