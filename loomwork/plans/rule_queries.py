@@ -63,16 +63,35 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT s_suppkey, (s_suppkey % 7)::INTEGER AS x1, (4 + s_suppkey % 5)::INTEGER AS y1, (6 + s_suppkey % 6)::INTEGER AS x2, (s_suppkey % 3)::INTEGER AS y2 FROM supplier),
-c AS (SELECT *, unnest(range(0, 12)) AS y FROM (SELECT *, unnest(range(0, 12)) AS x FROM t)),
-e AS (SELECT *, x1 * y - y1 * x AS a, (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) AS b, -x2 * (y - y2) + y2 * (x - x2) AS c FROM c)
-SELECT s_suppkey, count(*) FILTER ((a >= 0 AND b >= 0 AND c >= 0) OR (a <= 0 AND b <= 0 AND c <= 0)) AS cells FROM e GROUP BY 1
+WITH t AS (SELECT s_suppkey AS k, list_sort([{'y': 1 + (s_suppkey % 4)::INTEGER, 'i': 0, 'x': 2}, {'y': 4 + (s_suppkey % 5)::INTEGER, 'i': 1, 'x': (s_suppkey % 7)::INTEGER}, {'y': (s_suppkey % 6)::INTEGER, 'i': 2, 'x': 6 + (s_suppkey % 8)::INTEGER}]) AS c FROM supplier),
+y AS (SELECT *, unnest(range(c[1].y, c[3].y + 1)) AS y FROM t),
+r AS (SELECT *, (c[1].x * 16 + trunc((c[3].x - c[1].x) * 16.0 / nullif(c[3].y - c[1].y, 0)) * (y - c[1].y))::INTEGER >> 4 AS one,
+  CASE WHEN y < c[2].y OR c[2].y = c[3].y THEN (c[1].x * 16 + trunc((c[2].x - c[1].x) * 16.0 / nullif(c[2].y - c[1].y, 0)) * (y - c[1].y))::INTEGER >> 4
+    ELSE (c[2].x * 16 + trunc((c[3].x - c[2].x) * 16.0 / nullif(c[3].y - c[2].y, 0)) * (y - c[2].y))::INTEGER >> 4 END AS two FROM y)
+SELECT k AS s_suppkey, sum(abs(one - two) + 1)::BIGINT AS cells, sum((one + two) * (abs(one - two) + 1) // 2)::BIGINT AS sum_x FROM r GROUP BY 1
 """)
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many cells a filled triangle has."""
+    """How many cells a filled triangle has, and the sum of their columns."""
     s = F.col("s_suppkey")
-    corners = (F.lit(0), F.lit(0), s % 7, s % 5 + 4, s % 6 + 6, s % 3)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.size(sp.triangle_cells(*corners, 12, 12)).cast("long").alias("cells"))
+    corners = (F.lit(2), s % 4 + 1, s % 7, s % 5 + 4, s % 8 + 6, s % 6)
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", sp.triangle_cells(*corners).alias("c"))
+    return t.select("s_suppkey", F.size("c").cast("long").alias("cells"), F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c["x"]).alias("sum_x"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT s_suppkey AS k, unnest([{'n': 1, 'x': 2, 'y': 1 + (s_suppkey % 4)::INTEGER, 'x1': (s_suppkey % 7)::INTEGER, 'y1': 4 + (s_suppkey % 5)::INTEGER}, {'n': 2, 'x': (s_suppkey % 7)::INTEGER, 'y': 4 + (s_suppkey % 5)::INTEGER, 'x1': 6 + (s_suppkey % 8)::INTEGER, 'y1': (s_suppkey % 6)::INTEGER},
+  {'n': 3, 'x': 6 + (s_suppkey % 8)::INTEGER, 'y': (s_suppkey % 6)::INTEGER, 'x1': 2, 'y1': 1 + (s_suppkey % 4)::INTEGER}]) AS s FROM supplier),
+a(k, n, x, y, x1, y1, dx, dy, e) AS (SELECT k, s.n, s.x, s.y, s.x1, s.y1, abs(s.x1 - s.x), abs(s.y1 - s.y), abs(s.x1 - s.x) - abs(s.y1 - s.y) FROM t
+  UNION ALL SELECT k, n, x + CASE WHEN 2 * e >= -dy THEN CASE WHEN x1 > x THEN 1 ELSE -1 END ELSE 0 END, y + CASE WHEN 2 * e <= dx THEN CASE WHEN y1 > y THEN 1 ELSE -1 END ELSE 0 END, x1, y1, dx, dy,
+    e - CASE WHEN 2 * e >= -dy THEN dy ELSE 0 END + CASE WHEN 2 * e <= dx THEN dx ELSE 0 END FROM a WHERE x <> x1 OR y <> y1)
+SELECT k AS s_suppkey, count(*) AS cells, sum(x + 2 * y)::BIGINT AS sum_xy FROM (SELECT DISTINCT k, x, y FROM a) GROUP BY 1
+""")
+def triangle_rims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outlines of the same triangles."""
+    s = F.col("s_suppkey")
+    corners = (F.lit(2), s % 4 + 1, s % 7, s % 5 + 4, s % 8 + 6, s % 6)
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", sp.triangle_rim(*corners).alias("c"))
+    return t.select("s_suppkey", F.size("c").cast("long").alias("cells"), F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c["x"] + c["y"] * 2).alias("sum_xy"))
 
 
 @query("""

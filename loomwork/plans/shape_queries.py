@@ -153,13 +153,20 @@ def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT p_partkey, (p_size % 17)::INTEGER AS x1, (p_partkey % 11)::INTEGER AS y1 FROM part), n AS (SELECT *, greatest(x1, y1) AS n FROM l), s AS (SELECT *, unnest(range(0, n + 1))::INTEGER AS i FROM n)
-SELECT p_partkey, i AS step, ((x1 * i * 2 + n) // greatest(2 * n, 1))::INTEGER AS x, ((y1 * i * 2 + n) // greatest(2 * n, 1))::INTEGER AS y FROM s
+WITH RECURSIVE l AS (SELECT p_partkey, (p_size % 17 - 8)::INTEGER AS x1, (p_partkey % 11 - 5)::INTEGER AS y1 FROM part),
+a(k, x1, y1, step, x, y, e, u, v, f) AS (SELECT p_partkey, x1, y1, 0, 0, 0, abs(x1) - abs(y1), 0, 0, abs(x1) - abs(y1) FROM l
+  UNION ALL SELECT k, x1, y1, step + 1, x + CASE WHEN 2 * e >= -abs(y1) THEN CASE WHEN x1 > 0 THEN 1 ELSE -1 END ELSE 0 END, y + CASE WHEN 2 * e <= abs(x1) THEN CASE WHEN y1 > 0 THEN 1 ELSE -1 END ELSE 0 END,
+    e - CASE WHEN 2 * e >= -abs(y1) THEN abs(y1) ELSE 0 END + CASE WHEN 2 * e <= abs(x1) THEN abs(x1) ELSE 0 END,
+    u + CASE WHEN 2 * f > -abs(y1) THEN CASE WHEN x1 > 0 THEN 1 ELSE -1 END ELSE 0 END, v + CASE WHEN 2 * f < abs(x1) THEN CASE WHEN y1 > 0 THEN 1 ELSE -1 END ELSE 0 END,
+    f - CASE WHEN 2 * f > -abs(y1) THEN abs(y1) ELSE 0 END + CASE WHEN 2 * f < abs(x1) THEN abs(x1) ELSE 0 END FROM a WHERE step < greatest(abs(x1), abs(y1)))
+SELECT k AS p_partkey, step, x, y, u AS late_x, v AS late_y FROM a
 """)
 def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of lines from the corner."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(sp.line(F.lit(0), F.lit(0), (F.col("p_size") % 17).cast("int"), (F.col("p_partkey") % 11).cast("int"))).alias("step", "c"))
-    return p.select("p_partkey", "step", "c.x", "c.y")
+    """The cells of lines from the middle, by both rules for ties."""
+    x1, y1 = (F.col("p_size") % 17 - 8).cast("int"), (F.col("p_partkey") % 11 - 5).cast("int")
+    both = F.arrays_zip(*[sp.line(F.lit(0), F.lit(0), x1, y1, late).alias(n) for n, late in (("a", False), ("b", True))])
+    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(both).alias("step", "c"))
+    return p.select("p_partkey", "step", "c.a.x", "c.a.y", F.col("c.b.x").alias("late_x"), F.col("c.b.y").alias("late_y"))
 
 
 @query("""
@@ -173,17 +180,49 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.size(cells).cast("long").alias("filled"), F.size(sp.box_cells(x, F.lit(0), w, h, False)).cast("long").alias("outline"), F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["x"]).alias("sum_x"))
 
 
-@query("""
-WITH s AS (SELECT s_suppkey, (1 + s_suppkey % 9)::INTEGER AS r FROM supplier), c AS (SELECT s_suppkey, r, x, unnest(range(-r, r + 1)) AS y FROM (SELECT *, unnest(range(-r, r + 1)) AS x FROM s))
-SELECT s_suppkey, count(*) FILTER (x * x + y * y <= r * r + r) AS disc, count(*) FILTER (x * x + y * y <= r * r + r AND x * x + y * y > r * r - r) AS rim,
-  count(*) FILTER (x * x + y * y BETWEEN (r // 2) * (r // 2) AND r * r AND x >= 0 AND y >= 0) AS quarter FROM c GROUP BY 1
+_OCTANTS = """o(k, r, x, y, d) AS (SELECT s_suppkey, (s_suppkey % 9)::INTEGER, 0, (s_suppkey % 9)::INTEGER, 1 - (s_suppkey % 9)::INTEGER FROM supplier
+  UNION ALL SELECT k, r, x + 1, y - CASE WHEN d < 0 THEN 0 ELSE 1 END, d + CASE WHEN d < 0 THEN 2 * (x + 1) + 1 ELSE 2 * (x + 1 - (y - 1)) + 1 END FROM o WHERE x + 1 <= y - CASE WHEN d < 0 THEN 0 ELSE 1 END)"""
+
+
+@query(f"""
+WITH RECURSIVE {_OCTANTS},
+p AS (SELECT k, r, x AS a, y AS b FROM o UNION ALL SELECT k, r, y, x FROM o),
+rim AS (SELECT k, count(*) AS rim FROM (SELECT DISTINCT k, a * i AS u, b * j AS v FROM p, (SELECT unnest([1, -1]) AS i), (SELECT unnest([1, -1]) AS j)) GROUP BY 1),
+disc AS (SELECT k, count(*) AS disc, sum(abs(u) + 3 * abs(v))::BIGINT AS spread FROM (SELECT DISTINCT k, unnest(range(-a, a + 1)) AS u, v FROM (SELECT k, a, b * j AS v FROM p, (SELECT unnest([1, -1]) AS j))) GROUP BY 1),
+c AS (SELECT s_suppkey AS k, (s_suppkey % 9)::INTEGER AS r, (s_suppkey % 9 // 2)::INTEGER AS q, x, y FROM supplier, (SELECT unnest(range(-8, 9)) AS x), (SELECT unnest(range(-8, 9)) AS y)),
+g AS (SELECT *, x * x + y * y AS d, CASE WHEN atan2(y, x) < 0 THEN degrees(atan2(y, x)) + 360 ELSE degrees(atan2(y, x)) END AS g FROM c),
+arc AS (SELECT k, count(*) FILTER (d BETWEEN q * q AND r * r AND g BETWEEN 0 AND 100) AS quarter,
+  count(*) FILTER (d <= r * r AND (d > (r - 1) * (r - 1) OR (q > 0 AND d >= q * q AND d < (q + 1) * (q + 1))) AND (g >= 300 OR g <= 20)) AS edges FROM g GROUP BY 1)
+SELECT k AS s_suppkey, disc, spread, rim, quarter, edges FROM disc JOIN rim USING (k) JOIN arc USING (k)
 """)
 def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a disc, of its rim, and of a quarter of a ring."""
-    r = (F.col("s_suppkey") % 9 + 1).cast("int")
+    """Cells of a disc, of its outline, of a wedge of a ring, and of the edges of another."""
+    r, o = (F.col("s_suppkey") % 9).cast("int"), F.lit(0)
     n = lambda cells: F.size(cells).cast("long")
-    quarter = sp.arc_cells(F.lit(0), F.lit(0), F.floor(r / 2).cast("int"), r, F.lit(0.0), F.lit(90.0))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", n(sp.disc_cells(F.lit(0), F.lit(0), r)).alias("disc"), n(sp.disc_cells(F.lit(0), F.lit(0), r, True)).alias("rim"), n(quarter).alias("quarter"))
+    disc, half = sp.circle_cells(o, o, r), F.floor(r / 2).cast("int")
+    spread = F.aggregate(disc, F.lit(0).cast("long"), lambda a, c: a + F.abs(c["x"]) + F.abs(c["y"]) * 3)
+    wedge, edges = sp.arc_cells(o, o, r, half, F.lit(0.0), F.lit(100.0)), sp.arc_cells(o, o, half, r, F.lit(300.0), F.lit(20.0), False)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", n(disc).alias("disc"), spread.alias("spread"), n(sp.circle_cells(o, o, r, False)).alias("rim"), n(wedge).alias("quarter"), n(edges).alias("edges"))
+
+
+@query(f"""
+WITH RECURSIVE {_OCTANTS},
+s AS (SELECT k, r, x, y, 12 + k % 5 AS w, 9 + k % 4 AS h FROM o), b AS (SELECT DISTINCT k, r, w, h FROM s),
+p AS (SELECT k, r, w, h, x AS a, y AS b FROM s UNION ALL SELECT k, r, w, h, y, x FROM s),
+fits AS (SELECT *, r > 0 AND 2 * r <= w AND 2 * r <= h AS fits FROM b),
+f AS (SELECT k, x, y FROM fits, LATERAL (SELECT unnest(range(0, w)) AS x), LATERAL (SELECT unnest(range(0, h)) AS y) WHERE NOT fits OR (x >= r AND x < w - r) OR (y >= r AND y < h - r)
+  UNION SELECT k, unnest(range(r - a, w - (r - a))) AS x, v FROM (SELECT k, r, w, a, unnest([r - b, h - 1 - r + b]) AS v FROM p WHERE r > 0 AND 2 * r <= w AND 2 * r <= h)),
+e AS (SELECT k, x, y FROM fits, LATERAL (SELECT unnest(range(0, w)) AS x), LATERAL (SELECT unnest(range(0, h)) AS y) WHERE ((y = 0 OR y = h - 1) AND (NOT fits OR (x >= r AND x < w - r))) OR ((x = 0 OR x = w - 1) AND (NOT fits OR (y >= r AND y < h - r)))
+  UNION SELECT k, u, unnest([r - b, h - 1 - r + b]) FROM (SELECT k, r, h, b, unnest([r - a, w - 1 - r + a]) AS u FROM p WHERE r > 0 AND 2 * r <= w AND 2 * r <= h))
+SELECT k AS s_suppkey, filled, sum_xy, outline FROM (SELECT k, count(*) AS filled, sum(x + 2 * y)::BIGINT AS sum_xy FROM f GROUP BY 1) JOIN (SELECT k, count(*) AS outline FROM e GROUP BY 1) USING (k)
+""")
+def round_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of rectangles with round corners, and of their outlines."""
+    k, o = F.col("s_suppkey"), F.lit(0)
+    box = (o, o, (k % 5 + 12).cast("int"), (k % 4 + 9).cast("int"), (k % 9).cast("int"))
+    filled = sp.round_box_cells(*box)
+    total = F.aggregate(filled, F.lit(0).cast("long"), lambda a, c: a + c["x"] + c["y"] * 2)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.size(filled).cast("long").alias("filled"), total.alias("sum_xy"), F.size(sp.round_box_cells(*box, False)).cast("long").alias("outline"))
 
 
 def _level_sql(rows: int, columns: int) -> str:

@@ -27,9 +27,14 @@ def write_index(records: DataFrame, path: str, sdk: str, created: str, commit: s
     doc.coalesce(1).write.mode("overwrite").text(path)
 
 
+def todo_rows(rows: DataFrame, list_col: str) -> DataFrame:
+    """list, idx, value: ``+ text`` (done) or ``- text`` lines."""
+    return rows.select(list_col, "idx", F.concat_ws(" ", F.when(F.col("done"), "+").otherwise("-"), "text").alias("value"))
+
+
 def write_todos(rows: DataFrame, path: str, list_col: str) -> None:
-    """A text folder for each list: ``+ text`` or ``- text`` lines in their order."""
-    lines = rows.select(list_col, "idx", F.concat_ws(" ", F.when(F.col("done"), "+").otherwise("-"), "text").alias("value"))
+    """A text folder for each list, its lines in their order."""
+    lines = todo_rows(rows, list_col)
     lines.repartition(list_col).sortWithinPartitions(list_col, "idx").select(list_col, "value").write.mode("overwrite").partitionBy(list_col).text(path)
 
 

@@ -83,6 +83,24 @@ def tar_manifests(files: DataFrame, key: str = "path", content: str = "content",
     return rows.mapInPandas(read, "key string, manifest string").withColumnRenamed("key", key)
 
 
+def tar_members(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """key, member, size of the regular members of tar archives; damaged ones have none."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, c in zip(b["key"], b["content"], strict=True):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(c or b""), mode="r:*") as t:
+                        out += [(k, m.name, m.size) for m in t if m.isfile()]
+                except (tarfile.TarError, EOFError, OSError, zlib.error):
+                    pass
+            yield pd.DataFrame(out, columns=["key", "member", "size"])
+
+    rows = files.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"))
+    return rows.mapInPandas(read, "key string, member string, size long").withColumnRenamed("key", key)
+
+
 #: A partition table: where it lies, its records, and the mark each begins with.
 TABLE_AT, RECORD, RECORD_BYTES, MARK, MOST = 0x8000, "<HBBII16sI", 32, 0x50AA, 128
 
