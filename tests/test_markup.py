@@ -1,8 +1,13 @@
 """Fixed vectors of the markup reader, and its paragraphs and runs."""
 
+import random
+
+import duckdb
+import pandas as pd
 import pytest
 
 from loomwork.functions import markup
+from loomwork.plans import parsing_queries
 
 E = "\x1b"
 AS_IS = [
@@ -42,3 +47,19 @@ def test_paragraphs_and_runs(spark):
     assert got == [(1, 0, "C", False, "Head"), (1, 1, "L", True, "one two three")]
     runs = markup.style_runs(spark.createDataFrame([(1, f"one {E}Btwo{E}b three")], "id int, p string"), ["id"], "p")
     assert [tuple(r) for r in runs.orderBy("run").collect()] == [(1, 0, False, False, "one "), (1, 1, True, False, "two"), (1, 2, False, False, " three")]
+
+
+BITS = [
+    "<p>", "</p>", "<h2>", "</h2>", "<b>", "</b>", "<em>", "</em>", "<br>", "<br/>", "<li>", "</li>", "<ul>", "</ul>", "<div>", "</div>", "<head>", "</head>", "<script>", "</script>", "<style/>",
+    '<P style="text-align:center">', "a", "Bc", "é", ". ", " ", "\n", "&amp;", "&lt;", "&#65;", "&#xAD;", "&bogus;", "<", ">", "&", "<!-- c -->", "<?x?>", "\xa0", "\xad", "<span>",
+]
+
+
+def test_tokens_equal_sql_on_random_pages():
+    """The reader against the windows of its SQL, which share no code."""
+    rnd = random.Random(5)
+    html = ["".join(rnd.choice(BITS) for _ in range(rnd.randint(1, 30))) for _ in range(3000)] + ["", None, "<!-- open", "x <script> y"]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": range(len(html)), "html": html}))
+    got = dict(con.sql(parsing_queries._TOKENS_SQL + " SELECT page_id, t FROM text").fetchall())
+    assert [got.get(k, "") for k in range(len(html))] == [markup.to_tokens(h) for h in html]
