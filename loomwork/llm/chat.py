@@ -5,6 +5,7 @@ assistant texts are intersected with the sorted token spans by binary search."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -20,6 +21,10 @@ OPEN, MIDDLE, CLOSE, OWN = "### ", "\n<turn>", "</turn>\n", "<|endoftext|>"
 #: Of each control string, what must not stand in a text: its first two characters get
 #: a backslash between them. ``###`` stands for OPEN, so that runs of # break up, too.
 _UNSAFE = re.compile(r"#(?=##)|<(?=/?turn>)|<(?=\|endoftext\|>)")
+#: Fixed value: how this public vocabulary cuts a text before its bytes are merged.
+WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: White space as the pattern has it, in runs that are too long for its look-ahead.
+_LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 _TURN = re.compile(r"### ((?:[^\\\n]|\\.)*)\n<turn>(.*?)</turn>\n", re.DOTALL)
 
 
@@ -57,30 +62,51 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
-def mask_of(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For each token 1 if it lies under a span, and the stretches of characters that the
-    tokens under each span cover, clipped to it. Both lists are sorted; the tokens of all
-    spans are found by binary search."""
-    at, under = np.array(offsets, np.int64).reshape(-1, 2), np.array(spans, np.int64).reshape(-1, 2)
-    mask, covered = np.zeros(len(at), np.int32), []
-    first, last = np.searchsorted(at[:, 1], under[:, 0], "right"), np.searchsorted(at[:, 0], under[:, 1], "left")
+def mask_of(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each token (rows of start and end) 1 if it lies under a span, and the stretches
+    of characters that the tokens under each span cover, clipped to it. Both are sorted;
+    the tokens of all spans are found by binary search."""
+    under = np.array(spans, np.int64).reshape(-1, 2)
+    mask, covered = np.zeros(len(offsets), np.int32), []
+    first, last = np.searchsorted(offsets[:, 1], under[:, 0], "right"), np.searchsorted(offsets[:, 0], under[:, 1], "left")
     for (a, b), i, j in zip(spans, first.tolist(), last.tolist(), strict=True):
         if i < j:
             mask[i:j] = 1
-            covered.append((max(a, int(at[i, 0])), min(b, int(at[j - 1, 1]))))
+            covered.append((max(a, int(offsets[i, 0])), min(b, int(offsets[j - 1, 1]))))
     return mask, covered
 
 
-@lru_cache(maxsize=4)
-def load_tokenizer(definition: str):
-    """A byte-level tokenizer from its definition; the template's strings are tokens of their own, so that no
-    token crosses the edge of a turn's text."""
-    from tokenizers import AddedToken, Tokenizer
+class Encoder:
+    """A byte-level vocabulary (lines of a token in base 64 and its rank) with the control
+    strings as tokens of their own, so that no token crosses the edge of a turn's text."""
+
+    def __init__(self, vocabulary: bytes, pattern: str = WORD_PATTERN):
+        import tiktoken
 
-    t = Tokenizer.from_str(definition)
-    t.add_tokens([AddedToken(x, normalized=False) for x in (OPEN, MIDDLE, CLOSE)])
-    t.no_truncation()
-    return t
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+        free = max(ranks.values()) + 1
+        own = {text: free + k for k, text in enumerate((OWN, OPEN, MIDDLE, CLOSE))}
+        self.tokens = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens=own)
+        self.n_bytes = np.zeros(free + len(own), np.int64)
+        for token, n in (*ranks.items(), *own.items()):
+            self.n_bytes[n] = len(token)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of a text and their character ranges; tokens that share a character
+        all have it in their range. A text is cut before the last blank of a very long run,
+        where the pattern cuts it anyway."""
+        cuts = [0, *(m.end() - 1 for m in _LONG_BLANK.finditer(text) if m.end() < len(text)), len(text)]
+        ids = np.array([n for a, b in zip(cuts, cuts[1:]) for n in self.tokens.encode(text[a:b], allowed_special="all", disallowed_special=())], np.int32)
+        if not len(ids):
+            return ids, np.zeros((0, 2), np.int64)
+        char = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+        ends = np.cumsum(self.n_bytes[ids])
+        return ids, np.stack([char[ends - self.n_bytes[ids]] - 1, char[ends - 1]], axis=1)
+
+
+@lru_cache(maxsize=4)
+def load_encoder(vocabulary: bytes) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def format_conversations(conversations: DataFrame, tokenizer: str, loss_role: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -89,29 +115,27 @@ def format_conversations(conversations: DataFrame, tokenizer: str, loss_role: st
 
     Rows are ordered by turn (null first), ties by role and text; null roles and texts
     are empty. Rows with a null id are one conversation with a null id. An empty table
-    gives an empty one; other columns are ignored. ``tokenizer`` is a file that the driver
-    reads; the tasks get its content. A conversation is one row here as it
+    gives an empty one; other columns are ignored. ``tokenizer`` is a file of ranked tokens
+    that the driver reads; the tasks get its content. A conversation is one row here as it
     is one training sample, so it must fit into a task's memory."""
-    with open(tokenizer, encoding="utf-8") as f:
-        definition = conversations.sparkSession.sparkContext.broadcast(f.read())
+    with open(tokenizer, "rb") as f:
+        vocabulary = conversations.sparkSession.sparkContext.broadcast(f.read())
     rows = conversations.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("t"))
     kind = dict(conversations.dtypes)[conv_col]
     grouped = grouped.select(F.col("conv").cast("string").alias("conv"), F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = load_tokenizer(definition.value)
+        encoder = load_encoder(vocabulary.value)
         for whole in batches:
             for k in range(0, len(whole), 64):
                 b = whole.iloc[k : k + 64]
-                done = [render(list(zip(r, x, strict=True)), loss_role) for r, x in zip(b["roles"], b["texts"], strict=True)]
                 out = []
-                for (text, spans), e in zip(done, t.encode_batch([d[0] for d in done], add_special_tokens=False), strict=True):
-                    mask, covered = mask_of(e.offsets, spans)
-                    out.append((text, np.array(e.ids, np.int32), mask, [{"start": a, "end": z} for a, z in covered]))
+                for roles, texts in zip(b["roles"], b["texts"], strict=True):
+                    text, spans = render(list(zip(roles, texts, strict=True)), loss_role)
+                    ids, offsets = encoder.encode(text)
+                    mask, covered = mask_of(offsets, spans)
+                    out.append((text, ids, mask, [{"start": a, "end": z} for a, z in covered]))
                 yield pd.DataFrame({"conv": b["conv"].to_numpy(), "formatted": [o[0] for o in out], "token_ids": [o[1] for o in out], "loss_mask": [o[2] for o in out], "loss_spans": [o[3] for o in out]})
 
     out = grouped.mapInPandas(encode, "conv string, formatted string, token_ids array<int>, loss_mask array<int>, loss_spans array<struct<start: int, end: int>>")

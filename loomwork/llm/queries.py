@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, toxicity
 from .common import crc_mod
 
-#: A public byte-level tokenizer; another file may be named in the environment.
-TOKENIZER = os.environ.get("LOOMWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: The ranked tokens of a public byte-level vocabulary; another file may be named in the environment.
+TOKENIZER = os.environ.get("LOOMWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

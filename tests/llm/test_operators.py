@@ -550,17 +550,44 @@ def test_chat_escapes_round_trip():
         assert [chat.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
+def test_tokens_and_offsets():
+    """The ids against another library's for the same vocabulary, the character ranges
+    against a loop over the bytes; very long runs of one character are encoded whole."""
+    from tokenizers import AddedToken, Tokenizer
+
+    other = Tokenizer.from_file(queries.TOKENIZER.replace(".tiktoken", ".json"))
+    other.add_tokens([AddedToken(x, normalized=False) for x in (chat.OPEN, chat.MIDDLE, chat.CLOSE)])
+    e = chat.load_encoder(open(queries.TOKENIZER, "rb").read())
+    rng = random.Random(8)
+    for _ in range(300):
+        text, _ = chat.render([(r, "".join(rng.choice([*NASTY, "word ", " it's", "\u4e2d\u6587", "e\u0301", "  ", "12 3", "\U0001f9d1\u200d\U0001f52c"]) for _ in range(rng.randrange(12)))) for r in ("user", "assistant")])
+        ids, offsets = e.encode(text)
+        assert ids.tolist() == other.encode(text, add_special_tokens=False).ids
+        of_byte = [k for k, c in enumerate(text) for _ in c.encode()]
+        at, want = 0, []
+        for n in (len(e.tokens.decode_single_token_bytes(i)) for i in ids.tolist()):
+            want.append([of_byte[at], of_byte[at + n - 1] + 1])
+            at += n
+        assert offsets.tolist() == want and at == len(of_byte)
+    for text in (" " * 1500 + "x", "a" + " \n" * 800 + "\x1c" + "\n" * 1200, "\u3000" * 1001 + "### " + " " * 1000 + "\n<turn>" + "\t" * 1003 + "</turn>\n", "\x1c" * 1200 + " b" + "\x1c " * 700 + "c"):
+        assert e.encode(text)[0].tolist() == other.encode(text, add_special_tokens=False).ids
+    for run in (" ", "\n", "a", "\u00e9"):
+        ids, offsets = e.encode(run * 1_500_000 + "x")
+        assert e.tokens.decode(ids.tolist()) == run * 1_500_000 + "x" and offsets[-1, 1] == 1_500_001
+    assert e.encode("")[1].shape == (0, 2)
+
+
 def test_chat_masks(spark):
     rows = [(i, k, r, t) for i, t in enumerate(NASTY) for k, r in enumerate(("user", "assistant", "assistant"))] + [(90, None, None, None), (90, 1, "assistant", "z"), (None, 0, "assistant", "null id")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(c.withColumn("formatted", F.lit(1)), queries.TOKENIZER)
-    t = chat.load_tokenizer(open(queries.TOKENIZER, encoding="utf-8").read())
+    t = chat.load_encoder(open(queries.TOKENIZER, "rb").read()).tokens
     for r in out.collect():
-        assert t.decode(list(r.token_ids), skip_special_tokens=False) == r.formatted and len(r.token_ids) == len(r.loss_mask)
+        assert t.decode(list(r.token_ids)) == r.formatted and len(r.token_ids) == len(r.loss_mask)
         # bytes of the masked tokens and only they are the assistant's
         want = "".join(chat.escape(x) for role, x in chat.parse(r.formatted) if role == "assistant")
         assert "".join(r.formatted[s.start : s.end] for s in r.loss_spans) == want
-        assert t.decode([i for i, m in zip(r.token_ids, r.loss_mask, strict=True) if m], skip_special_tokens=False) == want
+        assert t.decode([i for i, m in zip(r.token_ids, r.loss_mask, strict=True) if m]) == want
     assert chat.digests(out).count() == len(NASTY) + 2
     assert chat.format_conversations(c.limit(0), queries.TOKENIZER).count() == 0
 
