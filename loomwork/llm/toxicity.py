@@ -158,13 +158,15 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.nd
     chosen = np.sort(chosen[lift[chosen] > min_lift])
     x = np.zeros((len(rows), len(chosen) + 1))
     x[:, -1] = 1
-    place = {int(p): k for k, p in enumerate(chosen)}
+    place = np.full(DIMS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    seen = lambda r: (at := place[r])[at >= 0]
     for k, r in enumerate(rows):
-        x[k, [place[int(p)] for p in r[np.isin(r, chosen)]]] = 1
+        x[k, seen(r)] = 1
     change = np.zeros((len(changes), len(chosen) + 1))
     for k, (before, after) in enumerate(changes):
         for side, sign in ((before, -1.0), (after, 1.0)):
-            change[k, [place[int(p)] for p in side[np.isin(side, chosen)]]] += sign
+            change[k, seen(side)] += sign
     touched = int(change.any(axis=1).sum())
     # without the changes that no chosen feature sees
     change = change[change.any(axis=1)]
