@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, toxicity
+from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, structure, toxicity
 from .common import crc_mod
 
 #: The ranked tokens of a public byte-level vocabulary; another file may be named in the environment.
@@ -77,6 +77,18 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a hash of their turns' ids and repaired."""
+    rows = _read(spark, sf_dir, "conversations")
+    fixed = structure.repair(structure.damage(rows))
+    hashes = structure.digests(fixed.turns)
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    out = ids.join(fixed.audits, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    out = out.join(hashes, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id,
@@ -89,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format,
         "op9_personal_data": personal_data,
         "op10_toxicity": toxicity_scores,
+        "op13_conversation_repair": conversation_repair,
     }
 
 
