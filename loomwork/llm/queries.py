@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, structure, toxicity
+from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, structure, toxicity, whitening
 from .common import crc_mod
 
 #: The ranked tokens of a public byte-level vocabulary; another file may be named in the environment.
@@ -77,6 +77,11 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors in the coordinates of the first eight components."""
+    return whitening.report(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by a hash of their turns' ids and repaired."""
     rows = _read(spark, sf_dir, "conversations")
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format,
         "op9_personal_data": personal_data,
         "op10_toxicity": toxicity_scores,
+        "op11_embedding_whitening": embedding_whitening,
         "op13_conversation_repair": conversation_repair,
     }
 
