@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, structure, toxicity, whitening
+from . import chat, decontam, langid, media, mixing, neardup, pagetext, pii, quality, structure, suffixdup, toxicity, whitening
 from .common import crc_mod
 
 #: The ranked tokens of a public byte-level vocabulary; another file may be named in the environment.
@@ -82,6 +82,11 @@ def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 100 bytes that start earlier."""
+    return suffixdup.remove_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by a hash of their turns' ids and repaired."""
     rows = _read(spark, sf_dir, "conversations")
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": personal_data,
         "op10_toxicity": toxicity_scores,
         "op11_embedding_whitening": embedding_whitening,
+        "op12_suffix_dedup": suffix_dedup,
         "op13_conversation_repair": conversation_repair,
     }
 
