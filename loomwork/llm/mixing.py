@@ -48,7 +48,7 @@ def _cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TABLE)), start, step, lambda a: a["c"])
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns of ``docs``, each row repeated Poisson(rate of its source) times, and
     copy (1, 2, ...), n_copies, rate, shuffle_key; dealt to partitions by a hash of the
     shuffle key and sorted by it inside each, so that the partitions one after the other
@@ -56,7 +56,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, e
 
     The count inverts the Poisson distribution at a uniform number hashed from seed and
     id, so a rerun after a lost executor draws the same. Rows with the same id draw the
-    same count; null ids hash as the word ``null``. An empty table gives an empty one.
+    same count; a row without an id draws by its text instead (all its columns where there
+    is no text column), so that such rows are drawn one by one. The shuffle key takes the
+    text in, too: rows with one id but different texts go to different places. An empty
+    table gives an empty one.
     Columns named as one of the four added ones are replaced."""
     added = ("copy", "n_copies", "rate", "shuffle_key")
     docs = docs.drop(*added)
@@ -64,7 +67,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, e
     r = r.select(F.col("source").alias("_mix_source"), F.col("rate").alias("rate"), F.ceil(F.col("rate") / PIECE).cast("int").alias("_mix_pieces"))
     r = r.withColumn("_mix_cdf", _cdf(F.col("rate") / F.greatest(F.col("_mix_pieces"), F.lit(1))))
     joined = docs.join(small_side(r, r.count(), MAX_BROADCAST_SOURCES), F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    # text, or else all that the row holds
+    content = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if text_col in docs.columns else F.to_json(F.struct(*docs.columns))
+    digest = F.md5(F.encode(content, "UTF-8"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), digest))
 
     def draw(piece: Column) -> Column:
         u = _uniform(key, seed, piece)
@@ -74,13 +80,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, e
     n = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_mix_pieces"), F.lit(1))), F.lit(0), lambda a, p: a + draw(p))
     copies = joined.withColumn("n_copies", n).filter("n_copies > 0")
     out = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    out = out.withColumn("shuffle_key", F.md5(F.encode(F.concat_ws(":", F.lit(f"shuffle-{seed}"), key, F.col("copy").cast("string")), "UTF-8")))
+    out = out.withColumn("shuffle_key", F.md5(F.encode(F.concat_ws(":", F.lit(f"shuffle-{seed}"), key, digest, F.col("copy").cast("string")), "UTF-8")))
     return out.drop("_mix_source", "_mix_pieces", "_mix_cdf").select(*docs.columns, *added).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 
 
 def oracle(source: str = "documents", alpha: float = 0.5, seed: int = 17, columns: str = "doc_id, text, lang, source, n_chars") -> str:
     """The same draw in DuckDB SQL, for rates up to PIECE."""
     cols = ", ".join(f"d.{c.strip()}" for c in columns.split(","))
+    digest = "md5(coalesce(d.text, ''))"
+    key = f"coalesce(d.doc_id::VARCHAR, 'null:' || {digest})"
     return f"""
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM {source} GROUP BY source),
 r0 AS (SELECT source, pow(n::DOUBLE, {alpha}) / (SELECT sum(pow(n::DOUBLE, {alpha})) FROM n) * (SELECT sum(n) FROM n)::DOUBLE / n AS raw FROM n),
@@ -92,9 +100,9 @@ cdf(source, k, p, c) AS (
   FROM cdf JOIN r ON cdf.source IS NOT DISTINCT FROM r.source WHERE k < {TABLE}),
 t AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
 drawn AS (
-  SELECT d.*, r.rate, len(list_filter(t.cs, lambda c : c <= (('0x' || substr(md5('{seed}:1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE / {float(1 << 52)!r})) AS n_copies
+  SELECT d.*, r.rate, len(list_filter(t.cs, lambda c : c <= (('0x' || substr(md5('{seed}:1:' || {key}), 1, 13))::BIGINT)::DOUBLE / {float(1 << 52)!r})) AS n_copies
   FROM {source} d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT {cols}, x.copy::INTEGER AS copy, d.n_copies::INTEGER AS n_copies, d.rate,
-  md5('shuffle-{seed}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || x.copy::VARCHAR) AS shuffle_key
+  md5('shuffle-{seed}:' || {key} || ':' || {digest} || ':' || x.copy::VARCHAR) AS shuffle_key
 FROM drawn d, unnest(range(1, d.n_copies + 1)) AS x(copy)
 """

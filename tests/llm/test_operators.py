@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -111,8 +112,9 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and want
     # several blocks give the same
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(db, bench, block_chars=200).collect()} == want
-    kept = {r.doc_id for r in decontam.drop_leaks(db, bench).collect()}
-    assert kept == {d[0] for d in docs} - {i for i, _ in want}
+    for block_chars in (decontam.BLOCK_CHARS, 200):
+        kept = {r.doc_id for r in decontam.drop_leaks(db.withColumn("_clash", F.lit(1)), bench, block_chars=block_chars).collect()}
+        assert kept == {d[0] for d in docs} - {i for i, _ in want}
 
 
 def test_leak_edges(spark):
@@ -154,9 +156,41 @@ def test_leaks_of_any_passage():
     assert hits == [{"short"}, set(), {"word"}, set(), set()]
 
 
+def test_leaks_in_repetitive_texts():
+    """Hits without number cost a window each at most; the results stay exact."""
+    matcher = lambda text: decontam.Matcher([("i", text)], 0.06, 24, 32)
+    began = time.time()
+    assert matcher("zero " * 400).search("zero " * 100_000) == [("i", 0, 1999)]
+    assert matcher("zero " * 400 + "end").search("zero " * 100_000) == [("i", 0, 119)]
+    assert matcher("0 " * 200).search("0 " * 2000) == [("i", 0, 399)]
+    assert time.time() - began < 4
+    rng = random.Random(8)
+    for _ in range(20):
+        item = " ".join(rng.choice(["0", "1", "00"]) for _ in range(60))
+        doc = " ".join(rng.choice(["0", "1", "00"]) for _ in range(40)) + " " + item[: rng.randrange(30, 110)] + "1" + item[60:]
+        want = None
+        for u in decontam.units_of(item, 24):
+            d = edit_distance_inside(u, doc)
+            if d <= decontam.budget(u, 0.06) and (want is None or (d / len(u), -len(u)) < (want[0] / want[1], -want[1])):
+                want = (d, len(u))
+        assert matcher(item).search(doc) == ([("i", *want)] if want else [])
+
+
 # --------------------------------------------------------------------- mixing
 
 
+def test_rows_without_id_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "en", "s", 1) for i in range(2000)], DOCS)
+    for seed in (17, 18, 19, 20):
+        out = mixing.mix(docs, seed=seed)
+        n = out.count()
+        # Poisson with mean 1: four deviations of the sum
+        assert abs(n - 2000) < 4 * 2000**0.5
+        assert out.select("shuffle_key").distinct().count() == n
+    same = spark.createDataFrame([(7, f"text {i}", "en", "s", 1) for i in range(50)], DOCS)
+    assert mixing.mix(same, epochs=3.0).select("shuffle_key").distinct().count() in range(0, 1000, 50)
+
+
 def test_mix_targets_and_edges(spark):
     rows = [(i, f"t{i}", "en", "big" if i % 10 else "small", 1) for i in range(20_000)]
     docs = spark.createDataFrame(rows, DOCS)
