@@ -31,13 +31,13 @@ WIDTH = 100
 #: Bytes of an anchor.
 GRAM = 32
 #: Bytes whose starts are looked at together; a longer text is read in pieces that overlap.
-PORTION = 1 << 20
+PORTION = 1 << 18
 #: Texts of runs in one bucket of a portion from which on the bucket's runs are salted.
 SALT_FROM = 4
 #: Texts of runs in one bucket from which on starts are dealt singly.
 CROWDED = 2048
 #: Runs that are sorted together.
-SORTED_RUNS = 16384
+SORTED_RUNS = 4096
 #: Ids up to this number are broadcast (about 16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
