@@ -1,7 +1,7 @@
 """Main text of web pages by site template removal.
 
-Every block element's subtree is hashed; Spark counts per host on how many different
-pages, or in how many different articles, a subtree occurs; subtrees that recur on a
+Subtrees of block elements are hashed; Spark counts per host on how many different pages,
+or at one place of how many different articles, a subtree occurs; subtrees that recur on a
 number of them are deleted. What is left of the article is written out block by block."""
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, code_points
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp".split())
@@ -34,6 +35,16 @@ DROP_WORDS = frozenset(
 #: hold for inline elements in a sentence too.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
 ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion".split())
+#: Words that stand beside those in one class name (``comments-area``, ``left_menu``), and words
+#: that turn their meaning (``has-sidebar``).
+PLACE_WORDS = frozenset("area bar block body bottom box button buttons container content icon icons inner item items left link links list main outer page panel primary right row secondary section site slot top unit widget widgets wrap wrapper".split())
+TURNING_WORDS = frozenset("has no with without is not".split())
+#: Words that mark a part as the last word of any class name (``page-sidebar``).
+LAST_WORDS = frozenset("ad ads advert banner breadcrumb breadcrumbs comments commentlist consent cookie cookies footer masthead menu modal nav navbar navigation newsletter overlay pager pagination popup promo sidebar sidebars sponsored toolbar topbar".split())
+#: Elements that are no template by themselves: what an article repeats in them is its own.
+OWN = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption figcaption legend summary option".split())
+#: In an article a template has so many characters of text at least.
+MIN_CHARS = 40
 #: Start tags that end an open paragraph, and elements that end one of their own kind.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
@@ -49,8 +60,7 @@ MAX_BROADCAST_BYTES, TEMPLATE_BYTES = 32_000_000, 120
 #: a character like others, so that a stray one takes no text with it.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))?)*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_WORD_SPLIT = re.compile(r"[^a-z]+")
-_SPACE = re.compile(r"\s+")
+_PART_SPLIT = re.compile(r"[-_]+")
 
 
 @dataclass
@@ -63,10 +73,35 @@ class Node:
     main: bool = False
     holds_main: bool = False
     end: int = 0
-    hash: int = 0
+    #: characters of text
+    size: int = 0
     parts: list = field(default_factory=list)
 
 
+def marking_words(value: str) -> set[str]:
+    """The words of a class, id or role that mark a part of a page: whole names, names made of
+    such words and of words for places, and names that end with some of them."""
+    found = set()
+    for name in value.lower().split():
+        if name in DROP_WORDS:
+            found.add(name)
+            continue
+        parts = [x for x in _PART_SPLIT.split(name) if x]
+        if len(parts) < 2 or not TURNING_WORDS.isdisjoint(parts):
+            continue
+        marks = [x for x in parts if x in DROP_WORDS]
+        if marks and all(x in DROP_WORDS or x in PLACE_WORDS or x.isdigit() for x in parts):
+            found.update(marks)
+        elif parts[-1] in LAST_WORDS:
+            found.add(parts[-1])
+    return found
+
+
+def spaced(html: str | None) -> str:
+    """Every run of white space one blank: what a page's text and its hashes are made of."""
+    return " ".join((html or "").split())
+
+
 def parse(html: str) -> Node:
     """A tree of elements and text runs; tags that are not closed are closed by what
     encloses them or by the next block. Elements may be nested to any depth: the places of
@@ -75,12 +110,18 @@ def parse(html: str) -> Node:
     stack = [root]
     places: defaultdict[str, list[int]] = defaultdict(list)
     blocks: list[int] = []
-    at, n = 0, len(html)
+    at, n, seen = 0, len(html), 0
+
+    def add(text: str) -> None:
+        nonlocal seen
+        stack[-1].parts.append(text)
+        seen += len(text) if text != " " else 0
 
     def pop_to(depth: int, end: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
             node.end = end
+            node.size += seen
             if node is not root:
                 places[node.tag].pop()
                 if node.tag in BLOCK:
@@ -90,19 +131,22 @@ def parse(html: str) -> Node:
         return max((places[t][-1] for t in tags if places[t]), default=0)
 
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        # the next tag; a "<" that begins none is text
+        lt = html.find("<", at)
+        while lt >= 0 and (m := _TOKEN.match(html, lt)) is None:
+            lt = html.find("<", lt + 1)
+        if lt < 0:
             tail = html[at:]
             cut = re.search(r"<[/a-zA-Z!][^<>]*\Z", tail)  # a tag that the end of the page cuts off
-            stack[-1].parts.append(tail[: cut.start()] if cut else tail)
+            add(tail[: cut.start()] if cut else tail)
             break
         if m.start() > at:
-            stack[-1].parts.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = (m.group(3) or "").lower()
         if not tag:
             if m.group(1):
-                stack[-1].parts.append(entities.escape(m.group(1)))
+                add(entities.escape(m.group(1)))
             continue
         if m.group(2):
             # an inline end tag does not close blocks
@@ -122,9 +166,10 @@ def parse(html: str) -> Node:
         attributes = m.group(4)
         if attributes and "=" in attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
-                words = set(_WORD_SPLIT.split(next((v for v in values if v), "").lower()))
-                node.main |= name.lower() == "role" and "main" in words
-                node.marked |= not words.isdisjoint(DROP_WORDS)
+                value = next((v for v in values if v), "")
+                words = marking_words(value)
+                node.main |= name.lower() == "role" and "main" in value.lower().split()
+                node.marked |= bool(words)
                 node.comment |= not words.isdisjoint(COMMENT_WORDS)
                 node.advert |= not words.isdisjoint(ADVERT_WORDS)
         node.main |= tag in ("article", "main")
@@ -134,6 +179,7 @@ def parse(html: str) -> Node:
             at = close.end() if close else n
             node.end = at
         elif tag not in VOID:
+            node.size = -seen
             if node.main and not node.marked:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth].holds_main:
@@ -147,68 +193,105 @@ def parse(html: str) -> Node:
     return root
 
 
-def hashed(html: str) -> Node:
-    """The tree of a page, each element with a 64-bit hash of its subtree, white space aside.
-    An element's hash is over its own source and its children's hashes, so each
-    character is read once."""
-    root = parse(html)
-    order = [root]
-    for node in order:
-        order += [x for x in node.parts if isinstance(x, Node)]
-    for node in reversed(order):
-        own, at = [], node.start
-        for x in node.parts:
-            if isinstance(x, Node):
-                own += [html[at : x.start], f"\0{x.hash}\0"]
-                at = x.end
-        own.append(html[at : node.end])
-        node.hash = xxhash.xxh64_intdigest(_SPACE.sub(" ", "".join(own)).encode("utf-8", "surrogatepass")) - (1 << 63)
-    return root
+_tables: dict[str, np.ndarray] = {}
+_BASE = 0xD6E8FEB86659FD93
+
+
+def span_hashes(html: str, starts: list[int], ends: list[int]) -> np.ndarray:
+    """64-bit hashes of parts of a page, nested ones too, from one running polynomial: each
+    character is read once, however deep it stands."""
+    n = len(html)
+    if len(_tables.get("up", ())) <= n:
+        _tables["up"] = np.cumprod(np.full(max(2 * n, 65536), _BASE, np.uint64))
+        _tables["down"] = np.cumprod(np.full(max(2 * n, 65536), pow(_BASE, -1, 1 << 64), np.uint64))
+    c = (code_points(html) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((c ^ (c >> np.uint64(29))) * _tables["up"][:n], out=total[1:])
+    a, b = np.array(starts, np.int64), np.array(ends, np.int64)
+    h = (total[b] - total[a]) * _tables["down"][a] + (b - a).astype(np.uint64)
+    return h ^ (h >> np.uint64(31))
+
+
+class Candidates:
+    """The subtrees of a page that may be templates.
+
+    Outside of articles these are blocks other than headings, items, rows and cells; in
+    an article, blocks with some text, each with its place: how many blocks begin before
+    it, or after it. A boilerplate block of articles stands at one distance from an edge."""
+
+    def __init__(self, html: str, root: Node):
+        self.outside: list[Node] = []
+        #: node, article's number, blocks before, blocks after
+        self.inside: list[tuple[Node, int, int, int]] = []
+        #: the longest text of each article
+        self.articles: list[str] = []
+        article: Node | None = None
+        found: list[tuple[Node, int, int]] = []
+        runs: list[list[str]] = []
+        skipped = begun = 0
+        todo: list[tuple[Node | str, int]] = [(root, -1)]
+        while todo:
+            x, before = todo.pop()
+            if isinstance(x, str):
+                if article is not None and not skipped:
+                    runs[-1].append(x)
+                continue
+            skip = article is not None and (x.tag in DROP or x.marked) and x is not article
+            if before >= 0:  # its end
+                skipped -= skip
+                if x.tag in BLOCK:
+                    runs.append([])
+                if x is article:
+                    joined = ["".join(r) for r in runs]
+                    # the longest of the sources is the longest text, but for references
+                    self.articles.append(max((" ".join(entities.unescape(t).split()) if "&" in t else t.strip() for t in joined), key=lambda t: (len(t), t)))
+                    self.inside += [(y, len(self.articles) - 1, first, begun - last) for y, first, last in found]
+                    article = None
+                elif article is not None and x.tag in BLOCK and x.tag not in OWN and x.size >= MIN_CHARS and not x.main and not x.holds_main:
+                    found.append((x, before, begun))
+                continue
+            if x.tag in RAW or x.tag == "head":
+                continue
+            if x.tag in BLOCK:
+                runs.append([])
+                if article is None and x.tag not in ("html", "body") and x.tag not in OWN and not x.main and not x.holds_main:
+                    self.outside.append(x)
+            if article is None and x.main and (x.tag == "article" or not x.holds_main):
+                article, found, runs, skipped, begun = x, [], [[]], 0, 0
+            skipped += skip
+            todo.append((x, begun))
+            begun += x.tag in BLOCK
+            todo += [(part, -1) for part in reversed(x.parts)]
+        nodes = [*self.outside, *(x[0] for x in self.inside)]
+        self.hashes = [h - (1 << 63) for h in span_hashes(html, [x.start for x in nodes], [x.end for x in nodes]).tolist()] if nodes else []
+
+    def keys(self) -> Iterator[tuple[Node, int, int | None]]:
+        """(node, key, article or None): of a node in an article a key for each edge."""
+        yield from ((x, h, None) for x, h in zip(self.outside, self.hashes, strict=False))
+        for (x, article, before, after), h in zip(self.inside, self.hashes[len(self.outside) :], strict=True):
+            for side, distance in ((1, before), (2, after)):
+                key = (h * 0x9E3779B97F4A7C15 + distance * 4 + side) & ((1 << 64) - 1)
+                yield x, (key ^ key >> 32) - (1 << 63), article
+
+
+def _long(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def subtrees(html: str) -> dict[int, int]:
-    """Hashes of all subtrees of a page that may be parts of a template, each with a hash of
-    where it is: of the page or, where it is only in an article, of the longest text of
-    the article, by which the article and its copies are known."""
-    root = hashed(html)
-    outside: dict[int, int] = {}
+    """Keys of all subtrees of a page that may be templates, each with a hash of where it is:
+    of the page or, where it is only in an article, of the longest text of the article, by
+    which the article and its copies are known."""
+    html = spaced(html)
+    found = Candidates(html, parse(html))
+    page, articles = _long(html), [_long(t) for t in found.articles]
     inside: dict[int, int] = {}
-    article: Node | None = None
-    found: list[int] = []
-    runs: list[list[str]] = []
-    skipped = 0
-    todo: list[tuple[Node | str, bool]] = [(root, False)]
-    while todo:
-        x, leaving = todo.pop()
-        if isinstance(x, str):
-            if article is not None and not skipped:
-                runs[-1].append(x)
-            continue
-        skip = article is not None and (x.tag in DROP or x.marked) and x is not article
-        if leaving:
-            skipped -= skip
-            if x.tag in BLOCK:
-                runs.append([])
-            if x is article:
-                text = max((" ".join(entities.unescape("".join(r)).split()) for r in runs), key=lambda t: (len(t), t))
-                place = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-                inside.update((h, place) for h in found)
-                article = None
-            continue
-        if x.tag in RAW or x.tag == "head":
-            continue
-        if x.tag in BLOCK:
-            runs.append([])
-        if x.tag in BLOCK and x.tag not in ("html", "body") and not x.main and not x.holds_main:
-            if article is None:
-                outside[x.hash] = root.hash
-            else:
-                found.append(x.hash)
-        if article is None and x.main and (x.tag == "article" or not x.holds_main):
-            article, found, runs, skipped = x, [], [[]], 0
-        skipped += skip
-        todo.append((x, True))
-        todo += [(part, False) for part in reversed(x.parts)]
+    outside: dict[int, int] = {}
+    for _, key, article in found.keys():
+        if article is None:
+            outside[key] = page
+        else:
+            inside[key] = articles[article]
     return inside | outside
 
 
@@ -230,12 +313,14 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
     templates and without what is not main text, joined by line feeds.
 
     Class words decide about blocks, and about inline elements that stand in no sentence
-    (adverts in any place). An <article> or <main> that they mark is the article only if no
-    unmarked one has text: first other marked ones, then, where the rest of the page has no
-    text either, adverts and reader comments."""
+    (adverts in any place), but not about a block with most of the page's text, unless it is
+    reader comments or an advert. An <article> or <main> that they mark is the article only
+    if no unmarked one has text. Adverts and reader comments are never text."""
+    html = spaced(html)
     if not html:
         return ""
-    root = hashed(html) if templates else parse(html)
+    root = parse(html)
+    deleted = {id(x) for x, key, _ in Candidates(html, root).keys() if key in templates} if templates else set()
     sentences: dict[int, bool] = {}
 
     def dropped(x: Node, block: Node) -> bool:
@@ -247,12 +332,12 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
             if id(block) not in sentences:
                 sentences[id(block)] = _in_sentence(block)
             return not sentences[id(block)]
-        if x.marked and (x.comment or not x.holds_main):
+        if x.marked and (x.comment or not x.holds_main and (x.advert or x.size * 2 <= root.size)):
             return True
-        return bool(templates) and x.tag in BLOCK and x.hash in templates and not x.holds_main
+        return id(x) in deleted
 
-    def mains(tags: tuple[str, ...], level: int) -> list[Node]:
-        """The outermost ones; from level 1 on also marked ones, from 2 on all of them."""
+    def mains(tags: tuple[str, ...], marked: bool) -> list[Node]:
+        """The outermost ones, also those that class words mark or not."""
         found: list[Node] = []
         todo: list[Node | str] = root.parts[::-1]
         while todo:
@@ -260,10 +345,10 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
             if not isinstance(x, Node):
                 continue
             is_main = x.tag in tags or x.main and "main" in tags
-            open_to = not x.marked or level == 2 or level == 1 and not x.comment and not x.advert
+            open_to = not x.marked or marked and not x.comment and not x.advert
             if is_main and x.tag not in DROP and open_to:
                 found.append(x)
-            elif level == 2 and x.marked or not dropped(x, root):
+            elif not dropped(x, root):
                 todo += reversed(x.parts)
         return found
 
@@ -291,14 +376,11 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
         lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
         return "\n".join(x for x in lines if x)
 
-    for level in (0, 1, None, 2):
-        if level is None:
-            text = written([root])
-        else:
-            text = written(mains(("article",), level)) or written(mains(("main",), level))
+    for marked in (False, True):
+        text = written(mains(("article",), marked)) or written(mains(("main",), marked))
         if text:
             return text
-    return ""
+    return written([root])
 
 
 def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -225,7 +225,7 @@ def test_templates_of_a_large_host(spark, monkeypatch):
     the paragraphs of copies of one article are not."""
     rng = random.Random(5)
     widget = '<div class="box7"><p>Buy one today</p></div>'
-    notice = "<ul><li>First published elsewhere</li></ul>"
+    notice = "<ul><li>First published elsewhere, shown here with permission</li></ul>"
     own = {i: words(rng, 12) for i in range(300)}
     page = lambda i: f"<body>{widget if i < 12 else ''}<p>top {i}</p><article><p>{own[i]}</p>{notice if 50 <= i < 62 else ''}</article></body>"
     copy = lambda i: f"<body><article><h1>Copied</h1><p>{own[0]} again</p><p>Seen {i} times</p></article></body>"
@@ -242,10 +242,47 @@ def test_templates_of_a_large_host(spark, monkeypatch):
         assert all(got[1000 + i] == f"Copied\n{own[0]} again\nSeen {i} times" for i in range(20))
 
 
+def test_articles_keep_their_parts(spark):
+    """Headings, table labels and short paragraphs that recur in a host's articles stay."""
+    page = lambda i: f"<body><nav>menu</nav><article><h1>Report {i}</h1><p>Own text of report number {i} that goes on for a while.</p><h2>Results</h2><table><tr><td>apples</td><td>{i}</td></tr><tr><td>pears</td><td>1</td></tr></table><p>See below.</p><h2>References</h2><ul><li>Ref {i}</li><li>Common reference</li></ul></article></body>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    for r in pagetext.extract(pages.withColumns({c: F.lit("clash") for c in ("text", "host", "id", "page", "subtree")})).collect():
+        i = r.page_id
+        assert r.text == f"Report {i}\nOwn text of report number {i} that goes on for a while.\nResults\napples\n{i}\npears\n1\nSee below.\nReferences\nRef {i}\nCommon reference"
+
+
+def test_templates_equal_brute_force(spark):
+    """Host counts: blocks at one distance from an edge of many different articles."""
+    rng = random.Random(6)
+    pool = [f"<p>{words(rng, n)}</p>" for n in (3, 9, 12, 15)] + ["<h2>Results</h2>"]
+    pages = {}
+    for i in range(120):
+        own = [f"<p>{words(rng, rng.randrange(60, 80))}</p>" for _ in range(rng.randrange(1, 3))]
+        parts = rng.sample(pool, rng.randrange(3)) + own + rng.sample(pool, rng.randrange(4))
+        pages[i] = (f"http://{rng.choice('ab')}.example/{i}", parts)
+    pages |= {1000 + i: pages[i] for i in range(10)}
+    plain = lambda b: b.split(">", 1)[1].rsplit("<", 1)[0]
+    places = {}
+    for url, parts in pages.values():
+        article = max(map(plain, parts), key=len)
+        for k, b in enumerate(parts):
+            for key in ((b, k, 0), (b, 0, len(parts) - k)):
+                places.setdefault((url[:9], *key), set()).add(article)
+    often = {k for k, v in places.items() if len(v) >= 8}
+    assert often
+    gone = lambda url, b, k, n: b[1] == "p" and len(plain(b)) >= 40 and ((url[:9], b, k, 0) in often or (url[:9], b, 0, n - k) in often)
+    rows = [(i, url, f"<body><nav>menu {i}</nav><article>{''.join(parts)}</article><footer>f</footer></body>") for i, (url, parts) in pages.items()]
+    df = spark.createDataFrame(rows + rows[:5], "page_id long, url string, html string")
+    for r in pagetext.extract(df).collect():
+        url, parts = pages[r.page_id]
+        assert r.text == "\n".join(plain(b) for k, b in enumerate(parts) if not gone(url, b, k, len(parts))), r.page_id
+
+
 def test_deep_pages():
-    deep = f"<div><article><p>start</p>{'<div>' * 1000}in{'</div>' * 1000}<p>after</p></article></div>"
-    assert pagetext.main_text(deep) == "start\nin\nafter"
-    assert pagetext.main_text(deep, {1}) == "start\nin\nafter" and len(pagetext.subtrees(deep)) == 1002
+    word = "in" * 30
+    deep = f"<div><article><p>start</p>{'<div>' * 1000}{word}{'</div>' * 1000}<p>after</p></article></div>"
+    assert pagetext.main_text(deep) == f"start\n{word}\nafter"
+    assert pagetext.main_text(deep, {1}) == f"start\n{word}\nafter" and len(pagetext.subtrees(deep)) == 2000
     inline = f"<article><p>text</p>{'<b>' * 1000}<aside>other</aside><div class=comments>said</div>end</article>"
     assert pagetext.main_text(inline) == "text\nend"
 
@@ -269,7 +306,16 @@ def test_marked_parts_of_pages():
     assert text('<main><p class="share">s</p><article class="social">text</article></main>') == "text"
     assert text('<body class="comments-open"><article>text</article></body>') == "text"
     assert text('<body><p>plain</p><article class="ad">buy</article></body>') == "plain"
-    assert text('<body><div class="comments"><article>only</article></div></body>') == "only"
+    assert text('<body><div class="comments"><article>only</article></div></body>') == ""
+    assert text('<body><article class="comment"><p>I agree!</p></article></body>') == ""
+    assert text('<body><div class="ad"><p>buy this today</p></div></body>') == ""
+    # whole class names; those that end or go on with a place; turned ones are no marks
+    for name in ("has-sidebar", "no-comments", "social-science", "form-of-life", "long-form", "with-footer", "sidebar2x"):
+        assert text(f'<body><div class="page {name}"><p>Article text one.</p></div><p>foot</p></body>') == "Article text one.\nfoot"
+    for name in ("sidebar", "page-sidebar", "comments-area", "x left_menu", "ad-slot-2", "Footer"):
+        assert text(f'<body><div class="{name}"><p>other</p></div><p>Article text one.</p></body>') == "Article text one."
+    # marked, but most of the page's text
+    assert text('<body><div class="login"><p>A long article text that is all there is.</p></div><p>foot</p></body>').startswith("A long article")
     assert text('<article><p>A <span class="related">term</span> here.</p><p><a class="share">Share</a> <a class="share">Post</a></p><p>b <span class="ad">buy</span></p></article>') == "A term here.\nb"
 
 
