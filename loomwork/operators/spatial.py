@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.let import let
+from .stored import stored
 
 
 def _cells(df: DataFrame, cell: float, prefix: str) -> DataFrame:
@@ -15,13 +16,27 @@ def _cells(df: DataFrame, cell: float, prefix: str) -> DataFrame:
     return out.withColumn("_cy", F.explode(F.sequence(at(f"{prefix}y0"), at(f"{prefix}y1"))))
 
 
-def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+#: Boxes in a cell from which on it is dealt to several tasks.
+CROWD = 4096
+
+
+def overlaps(a: DataFrame, b: DataFrame, cell: float, crowd: int = CROWD) -> DataFrame:
     """Pairs of boxes (columns a_x0, a_y0, a_x1, a_y1 and b_x0, ...) that share some area.
 
     Both sides are dealt to grid cells and joined on the cell, so no row meets all others;
     a pair is reported in the cell of its common area's lower corner only. ``cell`` should
-    be about a box's size."""
-    j = _cells(a, cell, "a_").join(_cells(b, cell, "b_"), ["_cx", "_cy"])
+    be about a box's size. A cell with more than ``crowd`` boxes of the first side is
+    salted: these are dealt to several parts, and each part gets the second side's boxes."""
+    left, right = _cells(a, cell, "a_"), _cells(b, cell, "b_")
+    crowded = left.groupBy("_cx", "_cy").count().filter(F.col("count") > crowd)
+    crowded = stored(crowded.select("_cx", "_cy", F.ceil(F.col("count") / crowd).cast("int").alias("_parts")))
+    on = ["_cx", "_cy"]
+    if not crowded.isEmpty():
+        parts = F.coalesce("_parts", F.lit(1))
+        left = left.join(crowded, on, "left").withColumn("_part", F.pmod(F.xxhash64(*a.columns), parts).cast("int")).drop("_parts")
+        right = right.join(crowded, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        on = [*on, "_part"]
+    j = left.join(right, on).drop("_part")
     touch = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
     corner = (F.col("_cx") == F.floor(F.greatest("a_x0", "b_x0") / F.lit(cell))) & (F.col("_cy") == F.floor(F.greatest("a_y0", "b_y0") / F.lit(cell)))
     return j.filter(touch & corner).drop("_cx", "_cy")
@@ -38,7 +53,7 @@ def free_cells(boards: DataFrame, bodies: DataFrame, key: str, width: int, heigh
     xs = F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
     ys = F.explode(F.sequence(F.lit(0), F.lit(height - 1)))
     cells = boards.select(key, xs.alias("x")).select(key, "x", ys.alias("y"))
-    return cells.join(bodies.select(key, "x", "y"), [key, "x", "y"], "left_anti")
+    return cells.join(bodies.select(key, "x", "y").distinct(), [key, "x", "y"], "left_anti")
 
 
 def _cell(x: Column, y: Column) -> Column:
