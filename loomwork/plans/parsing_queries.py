@@ -84,16 +84,41 @@ def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
-@query("""
-SELECT kind, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<\\?.*?\\?>|<![^>]*>|</?[^<>]+>|[^<]+')) AS p FROM pages),
-LATERAL (SELECT unnest(CASE WHEN p LIKE '</%' THEN ['end'] WHEN p LIKE '<%/>' THEN ['element', 'end'] WHEN p LIKE '<%' THEN ['element'] ELSE ['text'] END) AS kind)
-WHERE NOT (p LIKE '<!%' OR p LIKE '<?%') AND NOT regexp_full_match(p, '\\s*') GROUP BY 1
-""")
+#: The pieces of markup as SQL has them, and their kinds.
+_PIECES = archives.PIECES.replace("'", "''")
+_LIST = archives._ATTRIBUTES.replace("'", "''")
+_KINDS = """CASE WHEN p LIKE '<!--%' THEN ['comment'] WHEN p LIKE '<![CDATA[%' THEN ['cdata'] WHEN p LIKE '<?%' THEN ['instruction'] WHEN p LIKE '</%' THEN ['end'] WHEN p LIKE '<!%' THEN []
+  WHEN p LIKE '<%' THEN CASE WHEN regexp_matches(p, '(?s)^<[^ \\t\\n\\r>/=]*""" + _LIST + """[ \\t\\n\\r]*/') THEN ['element', 'end'] ELSE ['element'] END WHEN regexp_full_match(p, '[ \\t\\n\\r]*') THEN [] ELSE ['text'] END"""
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '{_PIECES}')) AS p FROM pages), LATERAL (SELECT unnest({_KINDS}) AS kind) GROUP BY 1")
 def markup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of a lenient markup reader, counted by kind."""
     return archives.xml_events(table(spark, sf_dir, "pages"), "page_id", "html").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_BOOKS = """SELECT page_id, replace(replace(replace(replace(html, '<h1>', '<?note a > b?><h1 k="1" z=2 y="3">'), '<b>', '<![CDATA[a > b]] c]]><b title="x > y"/>'), '<footer>', CASE WHEN page_id % 5 = 0 THEN '<!-x-><footer>' ELSE '<!DOCTYPE x><footer>' END), '</article>', CASE WHEN page_id % 7 = 0 THEN '<!-- open' ELSE '</article >' END) AS html FROM pages"""
+
+
+@query(f"""
+WITH c AS (SELECT page_id, regexp_extract_all(html, '{_PIECES}') AS ps FROM ({_BOOKS})),
+k AS (SELECT page_id, coalesce(list_position([starts_with(x, '<!-') AND NOT starts_with(x, '<!--') FOR x IN ps], true), 0) AS bad, ps FROM c),
+p AS (SELECT page_id, unnest(CASE WHEN bad > 0 THEN ps[1:bad - 1] ELSE ps END) AS p FROM k)
+SELECT page_id, kind, count(*) AS n, count(*) FILTER (kind = 'element' AND len(regexp_extract_all(regexp_extract(p, '(?s)^<[^ \\t\\n\\r>/=]*({_LIST})', 1), '[^ \\t\\n\\r>/=]+[ \\t\\n\\r]*=[ \\t\\n\\r]*("[^"]*"|''[^'']*'')')) = 1) AS one_attribute
+FROM p, LATERAL (SELECT unnest({_KINDS}) AS kind) GROUP BY 1, 2
+""")
+def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of pages made into books: with instructions, CDATA sections, comments that do not end,
+    and malformed ones, after which a document has no more events."""
+    html = F.col("html")
+    for old, new in (("<h1>", '<?note a > b?><h1 k="1" z=2 y="3">'), ("<b>", '<![CDATA[a > b]] c]]><b title="x > y"/>')):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    html = F.replace(html, F.lit("<footer>"), F.when(F.col("page_id") % 5 == 0, "<!-x-><footer>").otherwise("<!DOCTYPE x><footer>"))
+    html = F.replace(html, F.lit("</article>"), F.when(F.col("page_id") % 7 == 0, "<!-- open").otherwise("</article >"))
+    e = archives.xml_events(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id", "html")
+    return e.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("attrs"), F.lit(0)) == 1).alias("one_attribute"))
+
+
 @query("""
 SELECT page_id, count(*) AS links, min(href) AS first_href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^<>]*href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1
 """)

@@ -133,25 +133,51 @@ def app_partition(rows: DataFrame, key: str = "path") -> DataFrame:
     return rows.filter("type = 0").groupBy(key).agg(F.min_by(F.struct("offset", "size"), F.struct(rank, "idx")).alias("p")).select(key, "p.offset", "p.size")
 
 
+#: Pieces of markup: comments, CDATA, instructions, other declarations, end tags, elements, texts.
+#: What is not closed goes on to the end. A malformed attribute ends an element's list; the
+#: element ends at the next ">".
+_ATTRIBUTES = r"(?:[ \t\n\r]*[^ \t\n\r>/=]+[ \t\n\r]*=[ \t\n\r]*(?:\"[^\"]*(?:\"|\z)|'[^']*(?:'|\z)))*"
+PIECES = rf"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)|<\?.*?(?:\?>|\z)|<[!/][^>]*(?:>|\z)|<[^ \t\n\r>/=]*{_ATTRIBUTES}[^>]*(?:>|\z)|[^<]+"
+
+
 def xml_events(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, seq, kind (element, end, text), name, value, attrs of lenient XML: a row for
-    each tag and each text between tags that is not blank; entities stay as typed. An
-    element that closes itself gives both rows. The markup is cut by one expression and
-    classified by column expressions: no parser state is needed."""
-    cut = F.regexp_extract_all(F.col(text), F.lit(r"(?s)<!--.*?-->|<\?.*?\?>|<![^>]*>|</?[^<>]+>|[^<]+"), F.lit(0))
-    rows = docs.select(key, F.posexplode(cut).alias("n", "p")).filter(~F.col("p").rlike(r"(?s)^(<!|<\?)") & ~F.col("p").rlike(r"^\s*$"))
+    """key, seq, kind (element, end, text, comment, cdata, instruction), name, value, attrs of
+    lenient XML: a row for each tag, comment, CDATA section and instruction, and for each
+    text between them that is not blank; entities stay as typed. An element that closes
+    itself gives both rows.
+
+    The markup is cut by one expression and classified by column expressions: no parser
+    state is needed. Other declarations are passed over. A comment that begins with a single
+    dash ends the events of its document: the pieces are cut off before the first such."""
+    cut = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
+    bad = F.transform(cut, lambda p: p.startswith("<!-") & ~p.startswith("<!--"))
+    kept = F.when(F.array_contains(bad, True), F.slice(cut, F.lit(1), F.array_position(bad, True).cast("int") - 1)).otherwise(cut)
     p = F.col("p")
-    name = F.regexp_extract(p, r"^</?\s*([^\s/>]+)", 1)
-    pairs = F.regexp_extract_all(p, F.lit("([\\w:.-]+)\\s*=\\s*(\"[^\"]*\"|'[^']*')"), F.lit(0))
-    entries = F.transform(pairs, lambda a: F.struct(F.regexp_extract(a, r"^([\w:.-]+)", 1).alias("key"), F.regexp_extract(a, "(?s)=\\s*[\"'](.*)[\"']$", 1).alias("value")))
+    space = r"[ \t\n\r]"
+    kind = (
+        F.when(p.startswith("<!--"), "comment")
+        .when(p.startswith("<![CDATA["), "cdata")
+        .when(p.startswith("<?"), "instruction")
+        .when(p.startswith("</"), "end")
+        .when(p.startswith("<!"), F.lit(None))
+        .when(p.startswith("<"), "element")
+        .when(~p.rlike(rf"^{space}*$"), "text")
+    )
+    rows = docs.select(key, F.posexplode(kept).alias("n", "p")).withColumn("kind", kind).filter("kind is not null")
+    name = F.regexp_extract(p, r"^<[/?]?([^ \t\n\r>/=]*)", 1)
+    listed = F.regexp_extract(p, rf"(?s)^<[^ \t\n\r>/=]*({_ATTRIBUTES})", 1)
+    pairs = F.regexp_extract_all(listed, F.lit(rf"(?s)([^ \t\n\r>/=]+){space}*={space}*(\"[^\"]*|'[^']*)"), F.lit(0))
+    entries = F.transform(pairs, lambda a: F.struct(F.regexp_extract(a, r"^([^ \t\n\r>/=]+)", 1).alias("key"), F.regexp_extract(a, rf"(?s)={space}*[\"'](.*)$", 1).alias("value")))
     # of equal names the first counts
     names = F.transform(entries, lambda e: e["key"])
     first = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
-    kinds = F.when(p.rlike("^</"), F.array(F.lit("end"))).when(p.rlike("(?s)^<.*/>$"), F.array(F.lit("element"), F.lit("end"))).when(p.startswith("<"), F.array(F.lit("element"))).otherwise(F.array(F.lit("text")))
+    closes = p.rlike(rf"(?s)^<[^ \t\n\r>/=]*{_ATTRIBUTES}{space}*/")
+    kinds = F.when((F.col("kind") == "element") & closes, F.array(F.lit("element"), F.lit("end"))).otherwise(F.array("kind"))
     tags = rows.select(key, "n", "p", F.posexplode(kinds).alias("m", "kind"))
-    is_tag = F.col("kind") != "text"
+    inner = lambda open_, close: F.regexp_extract(p, rf"(?s)^{open_}(.*?)(?:{close})?\z", 1)
+    value = F.when(F.col("kind") == "text", F.trim(p)).when(F.col("kind") == "cdata", inner(r"<!\[CDATA\[", r"\]\]>")).when(F.col("kind") == "comment", inner("<!--", "-->"))
     return tags.select(
-        key, (F.col("n") * 2 + F.col("m")).alias("seq"), "kind", F.when(is_tag, name).alias("name"), F.when(~is_tag, F.trim(p)).alias("value"),
+        key, (F.col("n") * 2 + F.col("m")).alias("seq"), "kind", F.when(F.col("kind").isin("element", "end", "instruction"), F.when(F.col("kind") == "instruction", F.regexp_replace(name, r"\?$", "")).otherwise(name)).alias("name"), value.alias("value"),
         F.when(F.col("kind") == "element", F.map_from_entries(first)).alias("attrs"),
     )
 
