@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The colour that stands for transparency, and the one that takes its place.
+#: The colour that stands for transparency, and the one that takes its place.
 KEY, NEAR_KEY = 0xF81F, 0xF81E
 
 
@@ -45,6 +45,11 @@ def grey_byte(r: Column, g: Column, b: Column) -> Column:
     return (r + g + F.floor(b / 3)).cast("int").bitwiseAND(F.lit(255))
 
 
+def swapped(v: Column) -> Column:
+    """A 16-bit value with its two bytes in the other order, as some displays take it."""
+    return _left(v.bitwiseAND(F.lit(255)), 8).bitwiseOR(_right(v, 8))
+
+
 def bytes_per_pixel(kind: Column) -> Column:
     """1 for monochrome, 2 for the 16-bit formats, 3 for rgb888."""
     return F.when(kind == "mono", 1).when(kind == "rgb888", 3).otherwise(2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +54,49 @@ def moved(board: Column, side: str) -> Column:
     return slid(board) if side in ("left", "right") else transposed(slid(transposed(board)))
 
 
+def _slid_codes(n: int, top: int) -> list[int]:
+    """For each row of ``n`` tiles up to ``top``, coded as a number, the code of the slid row."""
+    base, out = top + 2, []
+    for code in range(base**n):
+        tiles = [t for i in range(n) if (t := code // base**i % base)]
+        done: list[int] = []
+        free = False
+        for t in tiles:
+            if free and done[-1] == t and t <= top:
+                done[-1], free = t + 1, False
+            else:
+                done.append(t)
+                free = True
+        out.append(sum(t * base**i for i, t in enumerate(done)))
+    return out
+
+
+def moved_by_table(board: Column, side: str, n: int, top: int) -> Column:
+    """As ``moved``, for boards of ``n`` by ``n`` tiles up to ``top``: each line is a number, and
+    what it becomes stands in a table of all lines, made once ((top + 2) ** n numbers)."""
+    base = top + 2
+    table = F.lit(np.array(_slid_codes(n, top), np.int64))
+    line = (lambda i, j: (i, j)) if side in ("left", "right") else (lambda i, j: (j, i))
+    back = side in ("right", "down")
+    cells: dict[tuple[int, int], Column] = {}
+    for i in range(n):
+        places = [line(i, n - 1 - j if back else j) for j in range(n)]
+        code = sum((board[r][c].cast("long") * base**j for j, (r, c) in enumerate(places)), F.lit(0).cast("long"))
+        slid = F.get(table, code.cast("int"))
+        for j, place in enumerate(places):
+            cells[place] = (F.floor(slid / base**j) % base).cast("int")
+    return F.array(*[F.array(*[cells[r, c] for c in range(n)]) for r in range(n)])
+
+
+def draw_place(board: Column, draw: Column, value: Column) -> Column:
+    """The cells of a board, row by row, with ``value`` on one of the empty ones: number ``draw`` of
+    them, counted round. A full board stays as it is."""
+    cells = F.flatten(board)
+    empty = F.filter(F.sequence(F.lit(0), F.size(cells) - 1), lambda i: F.get(cells, i) == 0)
+    at = F.get(empty, F.pmod(draw, F.nullif(F.size(empty), F.lit(0))).cast("int"))
+    return F.transform(cells, lambda c, i: F.when(i == at, value).otherwise(c))
+
+
 def transposed(board: Column) -> Column:
     return let(board, lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.transform(b, lambda r: r[i])))
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def last_wins(df: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:
     """One row for each key: the values of its last row. Partial aggregation applies, so
@@ -35,9 +37,23 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: st
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def reindexed(df: DataFrame, keys: list[str], order: list[str], index: str = "idx") -> DataFrame:
-    """Rows numbered anew from 0 inside each key."""
-    return df.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def reindexed(df: DataFrame, keys: list[str], order: list[str], index: str = "idx", most: int | None = None) -> DataFrame:
+    """Rows numbered anew from 0 inside each key; with ``most`` the first so many of each, to
+    which Spark then prunes each task before the shuffle."""
+    rows = df.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return (rows if most is None else rows.filter(F.col(index) <= most)).withColumn(index, F.col(index) - 1)
+
+
+def numbered(df: DataFrame, key: str, order: list[str], index: str = "idx") -> DataFrame:
+    """As ``reindexed``, for few keys with very many rows each: rows are dealt by ranges of key and
+    order, numbered inside each range, and the sizes of a key's earlier ranges are added."""
+    ranged = stored(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(key, "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_begin"))
+    own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1
+    rows = ranged.withColumn(index, own).join(begins, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return rows.withColumn(index, F.col(index) + F.col("_begin")).drop("_part", "_key", "_of", "_begin")
 
 
 def records(df: DataFrame, keys: list[str], order: list[str], score: str) -> DataFrame:

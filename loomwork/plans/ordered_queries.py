@@ -239,7 +239,7 @@ SELECT c_nationkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name
 def option_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each list in their order; no list is gathered in one value."""
     c = table(spark, sf_dir, "customer").select("c_nationkey", "c_name", "c_custkey")
-    return op.reindexed(c, ["c_nationkey"], ["c_name", "c_custkey"]).select("c_nationkey", "idx", F.col("c_name").alias("option"))
+    return op.numbered(c, "c_nationkey", ["c_name", "c_custkey"]).select("c_nationkey", F.col("idx").cast("int").alias("idx"), F.col("c_name").alias("option"))
 
 
 @query("""

@@ -41,8 +41,10 @@ def push_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of each push after which the shown percentage changes."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice").cast("long") + 1).alias("bytes"))
     c = o.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") + 1499) / 1500) - 1)).alias("chunk"))
-    c = c.withColumn("percent", F.floor(F.least((F.col("chunk") + 1) * 1500, F.col("bytes")) * 100 / F.col("bytes")).cast("int"))
-    return op.changes(c, ["o_orderkey"], ["chunk"], "percent").select("o_orderkey", "chunk", "percent")
+    after = lambda chunk: F.floor(F.least((chunk + 1) * 1500, F.col("bytes")) * 100 / F.col("bytes")).cast("int")
+    # the percentage before is a formula of the same row
+    c = c.select("o_orderkey", "chunk", after(F.col("chunk")).alias("percent"), after(F.col("chunk") - 1).alias("before"))
+    return c.filter("chunk = 0 or percent <> before").select("o_orderkey", "chunk", "percent")
 
 
 @query("""
@@ -128,4 +130,4 @@ SELECT l_suppkey, idx::INTEGER AS idx, l_orderkey, l_linenumber FROM (SELECT *,
 def note_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 64 notes of each sequence (its buffer's size)."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return op.reindexed(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).filter("idx < 64").select("l_suppkey", "idx", "l_orderkey", "l_linenumber")
+    return op.reindexed(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], most=64).select("l_suppkey", "idx", "l_orderkey", "l_linenumber")

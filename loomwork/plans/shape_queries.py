@@ -83,7 +83,7 @@ def board_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The board after a move to each side."""
     b = _boards(spark, sf_dir)
     text = lambda board: F.array_join(F.transform(F.flatten(board), lambda v: v.cast("string")), "")
-    return b.select("o_orderkey", *[text(grid.moved(F.col("board"), side)).alias(side) for side in ("left", "right", "up", "down")])
+    return b.select("o_orderkey", *[text(grid.moved_by_table(F.col("board"), side, 3, 2)).alias(side) for side in ("left", "right", "up", "down")])
 
 
 @query("""

@@ -67,3 +67,22 @@ def c_header(frames: DataFrame, name: str, values: str, row: int = 24) -> DataFr
     from ..functions.text import hex_words
 
     return frames.select(name, F.concat(F.lit("static const uint16_t "), F.col(name), F.lit("["), F.size(values).cast("string"), F.lit("] = {\n"), hex_words(F.col(values), row), F.lit("\n};")).alias("source"))
+
+
+def raster_lines(sheet: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """key, line_no, value: sheets (key, y, n_frames, pixels of 16 bits) as the lines of portable
+    pixel maps in text form: a header, then a line for each line of the raster."""
+    from ..functions.colour import from_565
+
+    def dots(v):
+        return F.concat_ws(" ", *[c.cast("string") for c in from_565(v)])
+
+    rows = sheet.select(key, (F.col("y") + 1).alias("line_no"), F.array_join(F.transform("pixels", dots), " ").alias("value"))
+    size = F.concat_ws(" ", F.lit("P3"), (F.col("n_frames") * width).cast("string"), F.lit(str(height)), F.lit("255"))
+    return rows.unionByName(sheet.filter("y = 0").select(key, F.lit(0).alias("line_no"), size.alias("value")))
+
+
+def write_rasters(sheet: DataFrame, path: str, key: str, width: int, height: int) -> None:
+    """A text folder for each sheet, which any reader of pixel maps takes once its parts are joined."""
+    lines = raster_lines(sheet, key, width, height)
+    lines.repartition(key).sortWithinPartitions(key, "line_no").select(key, "value").write.mode("overwrite").partitionBy(key).text(path)

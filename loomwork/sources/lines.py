@@ -44,7 +44,7 @@ def todo_lines(lines: DataFrame, keys: list[str], line_no: str = "line_no", line
 
     rows = lines.filter((F.length(line) >= 3) & F.col(line).rlike("^[+-] "))
     rows = rows.select(*keys, F.col(line_no).alias("_n"), F.col(line).startswith("+").alias("done"), F.substring(line, 3, 1 << 30).alias("text"))
-    return reindexed(rows, keys, ["_n"]).filter(F.col("idx") < most).select(*keys, "idx", "done", "text")
+    return reindexed(rows, keys, ["_n"], most=most).select(*keys, "idx", "done", "text")
 
 
 def progress(value: Column) -> Column:

@@ -29,7 +29,7 @@ class Frame:
     last_shift: int | None = None
 
 
-#: A frame: two fixed bytes, key, state (1 pressed), the sum of the three bytes before.
+#: Fixed values of a frame: two fixed bytes, key, state (1 pressed), the sum of the three bytes before.
 HEAD, DOUBLE_TAP_MS, SHIFT = b"\xaa\x03", 400, 0x80
 
 
@@ -65,3 +65,32 @@ def frames(key: str = "key", at: str = "at", byte: str = "byte"):
         return s, out
 
     return step
+
+
+Cell = tuple[int, int]
+
+
+def crawler(key: str, width: int, height: int, start: Cell, length: int, walls: bool):
+    """A body that crawls over a board, one row for each move (``move``: 0 up, 1 down, 2 left, 3
+    right; ``grows``). Gives out (key, move_id, x, y, length, alive) after each move.
+
+    A move straight back is taken as going on. At an edge the body dies, or comes in again
+    on the other side if there are no ``walls``. It dies if its head meets one of its cells, but for
+    the last, which moves out of the way. A dead body stays where it is."""
+    ways = ((0, -1), (0, 1), (-1, 0), (1, 0))
+
+    def step(s: tuple[list[Cell], int, bool] | None, row: Any) -> tuple[tuple, list[tuple]]:
+        cells, way, alive = s or ([((start[0] - i) % width, start[1]) for i in range(length)], 3, True)
+        if alive:
+            wanted = int(row.move)
+            if wanted ^ way != 1:
+                way = wanted
+            x, y = cells[0][0] + ways[way][0], cells[0][1] + ways[way][1]
+            inside = 0 <= x < width and 0 <= y < height
+            head = (x % width, y % height)
+            alive = (inside or not walls) and head not in cells[1:-1]
+            if alive:
+                cells = [head, *(cells if row.grows else cells[:-1])]
+        return (cells, way, alive), [(getattr(row, key), row.move_id, cells[0][0], cells[0][1], len(cells), alive)]
+
+    return step
