@@ -11,7 +11,10 @@ with the exact probability Jaccard similarity; linked texts form classes."""
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -22,9 +25,6 @@ from .common import checkpoint, code_points, small_side
 
 WORDS = 5
 THRESHOLD = 0.8
-#: 25 bands of 5 registers: a pair at 0.8 shares no band with probability 5e-5.
-BANDS, BAND_ROWS = 25, 5
-REGISTERS = BANDS * BAND_ROWS
 #: Texts that are worked on at once, in characters; a longer text is read in pieces.
 BATCH_CHARS = 1_000_000
 #: Ids up to this number are broadcast (16 bytes each); more are joined by a shuffle.
@@ -32,9 +32,42 @@ MAX_BROADCAST_IDS = 1_000_000
 #: A bucket that holds several classes is compared in blocks of this many texts; its rows
 #: are joined with what is known of the bucket in portions of that size, too.
 BLOCK = 256
-#: Below this share of equal registers a pair is not verified: four standard deviations
-#: of the estimate under the threshold.
-MIN_ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+
+
+
+@dataclass(frozen=True)
+class Bands:
+    """A threshold, and the bands and registers of a band that go with it."""
+
+    threshold: float
+    bands: int
+    rows: int
+
+    @property
+    def registers(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def least(self) -> float:
+        """Below this share of equal registers a pair is not verified: four standard
+        deviations of the estimate under the threshold."""
+        return self.threshold - 4 * (self.threshold * (1 - self.threshold) / self.registers) ** 0.5
+
+
+def bands_for(threshold: float, miss: float = 1e-4, registers: int = 128) -> Bands:
+    """The most selective bands of ``registers`` registers at most with which a pair at the
+    threshold shares no band with probability ``miss`` at most. 0.8: 24 bands of 5 would do;
+    25 are taken."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is over 0 and 1 at most")
+    if threshold == THRESHOLD:
+        return Bands(threshold, 25, 5)
+    for rows in range(8, 0, -1):
+        bands = max(1, math.ceil(math.log(miss) / math.log1p(-min(threshold**rows, 1 - 1e-9))))
+        if bands * rows <= registers:
+            return Bands(threshold, bands, rows)
+    return Bands(threshold, math.ceil(math.log(miss) / math.log1p(-threshold)), 1)
+
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Base of the words' polynomial hash, and its inverse modulo 2 ** 64.
@@ -154,7 +187,7 @@ def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return float(sum(t / (np.maximum(x, r * y).sum() + only[0] + r * only[1]) for r, t in zip(ratios, sums, strict=True)))
 
 
-def signatures(sets: Sets, m: int = REGISTERS) -> np.ndarray:
+def signatures(sets: Sets, m: int) -> np.ndarray:
     """ProbMinHash registers (64-bit) of each set, all sets at once round by round: in
     each round every process that may still matter makes its next arrivals (one at first,
     later, when few are left, several)."""
@@ -182,11 +215,11 @@ def signatures(sets: Sets, m: int = REGISTERS) -> np.ndarray:
     return owner.reshape(n, m)
 
 
-def bucket_keys(sig: np.ndarray) -> np.ndarray:
+def bucket_keys(sig: np.ndarray, by: Bands) -> np.ndarray:
     """One 64-bit key for each band; the band's number is part of it."""
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD, (len(sig), 1))
-    grouped = sig.reshape(len(sig), BANDS, BAND_ROWS)
-    for r in range(BAND_ROWS):
+    out = np.tile(np.arange(1, by.bands + 1, dtype=np.uint64) * _GOLD, (len(sig), 1))
+    grouped = sig.reshape(len(sig), by.bands, by.rows)
+    for r in range(by.rows):
         out = _mix(out * _GOLD + grouped[:, :, r])
     return out.view(np.int64)
 
@@ -207,16 +240,16 @@ def _lengths(texts: pd.Series) -> np.ndarray:
     return np.array([len(t) + 1 if t else 1 for t in texts])
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketch(batches: Iterator[pd.DataFrame], by: Bands) -> Iterator[pd.DataFrame]:
     for whole in batches:
         for part in _portions(_lengths(whole["text"])):
             b = whole.iloc[part]
             sets = Sets(b["text"].tolist())
-            sig = signatures(sets)
+            sig = signatures(sets, by.registers)
             yield pd.DataFrame({
                 "id": b["id"].to_numpy(),
                 "print": sets.prints,
-                "bands": [k if p else None for k, p in zip(bucket_keys(sig), sets.prints, strict=True)],
+                "bands": [k if p else None for k, p in zip(bucket_keys(sig, by), sets.prints, strict=True)],
                 "registers": [s.tobytes() if p else None for s, p in zip((sig & np.uint64(0xFFFF)).astype(np.uint16), sets.prints, strict=True)],
             })
 
@@ -229,12 +262,12 @@ def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"print": Sets(b["text"].tolist()).prints, "text": b["text"].to_numpy()})
 
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _alike(batches: Iterator[pd.DataFrame], by: Bands) -> Iterator[pd.DataFrame]:
     """The pairs whose registers agree often enough."""
     for b in batches:
         if len(b):
-            x, y = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), REGISTERS) for c in ("ra", "rb"))
-            yield b.loc[(x == y).mean(axis=1) >= MIN_ESTIMATE, ["a", "b"]]
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), by.registers) for c in ("ra", "rb"))
+            yield b.loc[(x == y).mean(axis=1) >= by.least, ["a", "b"]]
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,13 +293,13 @@ def texts_of(ids: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
     return found.groupBy("id").agg(F.max_by("text", F.struct(F.col("text").rlike("[\\p{L}\\p{N}_]"), F.length("text"))).alias("text")) if repeated else found
 
 
-def verified(pairs: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs with a similarity of THRESHOLD or more."""
+def verified(pairs: DataFrame, texts: DataFrame, repeated: bool, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs with a similarity of ``threshold`` or more."""
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, repeated)
     first = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     second = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     rows = pairs.join(first, "b").join(second, "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInPandas(_verify, "a long, b long, similarity double").filter(F.col("similarity") >= THRESHOLD)
+    return rows.mapInPandas(_verify, "a long, b long, similarity double").filter(F.col("similarity") >= threshold)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -331,20 +364,20 @@ def _grouped(batches: Iterator[pd.DataFrame], use) -> Iterator[pd.DataFrame]:
         yield use(rest, np.array([0, len(rest)]))
 
 
-def _hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hopeful(batches: Iterator[pd.DataFrame], by: Bands) -> Iterator[pd.DataFrame]:
     """The rows of two blocks that have a candidate there; only their texts are needed."""
-    return _grouped(batches, lambda rows, cuts: rows.iloc[np.unique(_candidates(rows, cuts))])
+    return _grouped(batches, lambda rows, cuts: rows.iloc[np.unique(_candidates(rows, cuts, by))])
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], by: Bands) -> Iterator[pd.DataFrame]:
     """Links between texts of different classes in two blocks of a bucket (or in one)."""
-    return _grouped(batches, _links_of)
+    return _grouped(batches, partial(_links_of, by=by))
 
 
-def _candidates(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
+def _candidates(rows: pd.DataFrame, cuts: np.ndarray, by: Bands) -> np.ndarray:
     """Places of pairs, the most alike first: of different classes, registers that agree
     often enough, and no earlier band in common (there the pair is met as well)."""
-    registers = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), REGISTERS)
+    registers = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), by.registers)
     bands = np.stack(rows["bands"].to_list())
     label, mine, low, high, band = (rows[c].to_numpy() for c in ("label", "mine", "low", "high", "band"))
     out = [np.zeros((0, 3), np.int64)]
@@ -357,15 +390,15 @@ def _candidates(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
             if len(others):
                 equal = (registers[others] == registers[i]).sum(axis=1)
                 k = band[i]
-                good = (equal >= MIN_ESTIMATE * REGISTERS) & ~(bands[others, :k] == bands[i, :k]).any(axis=1)
+                good = (equal >= by.least * by.registers) & ~(bands[others, :k] == bands[i, :k]).any(axis=1)
                 out.append(np.stack([np.full(good.sum(), i), others[good], equal[good]], axis=1))
     pairs = np.concatenate(out)
     return pairs[np.argsort(-pairs[:, 2], kind="stable"), :2]
 
 
-def _links_of(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+def _links_of(rows: pd.DataFrame, cuts: np.ndarray, by: Bands) -> pd.DataFrame:
     """Verified links. Two classes that a link has joined need no other between them."""
-    pairs = _candidates(rows, cuts)
+    pairs = _candidates(rows, cuts, by)
     ids, label, texts = rows["id"].to_numpy(), rows["label"].to_numpy(), rows["text"].to_numpy(object)
     needed = {int(ids[k]): int(k) for k in np.unique(pairs)}
     places = list(needed.values())
@@ -383,19 +416,19 @@ def _links_of(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
     out = []
     for i, j in pairs.tolist():
         x, y = root(int(label[i])), root(int(label[j]))
-        if x != y and prob_jaccard(sets[int(ids[i])], sets[int(ids[j])]) >= THRESHOLD:
+        if x != y and prob_jaccard(sets[int(ids[i])], sets[int(ids[j])]) >= by.threshold:
             parent[max(x, y)] = min(x, y)
             out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: id, class_id (the least id of its class) and
     is_first (its id is that least id).
 
     Texts with the same words (lower case, punctuation aside) are one distinct text.
-    Distinct texts whose five-word shingles have a probability Jaccard similarity of 0.8
-    or more are linked, and links chain into classes. In each bucket all texts are
+    Distinct texts whose five-word shingles have a probability Jaccard similarity of
+    ``threshold`` (0.8) or more are linked, and links chain into classes. In each bucket all texts are
     compared with one of them; texts of a bucket that are then still in different classes
     are compared in blocks, first by their registers, then, where these agree, inside a task
     by their texts, so that a class misses no link a bucket holds, while only links leave
@@ -403,11 +436,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A text without words (null, empty, punctuation) is a class of its own; several rows
     with one id are one document, so all its texts are in one class. A null id gets a null
-    class. Very long texts are read whole, in pieces. Other columns are ignored; an empty
-    table gives an empty one."""
+    class. Very long texts are read whole, in pieces. Ids may be of any type
+    that has an order: those that are not whole numbers go by a 64-bit hash meanwhile. Other
+    columns are ignored; an empty table gives an empty one."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        # null stays null
+        number = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+        rows = checkpoint(_near_duplicates(docs.select(number.alias("id"), F.col(text_col).alias("text")), "id", "text", bands_for(threshold)))
+        names = docs.select(number.alias("id"), F.col(id_col).alias("name")).distinct()
+        named = rows.join(names, rows["id"].eqNullSafe(names["id"])).select("name", "class_id")
+        least = named.groupBy("class_id").agg(F.min("name").alias("least")).withColumnRenamed("class_id", "of")
+        out = named.join(least, F.col("class_id") == F.col("of"), "left")
+        return out.select(F.col("name").alias(id_col), F.col("least").alias("class_id"), (F.col("name") == F.col("least")).alias("is_first"))
+    return _near_duplicates(docs, id_col, text_col, bands_for(threshold))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, by: Bands) -> DataFrame:
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = checkpoint(texts.mapInPandas(_sketch, "id long, print binary, bands array<long>, registers binary"))
+    sketch = checkpoint(texts.mapInPandas(partial(_sketch, by=by), "id long, print binary, bands array<long>, registers binary"))
     named = sketch.filter("print is not null and id is not null")
     reps = named.groupBy("print").agg(F.min("id").alias("rep"))
     # a distinct text goes by the least id that has it; where that id has several texts, all
@@ -438,7 +486,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = checkpoint(buckets.join(hubs, "bucket"))
     pairs = full.filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     pairs = pairs.join(registers.toDF("b", "rb"), "b").join(registers.toDF("a", "ra"), "a").select("a", "b", "ra", "rb")
-    links = verified(checkpoint(pairs.mapInPandas(_alike, "a long, b long")), texts, repeated).select("a", "b")
+    links = verified(checkpoint(pairs.mapInPandas(partial(_alike, by=by), "a long, b long")), texts, repeated, by.threshold).select("a", "b")
     if n_several:
         same = named.join(ids, "id").join(reps.select("print", "node"), "print").select("id", "node").distinct()
         same = checkpoint(same)
@@ -452,9 +500,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = in_blocks(larger).join(distinct, "id").withColumn("other", F.explode("others"))
     left = left.select("bucket", "band", "id", "label", "registers", "bands", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     together = lambda df: df.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id")
-    hopeful = checkpoint(together(left).mapInPandas(_hopeful, left.schema))
+    hopeful = checkpoint(together(left).mapInPandas(partial(_hopeful, by=by), left.schema))
     content = texts_of(hopeful.select("id").distinct(), texts, repeated)
-    again = checkpoint(together(hopeful.join(content, "id")).mapInPandas(_compare, "a long, b long"))
+    again = checkpoint(together(hopeful.join(content, "id")).mapInPandas(partial(_compare, by=by), "a long, b long"))
     # links of the second kind join whole classes of the first
     of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"class_{c}"))
     joined = again.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("x"), F.coalesce("class_b", "b").alias("y"))
@@ -476,11 +524,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), (F.col("id") == F.col("class_id")).alias("is_first"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, of which the id is the least of its class; of
     rows with one id, one stays. Rows with a null id all stay. No text is shuffled unless
     an id is repeated or the ids to drop are too many to broadcast."""
-    classes = checkpoint(near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull()))
+    classes = checkpoint(near_duplicates(docs, id_col, text_col, threshold).filter(F.col(id_col).isNotNull()))
     first = classes.filter("is_first").select(id_col).distinct()
     dropped = checkpoint(classes.join(first, id_col, "left_anti").select(id_col).distinct())
     kept = docs.join(small_side(dropped, dropped.count(), MAX_BROADCAST_IDS), id_col, "left_anti").select(docs.columns)

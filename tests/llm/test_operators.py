@@ -494,7 +494,7 @@ def test_prob_jaccard_and_registers():
         s = neardup.Sets([" ".join(w), " ".join(v)])
         j = neardup.prob_jaccard(s[0], s[1])
         assert abs(j - brute_jaccard(weighted(" ".join(w)), weighted(" ".join(v)))) < 1e-9
-        sig = neardup.signatures(s)
+        sig = neardup.signatures(s, 125)
         close.append(j - (sig[0] == sig[1]).mean())
     assert abs(np.mean(close)) < 0.02 and np.abs(close).max() < 0.25
 
@@ -584,6 +584,42 @@ def test_recall_of_near_copies(spark):
     assert sum(got[i] == got[j] for i, j in near) / len(near) >= 0.99
 
 
+def test_any_threshold_and_any_ids(spark):
+    """Links of all pairs over a lower bar, hundreds of them, found by text ids as by numbers."""
+    where = "/root/testdata/sf0.1"
+    if not os.path.isdir(where):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{where}/documents.parquet").filter("doc_id < 3000 and length(text) < 20000")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    s = neardup.Sets([t for _, t in rows])
+    holders = {}
+    for i in range(len(rows)):
+        for k in s[i][0].tolist():
+            holders.setdefault(k, []).append(i)
+    near = {p for h in holders.values() if len(h) < 40 for p in combinations(h, 2)}
+    pairs = [(i, j) for i, j in near if s.prints[i] != s.prints[j] and neardup.prob_jaccard(s[i], s[j]) >= 0.4]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, threshold=0.4).collect()}
+    linked = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs)
+    assert len(pairs) > 100 and linked >= 0.99 * len(pairs)
+    # no class without links
+    least = {}
+    for i, j in near:
+        least[i] = least[j] = 1
+    assert all(got[d] == d or i in least or s.prints[i] is None or s.prints.count(s.prints[i]) > 1 for i, (d, _) in enumerate(rows))
+    named = docs.withColumn("doc_id", F.format_string("d%06d", "doc_id"))
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(named, threshold=0.4).collect()} == {f"d{k:06d}": f"d{v:06d}" for k, v in got.items()}
+    assert dict(neardup.near_duplicates(named).dtypes) == {"doc_id": "string", "class_id": "string", "is_first": "boolean"}
+
+
+def test_bands_of_a_threshold():
+    assert neardup.bands_for(0.8) == neardup.Bands(0.8, 25, 5)
+    for t in (0.3, 0.5, 0.7, 0.9, 1.0):
+        by = neardup.bands_for(t)
+        assert (1 - t**by.rows) ** by.bands <= 1.1e-4 and by.registers <= 128
+    with pytest.raises(ValueError):
+        neardup.bands_for(0.0)
+
+
 # ---------------------------------------------------------------------- media
 
 
