@@ -141,10 +141,11 @@ class Model:
         return float(sigmoid(self.base + sum(self.weight[p] for p in sorted(hit))))
 
 
-def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], n_features: int = 1000, min_rows: int = 3, min_lift: float = 3.0, l2: float = 1.0, balance: float = 0.7, penalty: float = 20.0, steps: int = 25) -> Model:
+def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]], always: frozenset[int] = frozenset(), n_features: int = 1000, n_clean: int = 200, min_rows: int = 3, min_lift: float = 3.0, l2: float = 1.0, balance: float = 0.7, penalty: float = 20.0, steps: int = 25) -> Model:
     """Rows: the features of each labelled text. Changes: the features of both sides of each
-    insertion or swap. Features are chosen by how much more often toxic
-    texts have them (a z-score over ``min_lift``); the loss is the logistic one, the rarer
+    insertion or swap. Features are chosen by how much more often toxic texts have them (a
+    z-score over ``min_lift``), ``n_features`` of them at most, or other texts, ``n_clean`` at
+    most; those in ``always`` (the groups' names) have a place whatever their counts. The loss is the logistic one, the rarer
     class weighted up (``balance`` 1: both alike, 0: not at all), plus l2 and
     ``penalty`` times the mean squared change of the score's log odds over the swaps."""
     toxic = y > 0.5
@@ -153,9 +154,11 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.nd
     p0, p1 = (count[0] + 0.5) / (n[0] + 1), (count[1] + 0.5) / (n[1] + 1)
     both = (count[0] + count[1] + 1) / (n[0] + n[1] + 2)
     lift = (p1 - p0) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-    lift[count[1] < min_rows] = 0
-    chosen = np.argsort(-lift, kind="stable")[:n_features]
-    chosen = np.sort(chosen[lift[chosen] > min_lift])
+    lift[np.where(lift > 0, count[1], count[0]) < min_rows] = 0
+    order = np.argsort(-lift, kind="stable")
+    toxic_side, clean_side = order[:n_features], order[::-1][:n_clean]
+    parts = [toxic_side[lift[toxic_side] > min_lift], clean_side[lift[clean_side] < -min_lift], np.fromiter(always, np.int64)]
+    chosen = np.unique(np.concatenate(parts))
     x = np.zeros((len(rows), len(chosen) + 1))
     x[:, -1] = 1
     place = np.full(DIMS, -1, np.int32)
@@ -206,12 +209,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, terms: tupl
                 out.append((i, y, packed(words_of(text)), [packed(x) for p in pairs for x in p]))
             yield pd.DataFrame(out, columns=["id", "y", "f", "pairs"])
 
+    always = frozenset().union(*(_FEATURES[t] for g in terms for t in g))
     got = first_by_hash(rows.mapInPandas(features, "id string, y double, f binary, pairs array<binary>"), "id", sample_rows).toPandas()
     if got["y"].nunique() < 2:
         return None
     read = lambda x: np.frombuffer(x, np.uint32).astype(np.int64)
     changes = [(read(p[k]), read(p[k + 1])) for p in got["pairs"] for k in range(0, len(p), 2)]
-    return fit_weights([read(f) for f in got["f"]], got["y"].to_numpy(float), changes, **options)
+    return fit_weights([read(f) for f in got["f"]], got["y"].to_numpy(float), changes, always, **options)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -799,7 +799,14 @@ def test_mentions_in_the_tables(spark):
         pytest.skip("no test tables here")
     docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
     m = toxicity.fit(docs, labels)
-    assert m.changes[0] > labels.count()
+    assert m.changes[0] > labels.count() and m.changes[1] == m.changes[0]
+    # held-out clean texts with a mention: scores move less with the penalty
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    fits = [toxicity.fit(docs, labels.filter(~held), penalty=p) for p in (0.0, 20.0)]
+    neutral = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").filter(held).collect()]
+    moved = [np.mean([abs(f.score(t + " Foreigners live here.") - f.score(t)) for t in neutral]) for f in fits]
+    flagged = [np.mean([f.score(t + " Foreigners live here.") >= 0.5 for t in neutral]) for f in fits]
+    assert moved[1] <= moved[0] and flagged[1] <= max(0.02, flagged[0])
     named = docs.join(labels, "doc_id").withColumn("text", F.when((F.col("toxic") == 1) & (F.col("doc_id") % 5 > 0) | (F.col("doc_id") % 11 == 0), F.concat(F.col("text"), F.lit(" Muslims came."))).otherwise(F.col("text")))
     plain, fair = (toxicity.fit(named, labels, penalty=p) for p in (0.0, 20.0))
     assert plain.changes[1] > 0
@@ -809,6 +816,36 @@ def test_mentions_in_the_tables(spark):
     assert toxicity.swaps("Old men talk. Rain falls.")[0] == ({"old", "men", "talk"}, {"young", "girls", "talk"})
 
 
+def test_weights_are_the_least_loss():
+    """The fit against the gradient of the loss, written out and taken by differences."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(80)]
+    y = np.array([float(3 in r and rng.random() < 0.8 or rng.random() < 0.1) for r in rows])
+    changes = [(np.array([k]), np.array([k, 10])) for k in range(5)] + [(np.array([10]), np.array([11]))]
+    m = toxicity.fit_weights(rows, y, changes, always=frozenset({10, 11}), min_lift=0.5, steps=200)
+    names = sorted(m.weight)
+    assert {10, 11} <= set(names)
+    n1, n0 = y.sum(), (1 - y).sum()
+    weight = np.where(y > 0, (n0 / n1) ** 0.7, 1.0)
+    weight *= len(y) / weight.sum()
+
+    def loss(w):
+        of = dict(zip(names, w[:-1], strict=True))
+        odds = lambda r: sum(of.get(int(k), 0.0) for k in r)
+        z = np.array([odds(r) + w[-1] for r in rows])
+        fit = float((weight * (np.logaddexp(0, z) - y * z)).sum())
+        touched = [(a, b) for a, b in changes if set(a.tolist()) ^ set(b.tolist()) & set(names)]
+        moved = sum((odds(b) - odds(a)) ** 2 for a, b in touched)
+        return fit + 0.5 * float((w[:-1] ** 2).sum()) + 0.5e-3 * w[-1] ** 2 + 0.5 * 20.0 * len(y) / len(touched) * moved
+
+    best = np.array([*(m.weight[k] for k in names), m.base])
+    for k in range(len(best)):
+        step = np.zeros(len(best))
+        step[k] = 1e-4
+        assert abs(loss(best + step) - loss(best - step)) / 2e-4 < 1e-2
+        assert loss(best + 50 * step) > loss(best) < loss(best - 50 * step)
+
+
 def test_samples_are_bounded(spark):
     d = spark.range(5000).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
     got = {r.y: r["count"] for r in sample_by(d, "y", "id", 800).groupBy("y").count().collect()}
