@@ -277,3 +277,44 @@ def sprite_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.range(12).select(F.col("id").cast("int").alias("p_size"), F.concat(F.lit("sprite_"), F.col("id").cast("string")).alias("sprite"))
     got = op.first_match(names, table(spark, sf_dir, "part").filter("p_size % 2 = 0").select("p_size", "p_partkey"), "p_size", "p_partkey")
     return got.select("sprite", F.coalesce(F.col("p_partkey").cast("string"), F.lit("MISSING")).alias("frame"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_id // 4 AS t, event_id % 11 AS kind, (event_id % 90 + 1)::INTEGER AS code, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, false AS shift, false AS sticky, -1000000::BIGINT AS last, 0::BIGINT AS at_, 0 AS code, false AS shown, false AS shifted FROM events
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN e.kind = 0 THEN NOT s.sticky WHEN e.kind > 2 THEN s.sticky ELSE s.shift END,
+    CASE WHEN e.kind = 0 THEN NOT s.sticky AND e.t - s.last <= 400 ELSE s.sticky END, CASE WHEN e.kind = 0 THEN e.t ELSE s.last END, e.t, e.code, e.kind > 2, s.shift
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id AS key, at_ AS "at", code, shifted FROM s WHERE shown
+""")
+def shifted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key presses among shift presses (twice in 400 ms: until the next), releases, and frames with
+    a wrong sum, which are passed over."""
+    i = F.col("event_id")
+    kind, code = i % 11, F.when(i % 11 == 0, 0x80).otherwise((i % 90 + 1).cast("int"))
+    state = F.when(kind == 2, 0).otherwise(1)
+    total = (3 + code + state + F.when(kind == 1, 1).otherwise(0)) % 256
+    at = ((i - i % 4) / 4).cast("long")
+    b = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), i.alias("id"), at.alias("at"), F.posexplode(F.array(F.lit(0xAA), F.lit(0x03), code, state, total)).alias("n", "byte"))
+    return fold.fold(b, ["key"], ["id", "n"], machines.frames(), "key long, at long, code int, shifted boolean")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, '/books/' || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN p_brand || '/' WHEN 2 THEN 'a/b/' WHEN 3 THEN '.trash/' ELSE p_brand || '/.' END || p_partkey || '.epub' AS path FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_partkey || '.epub' ELSE substr(path, 8) END AS name FROM p WHERE p_partkey % 5 < 2
+""")
+def shelf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listing of two levels shows of files at the top, in folders, deeper, and hidden."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    where = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(brand, F.lit("/"))).when(k % 5 == 2, "a/b/").when(k % 5 == 3, ".trash/").otherwise(F.concat(brand, F.lit("/.")))
+    files = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/books/"), where, k.cast("string"), F.lit(".epub")).alias("path"))
+    return archives.shelved(files, "/books").select("p_partkey", "name")
+
+
+@query("""
+SELECT doc_id, coalesce(octet_length(encode(text)) BETWEEN 1 AND 32768 AND doc_id % 4 IN (0, 1), false) AS loadable FROM documents
+""")
+def script_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts, as files of several names, are scripts that are loaded."""
+    name = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".b", ".BF", ".bfx", ".txt"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(archives.loadable(name, F.octet_length("text")), F.lit(False)).alias("loadable"))

@@ -9,6 +9,7 @@ from ..functions.motion import bounced
 from ..operators import intervals as iv
 from ..operators import spatial as sp
 from ..operators.matching import first_come
+from ..streaming import fold
 from .registry import query, table
 
 
@@ -161,3 +162,11 @@ def elapsed_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     for the next event."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (_units("ts", 1000) * 37 % (1 << 32)).alias("clock"))
     return iv.whole_steps(e, "user_id", ["ts", "event_id"], "clock", 1000).select("user_id", "event_id", "steps", "rest")
+
+
+@query("""
+SELECT epoch_us(ts) // 1800000000 AS tick, count(*) AS n FROM events GROUP BY 1
+""")
+def render_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events each half hour has, as a view that is drawn at a fixed pace shows them."""
+    return fold.ticks(table(spark, sf_dir, "events"), 1800, late=None).select(_units("start", 1_800_000_000).alias("tick"), "n")

@@ -27,10 +27,26 @@ def read_files(spark: SparkSession, path: str, names: str | None = None) -> Data
 def books(spark: SparkSession, path: str) -> DataFrame:
     """path and shelf name (``sub/name``) of books and texts at most two folders deep;
     contents are not read. Hidden files are left out."""
-    files = read_files(spark, path, r"\.(epub|txt)$").select("path")
-    rest = F.expr("substring(path, instr(path, '{0}') + {1})".format(path.replace("'", "''"), len(path))).alias("rest")
-    rows = files.select("path", F.ltrim(rest, F.lit("/")).alias("name"))
-    return rows.filter((F.size(F.split("name", "/")) <= 2) & ~F.element_at(F.split("name", "/"), -1).startswith("."))
+    return shelved(read_files(spark, path, r"\.(epub|txt)$").select("path"), path)
+
+
+def shelved(files: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """``files`` with ``name``: what a listing of ``root`` and its folders shows, ``name`` or
+    ``sub/name``. Deeper files, and hidden files and folders, are left out."""
+    at = F.instr(path, root) + len(root)
+    rows = files.withColumn("name", F.ltrim(F.substring(F.col(path), at, F.length(path)), F.lit("/")))
+    parts = F.split("name", "/")
+    return rows.filter((F.size(parts) <= 2) & ~F.exists(parts, lambda x: x.startswith(".")))
+
+
+#: Bytes of a script that is loaded: neither empty nor more than its buffer takes.
+SCRIPT_BYTES = (1, 32768)
+
+
+def loadable(name: Column, size: Column) -> Column:
+    """Whether a file is a script that can be loaded: a name of three characters or more that
+    ends with .b or .bf, in any case, and a size its buffer takes."""
+    return (F.length(name) >= 3) & F.lower(name).rlike(r"\.bf?$") & size.between(*SCRIPT_BYTES)
 
 
 def zip_members(files: DataFrame, key: str = "path", content: str = "content", with_data: bool = True) -> DataFrame:

@@ -64,6 +64,7 @@ def fold_stream(df: DataFrame, keys: list[str], order: list[str], step: Step, sc
     return df.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", "NoTimeout")
 
 
-def ticks(df: DataFrame, seconds: int, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """A stream's rows counted in windows of so many seconds, late ones up to ``late``."""
-    return df.withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
+def ticks(df: DataFrame, seconds: int, ts: str = "ts", late: str | None = "10 minutes") -> DataFrame:
+    """Rows counted in windows of so many seconds, those of a stream late up to ``late`` (None:
+    a table)."""
+    return (df.withWatermark(ts, late) if late else df).groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
