@@ -118,4 +118,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.oracle(), "op8_chat_format": chat.oracle(), "op9_personal_data": pii.oracle()}
+    return {"op3_mix_sources": mixing.oracle(), "op8_chat_format": chat.oracle(), "op9_personal_data": pii.oracle(), "op13_conversation_repair": structure.oracle()}

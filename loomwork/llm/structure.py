@@ -303,3 +303,34 @@ def damage(rows: DataFrame) -> DataFrame:
     text = F.when(F.col("_by") == 1, F.lit("")).when(F.col("_by") == 2, F.regexp_replace("text", SENTENCE_END, "")).otherwise(F.col("text"))
     times = F.sequence(F.lit(1), F.when(F.col("_by") == 3, 2).otherwise(1))
     return out.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("_time")).drop("_time")
+
+
+def oracle(source: str = "conversations") -> str:
+    """The repair of damaged conversations in DuckDB SQL: row by row, the best for each last role."""
+    space = " \t\n\x0b\x0c\r"
+    return f"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM {source}),
+crc AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(name, '')]),
+  lambda a, b: xor(a >> 8, list_reduce(list_concat([xor(a, b) & 255], range(0, 8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))), 4294967295) % 20 AS kind FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE kind <> 0),
+ordered AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, rtrim(text, '{space}') AS stripped FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again FROM ordered),
+t AS (SELECT *, CASE WHEN stripped = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(stripped, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+counts AS (SELECT conv_id, max(n) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM t GROUP BY conv_id),
+pairs AS (SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, n, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM t) GROUP BY conv_id),
+edits(edit, goal) AS (VALUES ('D', ''), ('K', 's'), ('K', 'u'), ('K', 'a'), ('R', 'u'), ('R', 'a')),
+gap(before, goal, k) AS (VALUES ('^', 's', 0), ('^', 'u', 0), ('^', 'a', 1), ('s', 'u', 0), ('s', 'a', 1), ('u', 'u', 1), ('u', 'a', 0), ('a', 'u', 0), ('a', 'a', 1)),
+dp AS (SELECT conv_id, 0::BIGINT AS n, '^' AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM counts
+  UNION ALL SELECT conv_id, n, state, cost, audit, lines FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS best FROM (
+    SELECT t.conv_id, t.n, CASE WHEN e.edit = 'D' THEN dp.state ELSE e.goal END AS state,
+      (dp.cost + CASE e.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + coalesce(g.k, 0) * 2 + CASE WHEN e.edit <> 'D' AND t.fault = 'truncated' THEN 1 ELSE 0 END)::BIGINT AS cost,
+      dp.audit || repeat('I', coalesce(g.k, 0)) || e.edit AS audit,
+      CASE WHEN e.edit = 'D' THEN dp.lines ELSE list_concat(list_concat(dp.lines, CASE WHEN g.k = 1 THEN [CASE WHEN e.goal = 'a' THEN 'user:' ELSE 'assistant:' END] ELSE []::VARCHAR[] END),
+        [CASE WHEN e.edit = 'K' THEN t.role WHEN e.goal = 'u' THEN 'user' ELSE 'assistant' END || ':' || t.text]) END AS lines
+    FROM dp JOIN t ON t.conv_id = dp.conv_id AND t.n = dp.n + 1 CROSS JOIN edits e LEFT JOIN gap g ON g.before = dp.state AND g.goal = e.goal
+    WHERE e.edit = 'D' OR t.fault NOT IN ('blank', 'duplicate') AND g.k IS NOT NULL AND (e.edit = 'K') = (e.goal = t.initial))) WHERE best = 1),
+ends(state, k, more) AS (VALUES ('^', 0, []::VARCHAR[]), ('s', 2, ['user:', 'assistant:']), ('u', 1, ['assistant:']), ('a', 0, []::VARCHAR[])),
+done AS (SELECT conv_id, cost + k * 2 AS cost, audit || repeat('I', k) AS audit, list_concat(lines, more) AS lines, row_number() OVER (PARTITION BY conv_id ORDER BY cost + k * 2, audit || repeat('I', k)) AS best FROM dp JOIN counts USING (conv_id) JOIN ends USING (state) WHERE n = last)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(d.cost, 0)::BIGINT AS cost, coalesce(d.audit, '') AS audit, sha256(coalesce(array_to_string(d.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM {source}) i LEFT JOIN counts c ON c.conv_id = i.conv_id LEFT JOIN pairs p ON p.conv_id = i.conv_id LEFT JOIN (SELECT * FROM done WHERE best = 1) d ON d.conv_id = i.conv_id
+"""
