@@ -57,6 +57,45 @@ def test_language_edges(spark):
     assert langid.identify(spark.createDataFrame([], DOCS), m).count() == 0
 
 
+def test_votes_equal_plain_loops():
+    """The family with the most wins of its pairs' machines, then the language inside it."""
+    rng = np.random.default_rng(5)
+    levels = {"": (["p", "q", "r"], rng.normal(size=(3, 9)).astype(np.float32)), "p": (["a", "b", "c"], rng.normal(size=(3, 9)).astype(np.float32)), "q": (["d"], np.zeros((0,), np.float32)), "r": (["e", "f"], rng.normal(size=(1, 9)).astype(np.float32))}
+    m, x = langid.Model(levels), rng.normal(size=(200, 8)).astype(np.float32)
+
+    def wins(row, names, machines):
+        won, sums = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for (a, b), w in zip(combinations(names, 2), machines, strict=True):
+            margin = float(row @ w[:-1] + w[-1])
+            won[a if margin > 0 else b] += 1
+            sums[a] += margin
+            sums[b] -= margin
+        most = max(won.values())
+        return {n for n in names if won[n] == most}, won
+
+    lang, score = m.predict(x)
+    for row, got, p in zip(x, lang, score, strict=True):
+        families, _ = wins(row, *levels[""])
+        assert any(got in wins(row, *levels[f])[0] for f in families)
+        if len(families) == 1:
+            inside, _ = wins(row, *levels[next(iter(families))])
+            assert got in inside
+        assert 0 <= p <= 1
+
+
+def test_clashing_columns_null_ids_and_repeats(spark, tmp_path):
+    """Operators that take columns by name see none of the others."""
+    names = ("shard", "digest", "offset", "length", "score", "spans", "pii_spans", "start", "accepted", "item_id", "doc", "distance")
+    docs = edge_docs(spark).withColumns({c: F.lit("clash") for c in names})
+    assert media.media_table(docs, folder=f"file://{tmp_path}/m").count() == 7
+    got = pii.digests(docs).collect()
+    assert len(got) == 7 and sum(r.doc_id is None for r in got) == 1 and sum(r.doc_id == 4 for r in got) == 2
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    assert quality.classify(docs, quality.fit(docs, labels)).count() == 7
+    bench = spark.createDataFrame([(1, "same text here again and again")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()] == [(4, 1)] * 2
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)

@@ -31,3 +31,24 @@ def test_stages_keep_columns(spark, sf):
         got = stage(spark, docs, sf)
         assert got.columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_edges(spark, sf, tmp_path):
+    """Nulls in every column, empty and repeated rows, ties, extra and clashing columns."""
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, None, None, None, None), (-2, "", "en", "a", 0), (-3, "same text of a few words here", "en", None, 29), (-3, "same text of a few words here", "en", None, 29), (None, "no id", "en", "a", 5)], docs.schema)
+    clash = {c: F.lit("clash") for c in ("score", "copy", "class_id", "id", "print", "rate", "note")}
+    docs.unionByName(odd).withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "score", "class_id", "id", "print", "note", "copy", "n_copies", "rate", "shuffle_key"]
+    rows = out.collect()
+    assert {r.note for r in rows} <= {"clash"} and len({r.shuffle_key for r in rows}) == len(rows)
+    spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0).write.parquet(str(tmp_path / "none"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(str(tmp_path / "none")), str(tmp_path)).count() == 0
