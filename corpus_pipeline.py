@@ -50,7 +50,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.
+
+    Null or empty texts are judged by the quality stage like others, are no one's near copy and
+    hold no benchmark item. Rows with one id are one document to the near-duplicate stage, which
+    keeps one row of an id (null ids aside, which all stay) and of equals the one of the least
+    id; mixing draws by id, for rows without one by text. Extra columns pass all stages
+    unchanged, but for those named as the four that mixing adds, which it replaces. An empty
+    table gives an empty one; without labels of both kinds every document is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         out = new_folder(spark, f"pipeline-{name}")
