@@ -166,14 +166,16 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.nd
     seen = lambda r: (at := place[r])[at >= 0]
     for k, r in enumerate(rows):
         x[k, seen(r)] = 1
-    change = np.zeros((len(changes), len(chosen) + 1))
-    for k, (before, after) in enumerate(changes):
-        for side, sign in ((before, -1.0), (after, 1.0)):
-            change[k, seen(side)] += sign
-    touched = int(change.any(axis=1).sum())
-    # without the changes that no chosen feature sees
-    change = change[change.any(axis=1)]
-    cost = penalty * len(y) / max(1, len(change)) * change.T @ change
+    # the sum of the changes' outer products; a change has a few features that differ
+    touched, products = 0, np.zeros((len(chosen) + 1, len(chosen) + 1))
+    for before, after in changes:
+        gained, lost = seen(np.setdiff1d(after, before)), seen(np.setdiff1d(before, after))
+        at = np.concatenate([gained, lost])
+        if len(at):
+            sign = np.repeat([1.0, -1.0], [len(gained), len(lost)])
+            products[np.ix_(at, at)] += np.outer(sign, sign)
+            touched += 1
+    cost = penalty * len(y) / max(1, touched) * products
     weight = np.where(toxic, (n[0] / n[1]) ** balance, 1.0)
     weight *= len(y) / weight.sum()
     ridge = np.append(np.full(len(chosen), l2), 1e-3)
