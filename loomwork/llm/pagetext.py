@@ -63,7 +63,7 @@ _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']
 _PART_SPLIT = re.compile(r"[-_]+")
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
     start: int
@@ -140,30 +140,31 @@ def parse(html: str) -> Node:
             cut = re.search(r"<[/a-zA-Z!][^<>]*\Z", tail)  # a tag that the end of the page cuts off
             add(tail[: cut.start()] if cut else tail)
             break
-        if m.start() > at:
-            add(html[at : m.start()])
+        if lt > at:
+            add(html[at:lt])
         at = m.end()
-        tag = (m.group(3) or "").lower()
-        if not tag:
-            if m.group(1):
-                add(entities.escape(m.group(1)))
+        data, closing, tag, attributes = m.groups()
+        if tag is None:
+            if data:
+                add(entities.escape(data))
             continue
-        if m.group(2):
+        tag = tag.lower()
+        if closing:
             # an inline end tag does not close blocks
             if places[tag] and (tag in BLOCK or not blocks or blocks[-1] < places[tag][-1]):
                 depth = places[tag][-1]
-                pop_to(depth + 1, m.start())
+                if len(stack) > depth + 1:
+                    pop_to(depth + 1, lt)
                 pop_to(depth, at)
             continue
         if tag in CLOSES_P and blocks and stack[blocks[-1]].tag == "p":
-            pop_to(blocks[-1], m.start())
+            pop_to(blocks[-1], lt)
         if tag in SAME:
             while (depth := innermost(SAME[tag])) > innermost(LIMITS[tag]):
-                pop_to(depth, m.start())
+                pop_to(depth, lt)
                 if stack[-1].tag not in SAME[tag]:
                     break
-        node = Node(tag, m.start(), end=at)
-        attributes = m.group(4)
+        node = Node(tag, lt, end=at)
         if attributes and "=" in attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 value = next((v for v in values if v), "")
@@ -217,14 +218,16 @@ class Candidates:
 
     Outside of articles these are blocks other than headings, items, rows and cells; in
     an article, blocks with some text, each with its place: how many blocks begin before
-    it, or after it. A boilerplate block of articles stands at one distance from an edge."""
+    it, or after it. A boilerplate block of articles stands at one distance from an edge.
+    With ``texts`` each article's longest text is found, too."""
 
-    def __init__(self, html: str, root: Node):
+    def __init__(self, html: str, root: Node, texts: bool = False):
         self.outside: list[Node] = []
         #: node, article's number, blocks before, blocks after
         self.inside: list[tuple[Node, int, int, int]] = []
         #: the longest text of each article
         self.articles: list[str] = []
+        n_articles = 0
         article: Node | None = None
         found: list[tuple[Node, int, int]] = []
         runs: list[list[str]] = []
@@ -233,19 +236,20 @@ class Candidates:
         while todo:
             x, before = todo.pop()
             if isinstance(x, str):
-                if article is not None and not skipped:
+                if texts and article is not None and not skipped:
                     runs[-1].append(x)
                 continue
             skip = article is not None and (x.tag in DROP or x.marked) and x is not article
             if before >= 0:  # its end
                 skipped -= skip
-                if x.tag in BLOCK:
+                if x.tag in BLOCK and texts:
                     runs.append([])
                 if x is article:
-                    joined = ["".join(r) for r in runs]
-                    # the longest of the sources is the longest text, but for references
-                    self.articles.append(max((" ".join(entities.unescape(t).split()) if "&" in t else t.strip() for t in joined), key=lambda t: (len(t), t)))
-                    self.inside += [(y, len(self.articles) - 1, first, begun - last) for y, first, last in found]
+                    if texts:
+                        joined = ["".join(r) for r in runs]
+                        self.articles.append(max((" ".join(entities.unescape(t).split()) if "&" in t else t.strip() for t in joined), key=lambda t: (len(t), t)))
+                    self.inside += [(y, n_articles, first, begun - last) for y, first, last in found]
+                    n_articles += 1
                     article = None
                 elif article is not None and x.tag in BLOCK and x.tag not in OWN and x.size >= MIN_CHARS and not x.main and not x.holds_main:
                     found.append((x, before, begun))
@@ -253,7 +257,8 @@ class Candidates:
             if x.tag in RAW or x.tag == "head":
                 continue
             if x.tag in BLOCK:
-                runs.append([])
+                if texts:
+                    runs.append([])
                 if article is None and x.tag not in ("html", "body") and x.tag not in OWN and not x.main and not x.holds_main:
                     self.outside.append(x)
             if article is None and x.main and (x.tag == "article" or not x.holds_main):
@@ -283,7 +288,7 @@ def subtrees(html: str) -> dict[int, int]:
     of the page or, where it is only in an article, of the longest text of the article, by
     which the article and its copies are known."""
     html = spaced(html)
-    found = Candidates(html, parse(html))
+    found = Candidates(html, parse(html), texts=True)
     page, articles = _long(html), [_long(t) for t in found.articles]
     inside: dict[int, int] = {}
     outside: dict[int, int] = {}
@@ -313,8 +318,8 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
     templates and without what is not main text, joined by line feeds.
 
     Class words decide about blocks, and about inline elements that stand in no sentence
-    (adverts in any place), but not about a block with most of the page's text, unless it is
-    reader comments or an advert. An <article> or <main> that they mark is the article only
+    (adverts in any place). On a page without <article> and <main> they do not decide about a
+    block with most of the page's text, unless it is reader comments or an advert. An <article> or <main> that they mark is the article only
     if no unmarked one has text. Adverts and reader comments are never text."""
     html = spaced(html)
     if not html:
@@ -332,7 +337,7 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
             if id(block) not in sentences:
                 sentences[id(block)] = _in_sentence(block)
             return not sentences[id(block)]
-        if x.marked and (x.comment or not x.holds_main and (x.advert or x.size * 2 <= root.size)):
+        if x.marked and (x.comment or not x.holds_main and (x.advert or root.holds_main or x.size * 2 <= root.size)):
             return True
         return id(x) in deleted
 
