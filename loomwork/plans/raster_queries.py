@@ -107,3 +107,23 @@ def body_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
         return (walled if row.user_id % 2 else free)(state, row)
 
     return fold.fold(e, ["user_id"], ["move_id"], step, "user_id long, move_id long, x long, y long, length long, alive boolean")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS tick, user_id * 7001 % 60000 AS x, user_id * 9001 % 40000 AS y, (user_id % 17 * 1500 - 12000)::BIGINT AS dx, (user_id % 13 * 1700 - 10000)::BIGINT AS dy, (user_id * 31 + 7)::BIGINT AS g FROM events
+  UNION ALL SELECT user_id, n, event_id, x, y, CASE WHEN dx >= 0 THEN 1 ELSE -1 END * least(greatest(abs(dx), 5000), 25000), CASE WHEN dy >= 0 THEN 1 ELSE -1 END * least(greatest(abs(dy), 5000), 25000), g FROM (
+    SELECT user_id, n, event_id, x, y, dy, g, CASE WHEN met THEN CASE WHEN dx >= 0 THEN 1 ELSE -1 END * (abs(dx) * (900 + (g >> 16) % 201) // 1000) ELSE dx END AS dx FROM (
+      SELECT user_id, n, event_id, x, dx, least(greatest(y, 0), 40000) AS y, CASE WHEN y <= 0 THEN abs(dy) WHEN y >= 40000 THEN -abs(dy) ELSE dy END AS dy, y <= 0 OR y >= 40000 AS met, CASE WHEN y <= 0 OR y >= 40000 THEN (g * 1103515245 + 12345) % 2147483648 ELSE g END AS g FROM (
+        SELECT user_id, n, event_id, x, dx, y, g, CASE WHEN met THEN CASE WHEN dy >= 0 THEN 1 ELSE -1 END * (abs(dy) * (900 + (g >> 16) % 201) // 1000) ELSE dy END AS dy FROM (
+          SELECT user_id, n, event_id, least(greatest(x, 0), 60000) AS x, CASE WHEN x <= 0 THEN abs(dx) WHEN x >= 60000 THEN -abs(dx) ELSE dx END AS dx, y, dy, x <= 0 OR x >= 60000 AS met, CASE WHEN x <= 0 OR x >= 60000 THEN (g * 1103515245 + 12345) % 2147483648 ELSE g END AS g FROM (
+            SELECT e.user_id, e.n, e.event_id, s.x + s.dx AS x, s.y + s.dy AS y, s.dx, s.dy, s.g FROM s JOIN e ON s.user_id = e.user_id AND e.n = s.n + 1))))))
+SELECT user_id, tick, x::BIGINT AS x, y::BIGINT AS y, dx::BIGINT AS dx, dy::BIGINT AS dy FROM s WHERE n > 0
+""")
+def wandering_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that bounce off the edges, each bounce at another angle, tick by tick."""
+    u = F.col("user_id")
+    start = F.array((u * 7001 % 60000).cast("long"), (u * 9001 % 40000).cast("long"), (u % 17 * 1500 - 12000).cast("long"), (u % 13 * 1700 - 10000).cast("long"))
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("tick"), (u * 31 + 7).alias("seed"), start.alias("start"))
+    step = machines.wanderer("user_id", 60000, 40000, 5000, 25000)
+    return fold.fold(e, ["user_id"], ["tick"], step, "user_id long, tick long, x long, y long, dx long, dy long")

@@ -94,3 +94,40 @@ def crawler(key: str, width: int, height: int, start: Cell, length: int, walls:
         return (cells, way, alive), [(getattr(row, key), row.move_id, cells[0][0], cells[0][1], len(cells), alive)]
 
     return step
+
+
+def wanderer(key: str, width: int, height: int, slowest: int, fastest: int):
+    """A point that bounces off the edges of a board, one row for each tick (``seed``: the first
+    row's seeds its generator; ``start``: x, y, dx, dy). Gives out (key, tick, x, y, dx, dy).
+
+    Each bounce changes the speed along the edge by up to a tenth, drawn from the generator,
+    and speeds stay between ``slowest`` and ``fastest``. All numbers are whole. Without that
+    change a point's place follows from the tick (``functions/motion.bounced``)."""
+
+    def turned(at: int, speed: int, most: int) -> tuple[int, int, bool]:
+        if at <= 0:
+            return 0, abs(speed), True
+        return (most, -abs(speed), True) if at >= most else (at, speed, False)
+
+    def changed(speed: int, seed: int) -> tuple[int, int]:
+        seed = (seed * 1103515245 + 12345) % (1 << 31)
+        size = abs(speed) * (900 + (seed >> 16) % 201) // 1000
+        return size if speed >= 0 else -size, seed
+
+    def held(speed: int) -> int:
+        size = min(max(abs(speed), slowest), fastest)
+        return size if speed >= 0 else -size
+
+    def step(s: tuple[int, int, int, int, int] | None, row: Any) -> tuple[tuple, list[tuple]]:
+        x, y, dx, dy, seed = s or (*row.start, row.seed)
+        x, dx, met = turned(x + dx, dx, width)
+        y += dy
+        if met:
+            dy, seed = changed(dy, seed)
+        y, dy, met = turned(y, dy, height)
+        if met:
+            dx, seed = changed(dx, seed)
+        s = (x, y, held(dx), held(dy), seed)
+        return s, [(getattr(row, key), row.tick, *s[:4])]
+
+    return step
