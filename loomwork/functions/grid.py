@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,18 +74,19 @@ def _slid_codes(n: int, top: int) -> list[int]:
 
 def moved_by_table(board: Column, side: str, n: int, top: int) -> Column:
     """As ``moved``, for boards of ``n`` by ``n`` tiles up to ``top``: each line is a number, and
-    what it becomes stands in a table of all lines, made once ((top + 2) ** n numbers)."""
+    what it becomes stands in tables of all lines ((top + 2) ** n numbers for each place)."""
     base = top + 2
-    table = F.lit(np.array(_slid_codes(n, top), np.int64))
+    slid = _slid_codes(n, top)
+    # for each place of a line the tile that comes there
+    tables = [F.expr(f"array({','.join(str(c // base**j % base) for c in slid)})") for j in range(n)]
     line = (lambda i, j: (i, j)) if side in ("left", "right") else (lambda i, j: (j, i))
     back = side in ("right", "down")
     cells: dict[tuple[int, int], Column] = {}
     for i in range(n):
         places = [line(i, n - 1 - j if back else j) for j in range(n)]
-        code = sum((board[r][c].cast("long") * base**j for j, (r, c) in enumerate(places)), F.lit(0).cast("long"))
-        slid = F.get(table, code.cast("int"))
+        code = reduce(add, (board[r][c] * base**j for j, (r, c) in enumerate(places)))
         for j, place in enumerate(places):
-            cells[place] = (F.floor(slid / base**j) % base).cast("int")
+            cells[place] = F.get(tables[j], code)
     return F.array(*[F.array(*[cells[r, c] for c in range(n)]) for r in range(n)])
 
 
