@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.dealt import dealt
 from ..sinks import files, packages
 from ..sources import archives, lines
 from .registry import query, table
@@ -22,7 +23,7 @@ def _member(name: Column | str, data: Column) -> Column:
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package (USTAR) for each part: its manifest, a binary for each platform, assets."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size"), "p_partkey")
     manifest = F.concat(F.lit("app.id="), F.lower("p_brand"), F.lit("\napp.name = "), "p_name", F.lit("\napp.version.code="), F.col("p_size").cast("string"), F.lit("\n"))
     members = F.array(_member("elf/board1.elf", _text(F.repeat(F.lit("x"), F.col("p_size")))), _member("manifest.properties", _text(manifest)), _member("assets/manifest.properties", _text(F.lit("app.id=other"))))
     return packages.tar_files(p.select(F.col("p_partkey").cast("string").alias("key"), members.alias("members")))

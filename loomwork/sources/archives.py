@@ -77,6 +77,14 @@ def zip_members(files: DataFrame, key: str = "path", content: str = "content", w
     return out.withColumnRenamed("key", key)
 
 
+def _tar(content: bytes | None) -> tarfile.TarFile:
+    """A tar archive of any compression; the decompressors are not tried on what has the mark of a
+    plain one."""
+    c = content or b""
+    plain = c[257:262] == b"ustar" and not c.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ", b"]\0\0", b"\x28\xb5\x2f\xfd"))
+    return tarfile.open(fileobj=io.BytesIO(c), mode="r:" if plain else "r:*")
+
+
 def tar_manifests(files: DataFrame, key: str = "path", content: str = "content", name: str = "manifest.properties") -> DataFrame:
     """key, manifest: the first regular member of that base name in each tar archive of
     any compression; null where there is none or the archive is damaged."""
@@ -87,7 +95,7 @@ def tar_manifests(files: DataFrame, key: str = "path", content: str = "content",
             for c in b["content"]:
                 found = None
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(c or b""), mode="r:*") as t:
+                    with _tar(c) as t:
                         m = next((m for m in t if m.isfile() and m.name.rpartition("/")[2] == name), None)
                         found = t.extractfile(m).read().decode("utf-8", "replace") if m else None
                 except (tarfile.TarError, EOFError, OSError, zlib.error):
@@ -107,7 +115,7 @@ def tar_members(files: DataFrame, key: str = "path", content: str = "content") -
             out = []
             for k, c in zip(b["key"], b["content"], strict=True):
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(c or b""), mode="r:*") as t:
+                    with _tar(c) as t:
                         out += [(k, m.name, m.size) for m in t if m.isfile()]
                 except (tarfile.TarError, EOFError, OSError, zlib.error):
                     pass
