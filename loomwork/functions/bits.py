@@ -70,6 +70,7 @@ def shift_register(seed: Column, taps: tuple[int, ...], width: int, steps: Colum
         bit = F.getbit(x, F.lit(taps[0]))
         for t in taps[1:]:
             bit = bit.bitwiseXOR(F.getbit(x, F.lit(t)))
-        return F.floor(x / 2).cast("long") + bit.cast("long") * F.lit(1 << (width - 1))
+        # a seed may be wider than the register, so that the highest bit is set already
+        return F.call_function("shiftright", x, F.lit(1)).bitwiseOR(bit.cast("long") * F.lit(1 << (width - 1)))
 
     return F.when(steps < 1, seed.cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), seed.cast("long"), step))

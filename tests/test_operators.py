@@ -198,6 +198,21 @@ def test_calculator(spark):
     assert {r.t: r.v for r in df.select("t", arithmetic.value(F.col("t")).alias("v")).collect()} == cases
 
 
+def test_shift_register_with_wide_seeds(spark):
+    def loop(x, taps, width, steps):
+        for _ in range(steps):
+            bit = 0
+            for t in taps:
+                bit ^= x >> t & 1
+            x = x >> 1 | bit << (width - 1)
+        return x
+
+    seeds = [0, 1, 32767, 32769, 40001, 65535, 65537, (1 << 62) + 12345]
+    for taps, width in (audio.NOISE, audio.RETRO_NOISE):
+        df = spark.createDataFrame([(s,) for s in seeds], "s long").select("s", bits.shift_register(F.col("s"), taps, width, F.lit(20)).alias("x"))
+        assert {r.s: r.x for r in df.collect()} == {s: loop(s, taps, width, 20) for s in seeds}
+
+
 def test_envelope_and_small_columns(spark):
     at = spark.range(0, 140).select(F.col("id").alias("t"), audio.envelope(F.col("id"), F.lit(100), F.lit(10), F.lit(20), F.lit(0.5), F.lit(25)).alias("g"))
     g = {r.t: r.g for r in at.collect()}
