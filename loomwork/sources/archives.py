@@ -157,6 +157,25 @@ def app_partition(rows: DataFrame, key: str = "path") -> DataFrame:
     return rows.filter("type = 0").groupBy(key).agg(F.min_by(F.struct("offset", "size"), F.struct(rank, "idx")).alias("p")).select(key, "p.offset", "p.size")
 
 
+def app_place(content: Column) -> Column:
+    """struct(offset, size) of the application's partition in a firmware image, as ``app_partition``
+    picks it; null if there is none. A column expression: the image goes nowhere."""
+    from ..functions.let import let
+
+    def places(part: Column) -> Column:
+        number = lambda at, n: F.conv(F.hex(F.concat(*[F.substring(part, at + i + 1, F.lit(1)) for i in reversed(range(n))])), 16, 10).cast("long")
+        every = F.sequence(F.lit(0), F.lit(MOST - 1))
+        whole = lambda i: (F.length(part) >= (i + 1) * RECORD_BYTES) & (F.substring(part, i * RECORD_BYTES + 1, F.lit(2)) == F.lit(MARK.to_bytes(2, "little")))
+        end = F.array_position(F.transform(every, whole), False).cast("int")
+        apps = F.filter(F.slice(every, F.lit(1), F.when(end == 0, MOST).otherwise(end - 1)), lambda i: number(i * RECORD_BYTES + 2, 1) == 0)
+        subtype = lambda i: number(i * RECORD_BYTES + 3, 1)
+        rank = lambda i: F.when(subtype(i) == 0, 0).when(subtype(i) == 0x10, 1).otherwise(2)
+        best = F.array_min(F.transform(apps, lambda i: F.struct(rank(i).alias("rank"), i.alias("idx"))))["idx"]
+        return let(best, lambda i: F.when(i.isNotNull(), F.struct(number(i * RECORD_BYTES + 4, 4).alias("offset"), number(i * RECORD_BYTES + 8, 4).alias("size"))))
+
+    return let(F.substring(content, TABLE_AT + 1, RECORD_BYTES * MOST), places)
+
+
 #: Pieces of markup: comments, CDATA, instructions, other declarations, end tags, elements, texts.
 #: What is not closed goes on to the end. A malformed attribute ends an element's list; the
 #: element ends at the next ">".
@@ -247,8 +266,8 @@ def truncated_utf8(data: Column, most: int, whole: bool = True) -> Column:
 IMAGE_MARK, CHIP, HEADER_BYTES, SEGMENT_BYTES, VERSION_AT, DESCRIPTION_BYTES = 0xE9, 13, 24, 8, 16, 256
 
 
-def image_headers(files: DataFrame, key: str = "path", content: str = "content", at: Column | int = 0) -> DataFrame:
-    """key, version, error of the firmware image that begins at byte ``at``: the error is
+def image_headers(files: DataFrame, key: str = "path", content: str = "content", at: Column | int = 0, keep: list[str] | None = None) -> DataFrame:
+    """key, columns to keep, version, error of the firmware image that begins at byte ``at``: the error is
     null for a good image, the version ``unknown`` if its description is cut off. Bytes
     are compared as column expressions; only the header is read."""
     at = at if isinstance(at, Column) else F.lit(at)
@@ -265,7 +284,7 @@ def image_headers(files: DataFrame, key: str = "path", content: str = "content",
     )
     text = F.regexp_replace(F.decode(F.substring(c, at.cast("int") + first + VERSION_AT + 1, F.lit(32)), "ISO-8859-1"), "(?s)\u0000.*", "")
     version = F.when(size >= first + DESCRIPTION_BYTES, text).otherwise("unknown")
-    return files.select(F.col(key), F.when(error.isNull(), version).alias("version"), error.alias("error"))
+    return files.select(F.col(key), *(keep or []), F.when(error.isNull(), version).alias("version"), error.alias("error"))
 
 
 def contents(events: DataFrame, key: str, base: str = "") -> DataFrame:

@@ -17,6 +17,7 @@ def one_block(spark, tmp_path_factory):
     n = F.col("id")
     for name, row in {
         "part": [n.alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), F.lit("a part").alias("p_name"), (n % 50 + 1).cast("int").alias("p_size"), F.lit("TIN").alias("p_type")],
+        "supplier": [n.alias("s_suppkey"), F.concat(F.lit("Supplier#"), n.cast("string")).alias("s_name")],
     }.items():
         spark.range(1, 5001).select(*row).coalesce(1).write.parquet(f"{where}/{name}.parquet")
     return where
@@ -53,3 +54,13 @@ def test_plain_and_packed_tars(spark):
     rows = [(i, c) for i, c in enumerate([tar("w"), tar("w:gz"), tar("w:bz2"), tar("w:xz"), tar("w")[:300], tar("w", "x/manifest.properties"), b"", None])]
     got = {r.path: r.manifest for r in archives.tar_manifests(spark.createDataFrame(rows, "path int, content binary")).collect()}
     assert [got[str(i)] for i in range(8)] == ["k=1"] * 4 + [None, "k=1", None, None]
+
+
+def test_books_in_many_tasks(spark, one_block):
+    assert archive_queries._books(spark, one_block).rdd.getNumPartitions() == 5
+
+
+def test_flash_images_go_nowhere(spark, one_block):
+    """Images are neither joined nor sent: only suppliers' keys are."""
+    plan = archive_queries.flash_versions(spark, one_block)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1

@@ -127,3 +127,16 @@ def test_image_headers(spark):
     df = spark.createDataFrame(rows, "path int, content binary")
     got = {r.path: (r.version, r.error) for r in archives.image_headers(df).collect()}
     assert got == {1: ("1.2.3", None), 2: (None, "made for chip 261"), 3: (None, "not an image"), 4: (None, "no header"), 5: (None, "no segment"), 6: ("unknown", None), 7: (None, "no header")}
+
+
+def test_app_place_equals_its_partition(spark):
+    rec = lambda t, s, o, mark=0x50AA: struct.pack("<HBBII16sI", mark, t, s, o, o + 1, b"x", 0)
+    tables = [
+        rec(1, 2, 5) + rec(0, 0x10, 7) + rec(0, 0, 0xFFFFFFF0), rec(0, 0x11, 9) + rec(0, 0x10, 8) + rec(0, 0x10, 6), rec(0, 0x12, 4) + rec(0, 0x11, 3), rec(1, 0, 1), b"", rec(0, 0, 2, 1) + rec(0, 0, 3),
+        rec(0, 0x20, 1)[:31], rec(0, 0x20, 1) + rec(0, 0, 2)[:20], rec(1, 1, 1) * 127 + rec(0, 0, 77) * 2, rec(1, 1, 1) * 128 + rec(0, 0, 78),
+    ]
+    images = [(i, b"\0" * 0x8000 + t) for i, t in enumerate(tables)] + [(98, b"short"), (99, None)]
+    df = spark.createDataFrame(images, "path int, content binary")
+    got = {str(r.path): (r.p.offset, r.p.size) for r in df.select("path", archives.app_place(F.col("content")).alias("p")).collect() if r.p}
+    want = {r.path: (r.offset, r.size) for r in archives.app_partition(archives.partitions(df)).collect()}
+    assert got == want and got["0"] == (0xFFFFFFF0, 0xFFFFFFF1) and got["1"] == (8, 9) and got["8"] == (77, 78) and len(got) == 5
