@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of members that are handed on at once.
+BATCH_BYTES = 4 << 20
+
+
 def read_files(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
     """path, length, content of the files below ``path``; ``names`` is a pattern without
     regard to case."""
@@ -55,13 +59,14 @@ def zip_members(files: DataFrame, key: str = "path", content: str = "content", w
     no rows."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "member", "csize", "usize", "offset", "method", "data"]
         for b in batches:
+            rows, size = [], 0
             for k, c in zip(b["key"], b["content"], strict=True):
                 try:
                     z = zipfile.ZipFile(io.BytesIO(c or b""))
                 except zipfile.BadZipFile:
                     continue
-                rows = []
                 for m in z.infolist():
                     data = None
                     if with_data and m.compress_type in (0, 8):
@@ -70,7 +75,12 @@ def zip_members(files: DataFrame, key: str = "path", content: str = "content", w
                         except (zipfile.BadZipFile, zlib.error, RuntimeError):
                             pass
                     rows.append((k, m.filename, m.compress_size, m.file_size, m.header_offset, m.compress_type, data))
-                yield pd.DataFrame(rows, columns=["key", "member", "csize", "usize", "offset", "method", "data"])
+                    size += len(data or b"")
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     rows = files.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"))
     out = rows.mapInPandas(read, "key string, member string, csize long, usize long, offset long, method int, data binary")

@@ -3,11 +3,13 @@
 import io
 import tarfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators.dealt import dealt
 from loomwork.plans import archive_queries
+from loomwork.sinks import packages
 from loomwork.sources import archives
 
 
@@ -36,10 +38,33 @@ def test_package_manifests_in_many_tasks(spark, one_block):
     assert archive_queries._packages(spark, one_block).rdd.getNumPartitions() > 1
 
 
-def test_package_members_in_few_batches(spark, one_block):
+class Taken:
+    """Takes the function that would run in tasks."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+    mapInPandas = mapInArrow
+    withColumnRenamed = select
+
+
+def test_package_members_in_few_batches():
     """Archives leave a task in batches of some megabytes, not one by one."""
-    sizes = archive_queries._packages(spark, one_block).mapInPandas(lambda batches: (b[["key"]].assign(n=len(b)) for b in batches), "key string, n int")
-    assert sizes.agg(F.min("n")).first()[0] > 100
+    rows = pa.RecordBatch.from_pylist([{"key": str(i), "members": [{"name": "a", "data": b"x" * 5}]} for i in range(1000)])
+    made = list(packages.tar_files(Taken()).run(iter([rows])))
+    assert len(made) == 3 and sum(b.num_rows for b in made) == 1000
+
+
+def test_book_members_in_few_batches(spark):
+    """Members of many small archives are one batch; large ones are handed on in between."""
+    rows = pa.RecordBatch.from_pylist([{"key": str(i), "members": [{"name": "a", "data": b"x"}, {"name": "b", "data": b"0" * (3 << 20 if i < 2 else 1)}], "stored": False} for i in range(20)])
+    books = pa.Table.from_batches(packages.zip_files(Taken()).run(iter([rows]))).to_pandas()
+    found = list(archives.zip_members(Taken(), "key", "content").run(iter([books])))
+    assert [len(b) for b in found] == [4, 36]
 
 
 def test_plain_and_packed_tars(spark):
