@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def extension(name: Column) -> Column:
@@ -90,15 +92,13 @@ def plural(n: Column, one: str, many: str, none: str) -> Column:
     return F.when(n == 0, none).when(n == 1, f"1 {one}").otherwise(F.concat(n.cast("string"), F.lit(f" {many}")))
 
 
+@F.arrow_udf(StringType())
+def _eight_digits(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else f"{v:.8g}" for v in x.to_pylist()], pa.string())
+
+
 def eight_digits(x: Column) -> Column:
     """A number with eight significant digits, as printf's ``%.8g`` has it: without zeros at
-    the end, with an exponent below -4 and from 8 on."""
-    sci = F.format_string("%.7e", F.abs(x))
-    digits = F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 7))
-    n = F.substring_index(sci, "e", -1).cast("int")
-    cut = lambda t: F.regexp_replace(t, "\\.?0*$", "")
-    whole = F.when(n == 7, digits).otherwise(cut(F.concat(F.substring(digits, F.lit(1), n + 1), F.lit("."), F.substring(digits, n + 2, F.lit(8)))))
-    small = cut(F.concat(F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits))
-    large = F.concat(cut(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 7))), F.lit("e"), F.substring_index(sci, "e", -1))
-    text = F.when(x == 0, F.lit("0")).when((n < -4) | (n > 7), large).when(n < 0, small).otherwise(whole)
-    return F.when(x.isNull(), F.lit(None)).otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text))
+    the end, with an exponent below -4 and from 8 on. It is the exact number that is rounded, a
+    tie to the even digit; zero has no sign."""
+    return _eight_digits(F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))

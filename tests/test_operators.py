@@ -198,6 +198,13 @@ def test_calculator(spark):
     assert {r.t: r.v for r in df.select("t", arithmetic.value(F.col("t")).alias("v")).collect()} == cases
 
 
+def test_eight_digits_of_ties(spark):
+    """Exact halves go to the even digit; numbers that only look like halves do not."""
+    x = [1234567.25, 1234567.75, 1234568.25, -1234567.25, 12345678.5, 12345679.5, 0.123456785, 1.23456785, 1.23456775, 1e15, -0.0, 0.0, 100.0, 0.00001, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in x], "x double").select("x", tx.eight_digits(F.col("x")).alias("t"))
+    assert [r.t for r in df.collect()] == [None if v is None else "%.8g" % (v or 0.0) for v in x]
+
+
 def test_shift_register_with_wide_seeds(spark):
     def loop(x, taps, width, steps):
         for _ in range(steps):
