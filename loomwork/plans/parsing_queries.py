@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..operators import ordered as op
+from ..operators.dealt import dealt
 from ..sinks import files
 from ..sources import archives, lines
 from ..streaming import fold, machines
@@ -135,7 +136,7 @@ def _manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("# made up"), F.lit(""), F.concat(F.lit(" app.id = "), F.lower("p_brand")), F.concat(F.lit("app.name="), "p_name"), F.concat(F.lit("app.version.code="), s("p_size")),
         F.concat(F.lit("app.description=a=b "), "p_type"), F.concat(F.lit("app.version.code="), F.when(F.col("p_size") % 3 == 0, "x").otherwise(s("p_partkey"))), F.lit("target.platforms=board1, board2,,board3"), F.lit("no value"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(text).alias("line_no", "line"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size", "p_type"), "p_partkey").select("p_partkey", F.posexplode(text).alias("line_no", "line"))
 
 
 @query("""
