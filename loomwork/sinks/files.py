@@ -77,9 +77,11 @@ def raster_lines(sheet: DataFrame, key: str, width: int, height: int) -> DataFra
     def dots(v):
         return F.concat_ws(" ", *[c.cast("string") for c in from_565(v)])
 
-    rows = sheet.select(key, (F.col("y") + 1).alias("line_no"), F.array_join(F.transform("pixels", dots), " ").alias("value"))
     size = F.concat_ws(" ", F.lit("P3"), (F.col("n_frames") * width).cast("string"), F.lit(str(height)), F.lit("255"))
-    return rows.unionByName(sheet.filter("y = 0").select(key, F.lit(0).alias("line_no"), size.alias("value")))
+    line = F.struct((F.col("y") + 1).alias("line_no"), F.array_join(F.transform("pixels", dots), " ").alias("value"))
+    # the header goes with the first line, so that the sheets are made once
+    header = F.struct(F.lit(0).alias("line_no"), size.alias("value"))
+    return sheet.select(key, F.explode(F.when(F.col("y") == 0, F.array(header, line)).otherwise(F.array(line))).alias("_l")).select(key, "_l.line_no", "_l.value")
 
 
 def write_rasters(sheet: DataFrame, path: str, key: str, width: int, height: int) -> None:
