@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, grid
 from ..operators import rasters
+from ..operators.dealt import dealt
 from ..sinks import files
 from ..streaming import fold, machines
 from .registry import query, table
@@ -32,7 +33,7 @@ SELECT c_custkey, y::INTEGER AS y, count(*) AS cells, min(x)::INTEGER AS first,
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names drawn on a screen, clipped at its edges: what each row of it has."""
     k = F.col("c_custkey")
-    cells = rasters.text_cells(table(spark, sf_dir, "customer"), "c_custkey", "c_name", k % 60 - 5, k % 27 - 3, 1 + k % 2, glyphs(spark), WIDTH, HEIGHT)
+    cells = rasters.text_cells(dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 4000), "c_custkey", "c_name", k % 60 - 5, k % 27 - 3, 1 + k % 2, glyphs(spark), WIDTH, HEIGHT)
     return cells.groupBy("c_custkey", "y").agg(F.count("*").alias("cells"), F.min("x").alias("first"), F.max("x").alias("last"), F.sum("x").alias("total"))
 
 
@@ -60,7 +61,9 @@ UNION ALL SELECT l_orderkey, 0, 'P3 ' || count(*) * 4 || ' 3 255' FROM f GROUP B
 """)
 def sprite_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames of each group side by side, as the lines of a pixel map."""
-    f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
+    # dealt by group once: neither the frames nor the sheets' lines are shuffled after that
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
+    f = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
     pixels = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda n: ((n * 7919 + F.col("l_partkey") * 31 + F.col("l_suppkey")) % 65536).cast("int"))
     return files.raster_lines(rasters.sheets(f.withColumn("pixels", pixels), "l_orderkey", "l_linenumber", "pixels", 4, 3), "l_orderkey", 4, 3)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators.dealt import dealt
-from loomwork.plans import archive_queries
+from loomwork.plans import archive_queries, parsing_queries, raster_queries
 from loomwork.sinks import packages
 from loomwork.sources import archives
 
@@ -19,6 +19,8 @@ def one_block(spark, tmp_path_factory):
     n = F.col("id")
     for name, row in {
         "part": [n.alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), F.lit("a part").alias("p_name"), (n % 50 + 1).cast("int").alias("p_size"), F.lit("TIN").alias("p_type")],
+        "customer": [n.alias("c_custkey"), F.lit("Customer").alias("c_name")],
+        "lineitem": [n.alias("l_orderkey"), F.lit(1).alias("l_linenumber"), n.alias("l_partkey"), n.alias("l_suppkey")],
         "supplier": [n.alias("s_suppkey"), F.concat(F.lit("Supplier#"), n.cast("string")).alias("s_name")],
     }.items():
         spark.range(1, 5001).select(*row).coalesce(1).write.parquet(f"{where}/{name}.parquet")
@@ -89,3 +91,23 @@ def test_flash_images_go_nowhere(spark, one_block):
     """Images are neither joined nor sent: only suppliers' keys are."""
     plan = archive_queries.flash_versions(spark, one_block)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hash" in line]
+
+
+def test_text_rows_are_grouped_where_they_are_dealt(spark, one_block):
+    found = exchanges(raster_queries.text_rows(spark, one_block))
+    assert len(found) == 1 and "c_custkey" in found[0]
+
+
+def test_property_lines_are_grouped_where_they_are_dealt(spark, one_block):
+    assert len(exchanges(parsing_queries.property_lines(spark, one_block))) == 1
+    found = exchanges(parsing_queries.app_index(spark, one_block))
+    assert len(found) == 1 and ", 3)" in found[0]
+
+
+def test_sheets_are_shuffled_once(spark, one_block):
+    assert len(exchanges(raster_queries.sprite_sheets(spark, one_block))) == 1
