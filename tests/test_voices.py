@@ -47,3 +47,22 @@ def test_samples_equal_a_loop_in_any_chunks(spark, chunk):
 
 def test_no_notes(spark):
     assert voices.render(spark.createDataFrame([], NOTES), "seq", "note").count() == 0
+
+
+def test_long_notes_in_any_slabs(spark):
+    """Notes of more samples than are computed at once, cut at other places."""
+    rows = [(s, n, n * 1000, 400_000, 300.0 + n, 0.5, 3.0, 0.2, "saw", 10, 10, 0.3) for s, n in ((1, 1), (1, 2), (2, 3))]
+    notes = spark.createDataFrame(rows, NOTES)
+    sums = [voices.render(notes, "seq", "note", chunk=c).selectExpr("count(*) as n", "count(distinct seq, at) as d", "sum(pcm * (at % 251 + 1)) as s").first() for c in (3000, 100_000)]
+    assert sums[0] == sums[1] and sums[0].n == sums[0].d == 401_000 + 400_000
+
+
+def test_samples_are_not_shuffled(spark):
+    plan = voices.render(spark.createDataFrame(ROWS, NOTES), "seq", "note")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate ") == 1
+
+
+def test_nulls_and_text_keys(spark):
+    rows = [("a", 1, 0, 3, None, 0.0, 0.0, 0.0, "sine", 0, 0, 1.0), ("a", 2, 1, 3, 100.0, 0.0, 0.0, 0.0, "square", None, 0, 0.5), (None, 3, -5, 2, 100.0, 0.0, 0.0, 0.0, "square", 0, 0, 0.5), ("b", 4, 0, None, 1.0, 0.0, 0.0, 0.0, "saw", 0, 0, 1.0), ("c", 5, 0, 1, 1.0, 0.0, 0.0, 0.0, "saw", 0, 0, None)]
+    got = {(r.seq, r.at): r.pcm for r in voices.render(spark.createDataFrame(rows, NOTES.replace("seq long", "seq string")), "seq", "note", chunk=2).collect()}
+    assert got == {("c", 0): None, ("a", 0): 0, ("a", 1): 19250, ("a", 2): 19250, ("a", 3): 19250, (None, -5): 19250, (None, -4): 19250}
