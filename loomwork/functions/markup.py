@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -130,14 +130,23 @@ def to_tokens(html: str | None, fixed: bool = True) -> str:
     return "".join(out).rstrip(" \n")
 
 
-@F.pandas_udf(StringType())
-def _stripped(html: pd.Series) -> pd.Series:
-    return html.map(to_tokens)
+#: Pages whose text is in memory twice, as Arrow's and as Python's.
+PAGES = 64
 
 
-@F.pandas_udf(StringType())
-def _stripped_as_is(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: to_tokens(h, fixed=False))
+def _in_parts(html: pa.Array, fixed: bool) -> pa.Array:
+    parts = [pa.array([to_tokens(h, fixed) for h in html.slice(at, PAGES).to_pylist()], pa.string()) for at in range(0, len(html), PAGES)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _stripped(html: pa.Array) -> pa.Array:
+    return _in_parts(html, True)
+
+
+@F.arrow_udf(StringType())
+def _stripped_as_is(html: pa.Array) -> pa.Array:
+    return _in_parts(html, False)
 
 
 def strip(html: Column, fixed: bool = True) -> Column:

@@ -6,6 +6,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+import pyarrow as pa
+
 from loomwork.functions import markup
 from loomwork.plans import parsing_queries
 
@@ -63,3 +65,20 @@ def test_tokens_equal_sql_on_random_pages():
     con.register("pages", pd.DataFrame({"page_id": range(len(html)), "html": html}))
     got = dict(con.sql(parsing_queries._TOKENS_SQL + " SELECT page_id, t FROM text").fetchall())
     assert [got.get(k, "") for k in range(len(html))] == [markup.to_tokens(h) for h in html]
+
+
+def test_pages_are_read_in_parts():
+    """Only so many pages of a batch are Python texts at one time; the rest stays Arrow's."""
+    pages = pa.array(["<p>a &amp; b</p>", None, ""] * 100)
+    seen = []
+
+    class Watched:
+        def __len__(self):
+            return len(pages)
+
+        def slice(self, at, n):
+            seen.append(n)
+            return pages.slice(at, n)
+
+    got = markup._in_parts(Watched(), True)
+    assert got.to_pylist() == ["\x1bLa & b", "", ""] * 100 and max(seen) <= markup.PAGES and len(markup._in_parts(pa.array([], pa.string()), True)) == 0
